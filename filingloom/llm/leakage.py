@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filingloom.llm.common import keyed, ngram_hashes, schema_of, slices, unkeyed, word_hashes
+from filingloom.functions.hashing import ngram_hashes, slices, word_hashes
+from filingloom.llm.common import keyed, schema_of, unkeyed
 
 #: Test items held in memory at once.
 BLOCK_ITEMS = 20_000

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filingloom.llm.common import ngram_hashes, slices, word_hashes
+from filingloom.functions.hashing import ngram_hashes, slices, word_hashes
 from filingloom.session import materialize
 
 #: Buckets of the shingle frequency table: 2**18 counters, whatever the input's size.
