@@ -10,6 +10,7 @@ import json
 import time
 from collections.abc import Callable, Iterator, Sequence
 
+from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition
 
 RETRY = frozenset([429, 500, 502, 503, 504])
@@ -85,3 +86,9 @@ class PagesSource(DataSource):
 
     def reader(self, schema: object) -> PagesReader:
         return PagesReader(dict(self.options), [f.name for f in schema.fields])  # type: ignore[attr-defined]
+
+
+def register(spark: SparkSession) -> None:
+    """Make ``json_pages`` known to the session, with filter pushdown on."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(PagesSource)
