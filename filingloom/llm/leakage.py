@@ -98,7 +98,8 @@ def scores(items: np.ndarray, texts: np.ndarray) -> np.ndarray:
 
 def leaks(items: np.ndarray, texts: np.ndarray, min_words: int, per_change: int) -> np.ndarray:
     """Does a pair hold a run of at least ``min_words`` item words, in order, with at
-    most one change in ``per_change`` words? A change replaces, drops or adds a word.
+    most one change in ``per_change`` words? A change replaces, drops or adds a word;
+    a run begins and ends with words that are kept.
 
     A run of 2 * min_words can be halved and one half keeps the rule, so runs of
     less than that, and as few changes, decide.
@@ -115,6 +116,7 @@ def leaks(items: np.ndarray, texts: np.ndarray, min_words: int, per_change: int)
             diagonal = np.zeros((n, width), np.int16)
             diagonal[:, 1:] = above[c][:, :-1]
             run = np.where(match, diagonal + 1, np.int16(0))
+            found |= (run >= max(min_words, c * per_change)).any(1)
             if c:
                 changed = np.zeros((n, width), np.int16)
                 changed[:, 1:] = above[c - 1][:, :-1]
@@ -124,7 +126,6 @@ def leaks(items: np.ndarray, texts: np.ndarray, min_words: int, per_change: int)
                 run[:, 1:] = np.maximum(run[:, 1:], own[c - 1][:, :-1])  # added
                 np.maximum(run, own[c - 1], out=run)
             own.append(run)
-            found |= (run >= max(min_words, c * per_change)).any(1)
         above = own
     return found
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from filingloom.llm.common import keyed, schema_of, unkeyed
 
 #: Code pages a text is commonly mistaken for (fixed values).
-PAGES = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "cp1254", "iso8859_15")
+PAGES = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "cp1254")
 REFERENCE = r"&(?:#[0-9]{3,6}|#x[0-9a-fA-F]{2,5}|[A-Za-z]{4,8});"
 SPAN = re.compile(rf"(?:[^\x00-\x7f]|{REFERENCE})+")
 ESCAPE = re.compile(REFERENCE)
