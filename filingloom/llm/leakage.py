@@ -96,16 +96,21 @@ def scores(items: np.ndarray, texts: np.ndarray) -> np.ndarray:
     return best
 
 
+def few_changes(min_words: int, per_change: int) -> int:
+    """Changes that a shortest run within the rule can have."""
+    return (2 * min_words - 1) // per_change + 1
+
+
 def leaks(items: np.ndarray, texts: np.ndarray, min_words: int, per_change: int) -> np.ndarray:
     """Does a pair hold a run of at least ``min_words`` item words, in order, with at
     most one change in ``per_change`` words? A change replaces, drops or adds a word;
     a run begins and ends with words that are kept.
 
-    A run of 2 * min_words can be halved and one half keeps the rule, so runs of
-    less than that, and as few changes, decide.
+    A long run holds a shorter one that keeps the rule with few changes (halving it,
+    one half does, but for a change at the cut), so ``few_changes`` decide.
     """
     n, width = texts.shape
-    changes = (2 * min_words - 1) // per_change
+    changes = few_changes(min_words, per_change)
     none = np.int16(-999)
     above = [np.zeros((n, width), np.int16) for _ in range(changes + 1)]
     found = np.zeros(n, bool)
@@ -143,7 +148,7 @@ def find_leaks(
     L - c kept words lie in c + 1 pieces, which hold L - c - (c + 1)(seed_words - 1)
     seeds or more; the least over the rule is checked here.
     """
-    least = min(n - c - (c + 1) * (seed_words - 1) for n in range(min_words, 2 * min_words) for c in [n // per_change])
+    least = min(n - c - (c + 1) * (seed_words - 1) for n in range(min_words, 4 * min_words) for c in [n // per_change])
     if least < 1:
         raise ValueError(f"seeds of {seed_words} words can miss runs of {min_words} words")
     blocks = max(1, math.ceil(items.count() / block_items))
@@ -165,8 +170,8 @@ def _block(corpus: DataFrame, keys: list[str], text: str, seeds: Seeds, item_typ
     schema = T.StructType([*schema.fields[: len(keys)], T.StructField("item_id", item_type), *schema.fields[len(keys) :]])
     shared = corpus.sparkSession.sparkContext.broadcast(seeds)
     width = len(keys)
-    drift = (2 * min_words - 1) // per_change
-    floor = min(n - 2 * (n // per_change) for n in range(min_words, 2 * min_words))
+    drift = few_changes(min_words, per_change)
+    floor = min(n - 2 * (n // per_change) for n in range(min_words, 4 * min_words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s: Seeds = shared.value

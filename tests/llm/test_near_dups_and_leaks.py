@@ -124,6 +124,14 @@ def test_rule_of_leaks_with_replaced_words():
         assert bool(got) == runs(item, text)
 
 
+def test_four_changes_in_a_row_between_two_kept_stretches():
+    item = list(range(2, 34))
+    text = item[:14] + [99] * 4 + item[18:]
+    assert leaks(np.array([item], np.uint64), np.array([text], np.uint64), 15, 8)[0]
+    text = item[:14] + [99] * 5 + item[19:]
+    assert not leaks(np.array([item], np.uint64), np.array([text], np.uint64), 15, 8)[0]
+
+
 ITEM = "Under a rider signed at Jounvom, the cooperative may have provisionally apportioned the saffron yield swap before lot 694 reached Galdros. Although the surety objected, Suxjul seldom abated its reserve trust for 826 thousand Roscourk."
 
 
