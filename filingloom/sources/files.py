@@ -130,3 +130,41 @@ def write_files(df: DataFrame, folder: str, name: str, content: str) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(sizes, pa.int64()), pa.array(sums)], names=["name", "bytes", "sha256"])
 
     return df.select(name, content).where(F.col(content).isNotNull()).mapInArrow(run, "name string, bytes long, sha256 string")
+
+
+def read_matrix(spark: SparkSession, path: str, keys: list, key: str = "vec_id", out: str = "embedding", rows_per_part: int = 65_536) -> DataFrame:
+    """A .npy matrix as (key, array<float>): positions become keys, so nothing later
+    depends on order. The file is mapped, each task reads its own rows."""
+    import numpy as np
+
+    n = int(np.load(path, mmap_mode="r").shape[0])
+    if len(keys) != n:
+        raise ValueError(f"{len(keys)} keys for {n} rows")
+    kind = "bigint" if all(isinstance(k, int) for k in keys) else "string"
+    named = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], f"pos long, key {kind}").repartitionByRange(max(1, -(-n // rows_per_part)), "pos")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = np.load(path, mmap_mode="r")
+        for b in batches:
+            part = np.asarray(m[b.column(0).to_numpy()], np.float32)
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(list(part), pa.list_(pa.float32()))], names=[key, out])
+
+    return named.mapInArrow(run, f"`{key}` {kind}, `{out}` array<float>")
+
+
+def read_entity_map(spark: SparkSession, path: str) -> DataFrame:
+    """(ticker, cik, company) from a JSON object of numbered entries
+    {"0": {"cik_str": ..., "ticker": ..., "title": ...}, ...}."""
+    whole = spark.read.text(path, wholetext=True)
+    entries = F.from_json("value", "map<string, struct<cik_str: bigint, ticker: string, title: string>>")
+    return whole.select(F.explode(entries).alias("_", "e")).select("e.ticker", F.col("e.cik_str").alias("cik"), F.col("e.title").alias("company"))
+
+
+def required_setting(name: str) -> str:
+    """A setting from the environment; its absence is an error, its value is in no plan."""
+    import os
+
+    value = os.environ.get(name, "")
+    if not value:
+        raise RuntimeError(f"{name} is not set")
+    return value
