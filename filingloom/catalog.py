@@ -337,8 +337,8 @@ def upper_median(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("select list_sort(list(n_chars))[count(n_chars) // 2 + 1] as upper_median, count(n_chars) as n from documents where n_chars is not null")
-def upper_median_exact(spark: SparkSession, d: str) -> DataFrame:
-    return aggregates.upper_median_exact(table(spark, d, "documents"), "n_chars")
+def upper_median_overall(spark: SparkSession, d: str) -> DataFrame:
+    return aggregates.upper_median(table(spark, d, "documents"), [], "n_chars")
 
 
 @query("""
@@ -350,6 +350,14 @@ def sample_record(spark: SparkSession, d: str) -> DataFrame:
     return aggregates.median_or_least(r, "chars", 50, 500, ["record_id"])
 
 
+@query("""
+    select form, count(*) filter (item_id not like '%-%-%') as bare, count(*) as total from records where item_id not like '%FRONT' group by form""")
+def unprefixed_items(spark: SparkSession, d: str) -> DataFrame:
+    """Item ids without a part, per form."""
+    r = table(spark, d, "records").where("item_id not like '%FRONT'")
+    return r.groupBy("form").agg(F.count_if(~F.col("item_id").like("%-%-%")).alias("bare"), F.count("*").alias("total"))
+
+
 # ------------------------------------------------------------------------ windows
 @query("""
     select l_orderkey, l_linenumber, case when sum((l_returnflag = 'R')::int) over (partition by l_orderkey order by l_linenumber, l_partkey rows unbounded preceding) >= 2 then 'II' else 'I' end as part from lineitem""")
@@ -437,8 +445,8 @@ def run_metrics(spark: SparkSession, d: str) -> DataFrame:
     run = table(spark, d, "run_20261012t174720z").select("run_row", "fabricated_citations", "retrieval_ms", "generation_ms", "input_tokens", "output_tokens").dropDuplicates(["run_row"])
     first = run.agg(F.min("run_row").alias("_first"))
     sums = run.agg(F.count("*").alias("questions"), F.count_if(F.size("fabricated_citations") > 0).alias("fabricated_answers"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
-    warm = aggregates.upper_median_exact(run.join(F.broadcast(first), F.col("run_row") > F.col("_first")), "retrieval_ms")  # one row
-    made = aggregates.upper_median_exact(run, "generation_ms")
+    warm = aggregates.upper_median(run.join(F.broadcast(first), F.col("run_row") > F.col("_first")), [], "retrieval_ms")  # one row
+    made = aggregates.upper_median(run, [], "generation_ms")
     one = sums.crossJoin(warm.select(F.col("upper_median").alias("retrieval_ms_warm"))).crossJoin(made.select(F.col("upper_median").alias("generation_ms")))  # one row each
     return one.select(F.lit(1).alias("run"), "questions", "fabricated_answers", "input_tokens", "output_tokens", "retrieval_ms_warm", "generation_ms")
 

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from filingloom.operators.windows import group_hash
+
 
 def top_counts(df: DataFrame, by: str, first: str, n: int = 10) -> DataFrame:
     """The ``n`` most frequent values; of equally frequent ones the first seen by ``first``."""
@@ -28,30 +30,31 @@ def pivot_counts(df: DataFrame, index: str, columns: str, values: str, names: Se
     return df.groupBy(index).pivot(columns, list(names)).agg(F.count(values)).na.fill(0, list(names))
 
 
-def upper_median(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
-    """``upper_median``: the element at index n // 2 of the sorted non-null values.
+def upper_median(df: DataFrame, group: Sequence[str], value: str, buckets: int = 4096) -> DataFrame:
+    """``upper_median``: the element at index n // 2 of the sorted non-null numbers,
+    and their count ``n``, per group (of the whole table for an empty ``group``).
 
-    A window ranks the values, so no group is gathered into an array.
+    Equal values are counted before they move. The range is cut into ``buckets``;
+    the running count over a group's buckets finds the one that holds the middle,
+    and only its values are looked at. No group is sorted or gathered as a whole.
     """
-    rows = df.where(F.col(value).isNotNull())
-    ordered = Window.partitionBy(*group).orderBy(value)
-    whole = Window.partitionBy(*group)
-    ranked = rows.select(*group, value, F.row_number().over(ordered).alias("_rn"), F.count("*").over(whole).alias("_n"))
-    return ranked.where(F.col("_rn") == F.floor(F.col("_n") / 2) + 1).select(*group, F.col(value).alias("upper_median"), F.col("_n").alias("n"))
-
-
-def upper_median_exact(df: DataFrame, value: str, parts: int = 64) -> DataFrame:
-    """The same over a whole table, without one task sorting it: values are counted
-    first, then the running count over the distinct values finds the middle one."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    ranged = counts.repartitionByRange(parts, "_v").withColumn("_p", F.spark_partition_id())
-    per_part = ranged.groupBy("_p").agg(F.sum("_c").alias("_s"))
-    before = per_part.withColumn("_before", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    before = before.withColumn("_n", F.sum("_s").over(Window.partitionBy()))
-    running = F.sum("_c").over(Window.partitionBy("_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
-    spot = ranged.join(F.broadcast(before), "_p").withColumn("_upto", running + F.col("_before"))  # one row per part
+    values = df.where(F.col(value).isNotNull())
+    low, high = values.agg(F.min(value).cast("double"), F.max(value).cast("double")).first()
+    width = ((high - low) / buckets if low is not None else 0) or 1.0
+    keys = [c.alias(n) for n, c in group_hash(group).items()]
+    hashed = list(group_hash(group))
+    bucket = F.floor((F.col(value).cast("double") - F.lit(low)) / F.lit(width)).cast("int") if low is not None else F.lit(0)
+    counts = values.select(*group, *keys, F.col(value).alias("_v"), bucket.alias("_bucket")).groupBy(*group, *hashed, "_v", "_bucket").agg(F.count("*").alias("_c"))
+    coarse = counts.groupBy(*hashed, "_bucket").agg(F.sum("_c").alias("_s"))
+    whole = Window.partitionBy(*hashed)
+    upto = F.sum("_s").over(whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0))
+    spots = coarse.select(*hashed, "_bucket", (upto - F.col("_s")).alias("_before"), upto.alias("_upto"), F.sum("_s").over(whole).alias("_n"))
     target = F.floor(F.col("_n") / 2) + 1
-    return spot.where((F.col("_upto") >= target) & (F.col("_upto") - F.col("_c") < target)).select(F.col("_v").alias("upper_median"), F.col("_n").alias("n"))
+    spots = spots.where((F.col("_before") < target) & (target <= F.col("_upto"))).drop("_upto")
+    inside = counts.join(spots, [*hashed, "_bucket"])
+    run = F.sum("_c").over(whole.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)) + F.col("_before")
+    found = inside.withColumn("_run", run).where((F.col("_run") - F.col("_c") < target) & (target <= F.col("_run")))
+    return found.select(*group, F.col("_v").alias("upper_median"), F.col("_n").alias("n"))
 
 
 def over_limit(df: DataFrame, value: str, limit: int) -> DataFrame:
@@ -73,12 +76,12 @@ def weighted_cost(df: DataFrame, per_million: Mapping[str, float], out: str = "c
 def median_or_least(df: DataFrame, value: str, low: int, high: int, ties: Sequence[str]) -> DataFrame:
     """A sample row: the upper-median row of those with low <= value < high, else
     the row with the least value."""
-    inside = (F.col(value) >= low) & (F.col(value) < high)
-    order = Window.orderBy(F.when(inside, 0).otherwise(1), value, *ties)
-    # the two candidates are found from counts; only the band is ranked
-    band = df.where(inside)
+    band = df.where((F.col(value) >= low) & (F.col(value) < high))
     n = band.count()
     if n:
-        return band.orderBy(value, *ties).offset(n // 2).limit(1)
-    del order
+        middle = upper_median(band, [], value).select(F.col("upper_median").alias("_m"))
+        # the middle row among those of the middle value, by the tie-break
+        same = band.join(F.broadcast(middle), F.col(value) == F.col("_m")).drop("_m")  # one row
+        before = band.join(F.broadcast(middle), F.col(value) < F.col("_m")).count()
+        return same.orderBy(*ties).offset(n // 2 - before).limit(1)
     return df.where(F.col(value).isNotNull()).orderBy(value, *ties).limit(1)

@@ -8,6 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def group_hash(group: Sequence[str]) -> dict[str, Column]:
+    """128 bits that stand for the group columns, nulls told apart; joins on them are
+    plain equi-joins, whatever the columns' nulls."""
+    parts = [x for g in group for x in (F.isnull(g), F.col(g))]
+    return {"_g0": F.xxhash64(F.lit(0), *parts), "_g1": F.xxhash64(F.lit(1), *parts)}
+
+
 def running_switch(df: DataFrame, group: Sequence[str], order: Sequence[str], event: Column, at: int, before: str, after: str, out: str = "part") -> DataFrame:
     """``before`` until the ``at``-th event of the group (by ``order``), then ``after``."""
     upto = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -15,17 +22,41 @@ def running_switch(df: DataFrame, group: Sequence[str], order: Sequence[str], ev
     return df.withColumn(out, F.when(seen >= at, after).otherwise(before))
 
 
+def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str = "n", buckets: int = 4096) -> DataFrame:
+    """Row numbers within groups of any size: no task sorts a whole group.
+
+    The first order column is numeric (nulls come first). Its range is cut into
+    ``buckets``; rows are counted per group and bucket, the counts are summed up
+    over at most ``buckets`` rows a group, and rows are numbered within a bucket.
+    """
+    by = F.col(order[0]).cast("double")
+    low, high = df.agg(F.min(by), F.max(by)).first()
+    width = ((high - low) / buckets if low is not None else 0) or 1.0
+    bucket = F.coalesce(F.floor((by - F.lit(low)) / F.lit(width)).cast("int"), F.lit(-1)) if low is not None else F.lit(-1)
+    rows = df.withColumn("_bucket", bucket).withColumns(group_hash(group))
+    hashed = list(group_hash(group))
+    counts = rows.groupBy(*hashed, "_bucket").agg(F.count("*").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy(*hashed).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(*hashed, "_bucket", before.alias("_before"))
+    local = F.row_number().over(Window.partitionBy(*hashed, "_bucket").orderBy(*[F.col(c).asc() for c in order]))
+    joined = rows.withColumn("_local", local).join(offsets, [*hashed, "_bucket"])
+    return joined.withColumn(out, F.col("_local") + F.col("_before")).drop("_bucket", "_local", "_before", *hashed)
+
+
 def suffix_duplicates(df: DataFrame, key: Column, order: Sequence[str], out: str = "key") -> DataFrame:
     """Unique keys by arrival: the first keeps its key, later ones get ``#2``, ``#3``..."""
-    n = F.row_number().over(Window.partitionBy("_key").orderBy(*order))
-    return df.withColumn("_key", key).withColumn("_n", n).withColumn(out, F.when(F.col("_n") == 1, F.col("_key")).otherwise(F.concat("_key", F.lit("#"), F.col("_n").cast("string")))).drop("_key", "_n")
+    keyed = numbered(df.withColumn("_key", key), ["_key"], order, "_n")
+    return keyed.withColumn(out, F.when(F.col("_n") == 1, F.col("_key")).otherwise(F.concat("_key", F.lit("#"), F.col("_n").cast("string")))).drop("_key", "_n")
 
 
 def without_first(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """All rows but the first (cold) one of each group; a group of one keeps it."""
-    w = Window.partitionBy(*group)
-    rn = F.row_number().over(w.orderBy(*order))
-    return df.withColumn("_rn", rn).withColumn("_n", F.count("*").over(w)).where("_rn > 1 or _n = 1").drop("_rn", "_n")
+    """All rows but the first (cold) one of each group; a group of one keeps it.
+
+    The first row comes from an aggregate, which combines before it moves.
+    """
+    place = F.struct(*order)
+    firsts = df.groupBy(*group).agg(F.min(place).alias("_first"), F.count("*").alias("_rows"))
+    return df.join(firsts, list(group)).where((place > F.col("_first")) | (F.col("_rows") == 1)).drop("_first", "_rows")
 
 
 def ranked(df: DataFrame, group: Sequence[str], order: Sequence[Column], out: str = "rank") -> DataFrame:

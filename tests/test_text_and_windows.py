@@ -104,12 +104,12 @@ def test_columnar_rows(spark):
 def test_medians_take_the_upper_middle(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3), ("a", 4), ("b", 5), ("b", None)], "g string, v int")
     assert rows(aggregates.upper_median(df, ["g"], "v")) == [("a", 3, 4), ("b", 5, 1)]
-    assert rows(aggregates.upper_median_exact(df, "v")) == [(3, 5)]
+    assert rows(aggregates.upper_median(df, [], "v")) == [(3, 5)]
     many = spark.createDataFrame([(x % 97,) for x in range(1000)], "v int")
-    assert rows(aggregates.upper_median_exact(many, "v")) == [(sorted(x % 97 for x in range(1000))[500], 1000)]
-    assert aggregates.upper_median_exact(df.where("false"), "v").count() == 0
+    assert rows(aggregates.upper_median(many, [], "v")) == [(sorted(x % 97 for x in range(1000))[500], 1000)]
+    assert aggregates.upper_median(df.where("false"), [], "v").count() == 0
     ms = spark.createDataFrame([(x,) for x in (3060, 2050, 2028, 1219, 3126, 3595, 1379, 1451)], "v int")
-    assert rows(aggregates.upper_median_exact(ms, "v")) == [(2050, 8)]
+    assert rows(aggregates.upper_median(ms, [], "v")) == [(2050, 8)]
 
 
 def test_counts_rates_and_pivots(spark):
@@ -131,5 +131,10 @@ def test_running_switch_suffixes_and_cold_start(spark):
     assert [r["part"] for r in got] == ["I"] * 5 + ["II"] * 4
     keyed = windows.suffix_duplicates(spark.createDataFrame([("k", 1), ("k", 2), ("l", 3), ("k", 4)], "x string, pos int"), F.col("x"), ["pos"]).orderBy("pos").collect()
     assert [r["key"] for r in keyed] == ["k", "k#2", "l", "k#3"]
+    many = spark.createDataFrame([("hot" if i % 3 else "cold", i * 7919 % 1000) for i in range(1000)] + [(None, 5), (None, 1)], "g string, pos int")
+    got = windows.numbered(many, ["g"], ["pos"], "n", buckets=16).collect()
+    for g in {r["g"] for r in got}:
+        mine = sorted((r["n"], r["pos"]) for r in got if r["g"] == g)
+        assert [n for n, _ in mine] == list(range(1, len(mine) + 1)) and [p for _, p in mine] == sorted(p for _, p in mine)
     runs = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "r string, pos int")
     assert rows(windows.without_first(runs, ["r"], ["pos"])) == [("a", 2), ("b", 1)]
