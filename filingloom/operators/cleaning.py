@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from filingloom.functions.text import ulines, ustrip
 
-#: The project's own table markers, which repeat but are structure (fixed values).
+# Fixed values.
+#: The project's own table markers, which repeat but are structure.
 MARKERS = ("[TABLE]", "[/TABLE]")
 PAGE_NUMBER = r"^[0-9]{1,4}$"
 CONTENTS = r"(?i)^table of contents$"

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from filingloom.functions.text import SPACE, ulines, ustrip
 from filingloom.operators.windows import running_switch
 
+# Fixed values.
 #: A contents line: tab, title, tab, page number or range, at the line's end.
 CONTENTS_LINE = rf"\t[^\t\n]*\t[0-9]{{1,4}}(-[0-9]{{1,4}})?{SPACE}*$"
-#: Part of each item of an annual report (fixed values).
+#: Part of each item of an annual report.
 ANNUAL_PARTS = {
     "I": "1 1A 1B 1C 1-2 2 3 4", "II": "5 6 7 7A 8 9 9A 9B 9C", "III": "10 11 12 13 14", "IV": "15 16",
 }
