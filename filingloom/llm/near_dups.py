@@ -56,7 +56,7 @@ def shingle_sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np
 
 
 def _classes(df: DataFrame, key: str, text: str, min_chars: int) -> tuple[DataFrame, DataFrame]:
-    """(representatives: _k, _t; membership: rep, member for classes of copies)."""
+    """(representatives: _k, _t; membership: rep, member for texts stored more than once)."""
     base = df.select(F.col(f"`{key}`").cast("long").alias("_k"), F.col(f"`{text}`").alias("_t")).where(f"_k is not null and length(_t) >= {int(min_chars)}")
     a, b = F.xxhash64("_t"), F.xxhash64(F.lit(11), "_t")
     bucket = F.pmod(F.col("_a"), F.lit(KEY_BUCKETS)).cast("int")
@@ -172,8 +172,8 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.7,
     """(pairs, members) of the texts whose shingle sets are similar.
 
     ``pairs``: a, b (a < b), similarity, between classes of exact copies, each class
-    under its smallest key. ``members``: rep, member for the classes of two or more
-    (rep is a member too). Similarity is Jaccard of the sets of ``shingle``
+    under its smallest key. ``members``: rep, member for the texts that are stored
+    more than once (rep is a member too). Similarity is Jaccard of the sets of ``shingle``
     consecutive words; the result is exact, no pair is lost. Texts shorter than
     ``min_chars``, null texts and null keys take no part; rows repeated under one
     key count once (the same key with two texts: both take part). Keys are bigint.
