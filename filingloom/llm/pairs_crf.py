@@ -53,17 +53,23 @@ _CUT = re.compile(rf"(?<=[.!?]){_ABBREVIATION}\s+|(?<=\])\s+|\n+|(?<=[.!?][\"”
 
 
 def clauses(answer: str) -> list[str]:
-    """The answer's clauses; citations of their own go with the clause before."""
+    """The answer's clauses; citations of their own go with the clause before, or
+    with the first one."""
     out: list[str] = []
+    ahead = ""
     for part in _CUT.split(_INVISIBLE.sub("", answer)):
         part = part.strip()
         if not part:
             continue
-        if out and not _WORD.search(_CITE.sub("", part)) and "[" in part:
-            out[-1] += " " + part
+        if not _WORD.search(_CITE.sub("", part)) and "[" in part:
+            if out:
+                out[-1] += " " + part
+            else:
+                ahead += part + " "
         else:
-            out.append(part)
-    return out
+            out.append(ahead + part)
+            ahead = ""
+    return out if out or not ahead else [ahead.strip()]
 
 
 def _language(words: list[str]) -> dict[str, int]:

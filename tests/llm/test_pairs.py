@@ -22,6 +22,7 @@ CITE = "[NP|0001-16-1|10-K:I-1|0]"
         (Q, "The retrieved chunks do not contain the gross margin, so I cannot say what it was.", None),
         (Q, "I am unable to find the gross margin in the provided context.", None),
         (Q, Q, "copy"), (Q, Q.upper(), "copy"), (Q, f'"{Q}"', "copy"), (Q, f"Q: {Q}\nA: {Q}", "copy"), (Q, Q.rstrip("?"), "copy"),
+        (Q, f"{CITE} {Q}", "copy"), (Q, f"{CITE} Margin came to 31% in the year.", None), (Q, CITE, "empty"),
         (Q, f"{Q} Margin came to 31% of sales {CITE}.", None),
         (Q, f"{Q} No {CITE}", None),
         (Q, f"Die Bruttomarge der Gruppe lag im Jahr 2016 bei 31% und damit über dem Vorjahr {CITE}.", "language"),
