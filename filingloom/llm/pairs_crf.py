@@ -287,8 +287,7 @@ def judge(question: str | None, answer: str | None, field: Field) -> tuple[str |
         return "copy", share
     if share["refusal"] > 0 and share["answer"] < 0.5 + 0.2 * (share["refusal"] > 0.3):
         return "refusal", share
-    own_words = set(_WORD.findall(_CITE.sub(" ", parts[-1]).lower())) - set(_WORD.findall(asked.lower()))
-    if TAGS[tags[-1]] == "unfinished" or not complete(answer) and own_words:
+    if TAGS[tags[-1]] == "unfinished" or not complete(answer):
         return "truncated", share
     if share["foreign"] > share["answer"]:
         return "language", share
