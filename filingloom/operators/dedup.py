@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filingloom.functions.hashing import mix, ngram_hashes, slices, word_hashes
-from filingloom.functions.text import uwords
+from filingloom.operators import similarity
 from filingloom.session import materialize
 
 
@@ -31,14 +31,6 @@ def copy_classes(df: DataFrame, key: str, text: str) -> DataFrame:
     return hashed.join(first, "_h").select(key, "class_id")
 
 
-def representatives(df: DataFrame, key: str, text: str, min_chars: int) -> DataFrame:
-    """(_k, _t): one row per different text of at least ``min_chars``, combined in each
-    task before anything moves, so a text that fills a third of the rows moves once
-    per task."""
-    rows = df.where(f"length(`{text}`) >= {int(min_chars)}").select(F.col(key).alias("_k"), F.col(text).alias("_t"))
-    return rows.groupBy(F.sha2("_t", 256).alias("_h")).agg(F.min("_k").alias("_k"), F.first("_t").alias("_t")).select("_k", "_t")
-
-
 def signatures(reps: DataFrame, num_perm: int, shingle: int) -> DataFrame:
     """(_k, sig): MinHash signatures of the shingles, one multiply-xor
     permutation of the 64-bit hash per position, for all texts of a slice at once."""
@@ -92,7 +84,7 @@ def near_duplicates_minhash(
     r = num_perm // bands; 32 bands of 4 find 0.8 with 0.99999993. Use
     ``copy_classes`` for the copies of each text.
     """
-    reps = representatives(df, key, text, min_chars)
+    reps, _ = similarity.text_classes(df, key, text, min_chars)
     signed = materialize(signatures(reps, num_perm, shingle), "signatures")
     pairs = band_candidates(signed, bands, num_perm // bands)
     if not verify:
@@ -100,55 +92,17 @@ def near_duplicates_minhash(
         both = pairs.join(s.select(F.col("_k").alias("a"), F.col("sig").alias("sa")), "a").join(s.select(F.col("_k").alias("b"), F.col("sig").alias("sb")), "b")
         same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
         return both.select("a", "b", (same / num_perm).alias("similarity"))
-    return verified(pairs, reps, threshold, shingle)
-
-
-def verified(pairs: DataFrame, reps: DataFrame, threshold: float, shingle: int) -> DataFrame:
-    """Exact Jaccard index of candidate pairs, JVM side; texts of candidates only."""
-    pairs = materialize(pairs, "pairs")
-    used = pairs.select(F.explode(F.array("a", "b")).alias("_k")).distinct()
-    sets = reps.join(used, "_k", "left_semi").select("_k", shingle_set(F.col("_t"), shingle).alias("_s"))
-    sets = materialize(sets, "sets")
-    both = pairs.join(sets.select(F.col("_k").alias("a"), F.col("_s").alias("sa")), "a").join(sets.select(F.col("_k").alias("b"), F.col("_s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    scored = both.select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("similarity"))
-    return scored.where(F.col("similarity") >= threshold)
-
-
-def shingle_set(text, n: int):  # noqa: ANN001, ANN201
-    """Distinct 64-bit hashes of the n-word shingles; a shorter text is one shingle."""
-    words = uwords(text)
-
-    def made(w):  # noqa: ANN001, ANN202
-        return F.when(F.size(w) < n, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(
-            F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.xxhash64(F.array_join(F.slice(w, i, n), " "))))
-        )
-
-    # bind the words once: transform over a one-element array keeps them from being split again for each shingle
-    return F.element_at(F.transform(F.array(words), made), 1)
+    return similarity.verified(pairs, reps, shingle, threshold)
 
 
 def near_duplicates_exact(df: DataFrame, key: str, text: str, threshold: float = 0.8, shingle: int = 5, min_chars: int = 200) -> DataFrame:
     """(a, b, similarity) between different texts, every pair of at least ``threshold``.
 
-    A prefix index on the rarest shingles: two texts of that similarity share one
-    among the first size - ceil(threshold * size) + 1 of each, in one order for all
-    (rarest first). Sizes too far apart are pruned in the join.
+    Candidates come from a prefix index on the rarest shingles (``similarity``); none
+    is lost. Use ``copy_classes`` for the copies of each text.
     """
-    reps = representatives(df, key, text, min_chars).select("_k", shingle_set(F.col("_t"), shingle).alias("_s"))
-    reps = materialize(reps, "shingles")
-    rows = reps.select("_k", F.size("_s").alias("_n"), F.explode("_s").alias("_h"))
-    often = rows.groupBy("_h").agg(F.count("*").alias("_c")).where("_c > 1")
-    # a shingle of one text alone links nothing: its rank counts, its row does not
-    ranked = rows.join(often, "_h", "left").select("_k", "_n", "_h", F.coalesce("_c", F.lit(1)).alias("_c"))
-    place = ranked.groupBy("_k", "_n").agg(F.array_sort(F.collect_list(F.struct("_c", "_h"))).alias("_l"))  # one text's shingles
-    prefix = place.select("_k", "_n", F.slice("_l", F.lit(1), (F.col("_n") - F.ceil(F.col("_n") * threshold - 1e-9) + 1).cast("int")).alias("_l"))
-    prefix = prefix.select("_k", "_n", F.explode(F.filter("_l", lambda x: x["_c"] > 1)).alias("_x")).select("_k", "_n", F.col("_x._h").alias("_h"))
-    left, right = prefix.select(F.col("_k").alias("a"), F.col("_n").alias("na"), "_h"), prefix.select(F.col("_k").alias("b"), F.col("_n").alias("nb"), "_h")
-    pairs = left.join(right, "_h").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)).select("a", "b").distinct()
-    both = pairs.join(reps.select(F.col("_k").alias("a"), F.col("_s").alias("sa")), "a").join(reps.select(F.col("_k").alias("b"), F.col("_s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
+    reps, _ = similarity.text_classes(df, key, text, min_chars)
+    return similarity.similar_pairs(reps, shingle, threshold)
 
 
 def classes_of(pairs: DataFrame, nodes: DataFrame, key: str, max_rounds: int = 60) -> DataFrame:
