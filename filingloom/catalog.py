@@ -95,7 +95,7 @@ _COUNTED = f"""
     from documents d left join j using (doc_id) where d.text is not null
     union all select doc_id, null from documents where text is null""")
 def strip_boilerplate(spark: SparkSession, d: str) -> DataFrame:
-    clean = cleaning.strip_boilerplate(table(spark, d, "documents"), "doc_id", "text")
+    clean = cleaning.strip_boilerplate(table(spark, d, "documents"), ["doc_id"], "text")
     return clean.select("doc_id", F.sha2("text", 256).alias("text_hash"))
 
 

@@ -2,48 +2,62 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from filingloom.functions.text import ulines, ustrip
 
 # Fixed values.
 #: The project's own table markers, which repeat but are structure.
 MARKERS = ("[TABLE]", "[/TABLE]")
-PAGE_NUMBER = r"^[0-9]{1,4}$"
-CONTENTS = r"(?i)^table of contents$"
+#: Unicode white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_PAGE = re.compile("[0-9]{1,4}")
 #: Words run together: a comma or a full stop without a blank after it.
 JOINED = r"[a-z],[a-z]|[a-z]\.[A-Z][a-z]"
 
 
-def _lines(df: DataFrame, key: str, text: str) -> DataFrame:
-    rows = df.select(F.col(key).alias("_k"), F.posexplode(ulines(F.col(text))).alias("_no", "_line"))
-    return rows.withColumn("_s", ustrip(F.col("_line")))
+def clean_text(text: str, min_repeats: int = 2, max_chars: int = 100) -> str:
+    """One text without its boilerplate lines; see ``strip_boilerplate``."""
+    lines = text.split("\n")
+    bare = [line.strip(WHITE) for line in lines]
+    times = Counter(bare)
 
+    def stays(s: str) -> bool:
+        if not s or s in MARKERS:
+            return True
+        return not (_PAGE.fullmatch(s) or s.lower() == "table of contents" or len(s) < max_chars and times[s] >= min_repeats)
 
-def _is_boilerplate(min_repeats: int, max_chars: int) -> Column:
-    s = F.col("_s")
-    repeated = (F.length(s) < max_chars) & (F.col("_n") >= min_repeats)
-    return (s != "") & ~s.isin(*MARKERS) & (s.rlike(PAGE_NUMBER) | s.rlike(CONTENTS) | repeated)
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(line for line, s in zip(lines, bare) if stays(s))).strip(WHITE)
 
 
-def strip_boilerplate(df: DataFrame, key: str, text: str, min_repeats: int = 2, max_chars: int = 100) -> DataFrame:
-    """(key, ``text``): page numbers, contents headings and short lines that repeat
-    within the text are dropped (all their occurrences), runs of blank lines shrink
-    to one and the ends are stripped.
+def strip_boilerplate(df: DataFrame, keep: Sequence[str], text: str, min_repeats: int = 2, max_chars: int = 100) -> DataFrame:
+    """keep columns and ``text``: page numbers, contents headings and short lines that
+    repeat within the text are dropped (all their occurrences), runs of blank lines
+    shrink to one and the ends are stripped.
 
-    ``key`` is unique. Lines are counted by a window over (key, line) and put
-    together again by position, one text's lines at a time; a text that is all
-    boilerplate becomes empty, null stays null.
+    An Arrow stage, text by text: a count of a text's own lines needs no shuffle. A
+    text that is all boilerplate becomes empty, null stays null.
     """
-    counted = _lines(df, key, text).withColumn("_n", F.count("*").over(Window.partitionBy("_k", "_s")))
-    kept = counted.where(~_is_boilerplate(min_repeats, max_chars)).groupBy("_k").agg(F.array_sort(F.collect_list(F.struct("_no", "_line"))).alias("_l"))
-    joined = F.array_join(F.transform("_l", lambda x: x["_line"]), "\n")
-    clean = ustrip(F.regexp_replace(joined, r"\n{3,}", "\n\n"))
-    back = df.select(F.col(key).alias("_k"), F.col(text).isNull().alias("_null")).join(kept, "_k", "left")
-    return back.select(F.col("_k").alias(key), F.when(~F.col("_null"), F.coalesce(clean, F.lit(""))).alias("text"))
+    schema = T.StructType([*(df.schema[k] for k in keep), T.StructField("text", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [None if t is None else clean_text(t, min_repeats, max_chars) for t in b.column(len(keep)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(made, pa.string())], names=schema.names)
+
+    return df.select(*keep, text).mapInArrow(run, schema)
+
+
+def _lines(df: DataFrame, key: str, text: str) -> DataFrame:
+    rows = df.select(F.col(key).alias("_k"), F.posexplode(ulines(F.col(text))).alias("_no", "_line"))
+    return rows.withColumn("_s", ustrip(F.col("_line")))
 
 
 def stripped_lines(df: DataFrame, key: str, text: str, min_repeats: int = 2, max_chars: int = 100) -> DataFrame:

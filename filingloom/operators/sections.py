@@ -7,12 +7,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from filingloom.functions.text import SPACE, ulines, ustrip
+from filingloom.functions.text import SPACE
 from filingloom.operators.windows import running_switch
 
 # Fixed values.
 #: A contents line: tab, title, tab, page number or range, at the line's end.
-CONTENTS_LINE = rf"\t[^\t\n]*\t[0-9]{{1,4}}(-[0-9]{{1,4}})?{SPACE}*$"
+CONTENTS_LINE = rf"\t[^\t\n]*\t[0-9]{{1,4}}(?:-[0-9]{{1,4}})?[{SPACE}&&[^\n]]*(?=\n|\z)"
+#: From the first sign of a line that is not blank to its end.
+INKED_LINE = rf"[^{SPACE}][^\n]*"
 #: Part of each item of an annual report.
 ANNUAL_PARTS = {
     "I": "1 1A 1B 1C 1-2 2 3 4", "II": "5 6 7 7A 8 9 9A 9B 9C", "III": "10 11 12 13 14", "IV": "15 16",
@@ -21,9 +23,8 @@ ANNUAL_PARTS = {
 
 def looks_like_contents(text: Column, share: float = 0.5, min_lines: int = 3) -> Column:
     """Are at least ``share`` of the non-blank lines contents lines?"""
-    lines = F.filter(ulines(text), lambda x: ustrip(x) != "")
-    hits = F.size(F.filter(lines, lambda x: x.rlike(CONTENTS_LINE)))
-    return (F.size(lines) >= min_lines) & (hits >= share * F.size(lines))
+    lines = F.regexp_count(text, F.lit(INKED_LINE))
+    return (lines >= min_lines) & (F.regexp_count(text, F.lit(CONTENTS_LINE)) >= share * lines)
 
 
 def drop_contents_duplicates(df: DataFrame, filing: Sequence[str], item: str = "item_id", text: str = "text") -> DataFrame:

@@ -11,16 +11,14 @@ from filingloom.operators import answers, chunking, cleaning, html, retrieval, s
 def section_records(filings: DataFrame, content: str = "content", min_chars: int = 50) -> DataFrame:
     """Filings with their HTML to cleaned section records.
 
-    One Arrow stage parses; everything after it is Column expressions. The filing
-    is the unit of the two windows, so the text is shuffled by accession once.
+    One Arrow stage parses. The sections are shuffled once, by filing, for the two
+    windows over a filing; cleaning and the rest are done within the row.
     """
     keep = ["ticker", "cik", "company", "form", "filing_date", "report_date", "accession"]
-    split = html.split_html(filings, keep, content)
+    split = html.split_html(filings, keep, content).repartition("accession")
     kept = sections.assign_parts(sections.drop_contents_duplicates(split, ["accession"]), ["accession"])
-    kept = kept.withColumn("_key", F.concat_ws("|", "accession", F.col("section_pos").cast("string")))
-    clean = cleaning.strip_boilerplate(kept, "_key", "text")
-    merged = kept.drop("text").join(clean, "_key").drop("_key")
-    done = sections.finish_records(merged, min_chars)
+    clean = cleaning.strip_boilerplate(kept, [*keep, "item_id", "item_title"], "text")
+    done = sections.finish_records(clean, min_chars)
     return done.select(*keep, "item_id", "item_title", "text", "char_count", "content_hash")
 
 

@@ -97,7 +97,7 @@ def test_boilerplate(spark):
         7: "1\n2",
     }
     df = spark.createDataFrame(list(texts.items()), "k int, t string")
-    got = {r["k"]: r["text"] for r in cleaning.strip_boilerplate(df, "k", "t").collect()}
+    got = {r["k"]: r["text"] for r in cleaning.strip_boilerplate(df, ["k"], "t").collect()}
     assert got[1] == texts[1]
     assert got[2] == "a\n12345\n  indented"
     assert got[3] == "body\n\nend"
