@@ -4,136 +4,27 @@ Method: count-vector bound with exact verification. The shingles of a text are
 hashed to groups, and the vector of group counts is its point; the overlap of two
 texts is at most the sum of the smaller counts, group by group, so pairs whose sum
 is too small are pruned before their texts are compared. An R-tree over the points
-alone cannot drive the join: see the README for the measured reasons. Candidates
-come from an exact prefix index over the rarest shingles instead: texts that share
-the needed overlap share K shingles among their rarest ones.
+cannot drive the join: see the README for the measured reasons. Candidates come from
+the exact prefix index of the core's similarity join instead.
 
 Exact copies are one class from the start, so a group of copies costs as one text.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filingloom.functions.hashing import ngram_hashes, slices, word_hashes
-from filingloom.session import materialize
+from filingloom.operators.similarity import similar_pairs, text_classes
 
-#: Buckets of the shingle frequency table: 2**18 counters, whatever the input's size.
-BUCKET_BITS = 18
 #: Groups of the count vector.
 GROUPS = 64
-#: Buckets of the tables of keys that are broadcast: bounded, whatever the input's size.
-KEY_BUCKETS = 1 << 18
-#: Shingles that a candidate pair shares among its rarest ones.
-SHARED = 3
-
-
-def shingle_sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
-    """(first row, row of each shingle, hash, rows) per slice, distinct within a row
-    and sorted by row and hash. A text of fewer than ``n`` words has one shingle,
-    made of all its words; a text without words has none."""
-    for first, raw, offsets in slices(column):
-        rows, words = word_hashes(raw, offsets)
-        r, h, _ = ngram_hashes(rows, words, n)
-        count = np.bincount(rows, minlength=len(offsets) - 1)
-        short = np.flatnonzero((count > 0) & (count < n))
-        if len(short):
-            ends = np.cumsum(count)
-            with np.errstate(over="ignore"):
-                own = np.array([np.bitwise_xor.reduce(words[ends[i] - count[i] : ends[i]] * np.arange(3, 2 * count[i] + 3, 2, dtype=np.uint64)) for i in short], np.uint64)
-            r, h = np.concatenate([r, short]), np.concatenate([h, own])
-        order = np.lexsort((h, r))
-        r, h = r[order], h[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
-        yield first, r[new], h[new], len(offsets) - 1
-
-
-def _classes(df: DataFrame, key: str, text: str, min_chars: int) -> tuple[DataFrame, DataFrame]:
-    """(representatives: _k, _t; membership: rep, member for texts stored more than once)."""
-    base = df.select(F.col(f"`{key}`").cast("long").alias("_k"), F.col(f"`{text}`").alias("_t")).where(f"_k is not null and length(_t) >= {int(min_chars)}")
-    a, b = F.xxhash64("_t"), F.xxhash64(F.lit(11), "_t")
-    bucket = F.pmod(F.col("_a"), F.lit(KEY_BUCKETS)).cast("int")
-    marks = base.select("_k", a.alias("_a"), b.alias("_b"))
-    twice = marks.groupBy("_a", "_b").agg(F.count("*").alias("_n")).where("_n > 1").select(bucket.alias("_bucket")).distinct()
-    twice = materialize(twice, "copies")
-    tagged = base.withColumn("_bucket", F.pmod(a, F.lit(KEY_BUCKETS)).cast("int"))
-    single = tagged.join(F.broadcast(twice), "_bucket", "left_anti").select("_k", "_t")
-    # texts that occur again are combined before they move: one per task and class
-    again = tagged.join(F.broadcast(twice), "_bucket", "left_semi")
-    merged = again.groupBy(a.alias("_a"), b.alias("_b")).agg(F.min("_k").alias("_k"), F.first("_t").alias("_t"))
-    merged = materialize(merged, "representatives")
-    members = marks.withColumn("_bucket", bucket).join(F.broadcast(twice), "_bucket", "left_semi").select("_k", "_a", "_b").distinct()
-    members = members.join(merged.select(F.col("_k").alias("rep"), "_a", "_b"), ["_a", "_b"]).select("rep", F.col("_k").alias("member"))
-    return single.unionByName(merged.select("_k", "_t")), materialize(members, "members")
-
-
-def _frequencies(reps: DataFrame, n: int) -> np.ndarray:
-    """How often the shingles of each bucket occur, over all representatives.
-
-    The counts add up in each task, then per bucket; what comes to the driver is
-    the table of 2**BUCKET_BITS counters.
-    """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << BUCKET_BITS, np.int64)
-        for batch in batches:
-            for _, _, h, _ in shingle_sets(batch.column(0), n):
-                table += np.bincount((h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(table))
-        at = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(table[at])], names=["bucket", "n"])
-
-    rows = reps.select("_t").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(1 << BUCKET_BITS, np.int64)
-    table[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
-    return table
-
-
-def _prefixes(reps: DataFrame, n: int, threshold: float, table: np.ndarray) -> DataFrame:
-    """(h, k, n): the rarest shingles of each text, in one order for all texts."""
-    shared = reps.sparkSession.sparkContext.broadcast(table)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = shared.value
-        for batch in batches:
-            keys = batch.column(0).to_numpy()
-            for first, r, h, rows in shingle_sets(batch.column(1), n):
-                if not len(h):
-                    continue
-                size = np.bincount(r, minlength=rows)
-                order = np.lexsort((h, often[(h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)], r))
-                begin = np.cumsum(size) - size
-                place = np.arange(len(h)) - begin[r]
-                need = np.ceil(threshold * size - 1e-9).astype(np.int64)
-                use = place < (size - need + np.minimum(SHARED, need))[r]
-                rr = r[use]
-                yield pa.RecordBatch.from_arrays([pa.array(h[order][use].view(np.int64)), pa.array(keys[first + rr]), pa.array(size[rr].astype(np.int32))], names=["h", "k", "n"])
-
-    return reps.select("_k", "_t").mapInArrow(run, "h long, k long, n int")
-
-
-def _candidates(prefixes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): pairs sharing enough of their rarest shingles, sizes within reach."""
-    # the number of sharers of each shingle is not capped; the sort-merge join
-    # streams large groups and adaptive execution splits them
-    left, right = prefixes.select("h", F.col("k").alias("a"), F.col("n").alias("na")), prefixes.select("h", F.col("k").alias("b"), F.col("n").alias("nb"))
-    pairs = left.join(right, "h").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9))
-    need = F.least(F.lit(SHARED), F.ceil(F.min("na") * threshold - 1e-9), F.ceil(F.min("nb") * threshold - 1e-9))
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("c"), need.alias("need")).where("c >= need").select("a", "b")
-
-
-def _sets_of(texts: pa.Array, n: int) -> list[np.ndarray]:
-    out: list[np.ndarray] = []
-    for _, r, h, rows in shingle_sets(texts, n):
-        cuts = np.searchsorted(r, np.arange(1, rows))
-        out += np.split(h, cuts)
-    return out
+
+def count_vector(shingles: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    """How many of the shingles hash to each group: the text's point."""
+    return np.bincount((shingles % np.uint64(groups)).astype(np.int64), minlength=groups)
 
 
 def overlap_bound(a: np.ndarray, b: np.ndarray) -> int:
@@ -141,31 +32,8 @@ def overlap_bound(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.minimum(a, b).sum())
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(a, b, similarity) of the candidate pairs that reach the threshold, exactly."""
-    pairs = materialize(pairs, "pairs")
-    bucket = F.pmod(F.xxhash64("_k"), F.lit(KEY_BUCKETS)).cast("int")
-    used = pairs.select(F.explode(F.array("a", "b")).alias("_k")).select(bucket.alias("_bucket")).distinct()
-    texts = materialize(reps.withColumn("_bucket", bucket).join(F.broadcast(used), "_bucket", "left_semi").select("_k", "_t"), "texts")
-    both = pairs.join(texts.select(F.col("_k").alias("a"), F.col("_t").alias("ta")), "a").join(texts.select(F.col("_k").alias("b"), F.col("_t").alias("tb")), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sa, sb = _sets_of(batch.column("ta"), n), _sets_of(batch.column("tb"), n)
-            keep, sims = [], []
-            for i, (x, y) in enumerate(zip(sa, sb)):
-                low = threshold / (1 + threshold) * (len(x) + len(y)) - 1e-9
-                va, vb = (np.bincount((s % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS) for s in (x, y))
-                if overlap_bound(va, vb) < low:
-                    continue
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                if common and common >= threshold * (len(x) + len(y) - common) - 1e-9:
-                    keep.append(i)
-                    sims.append(common / (len(x) + len(y) - common))
-            index = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(index), batch.column("b").take(index), pa.array(sims, pa.float64())], names=["a", "b", "similarity"])
-
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, similarity double")
+def _bound(x: np.ndarray, y: np.ndarray) -> int:
+    return overlap_bound(count_vector(x), count_vector(y))
 
 
 def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.7, shingle: int = 3, min_chars: int = 200) -> tuple[DataFrame, DataFrame]:
@@ -173,18 +41,14 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.7,
 
     ``pairs``: a, b (a < b), similarity, between classes of exact copies, each class
     under its smallest key. ``members``: rep, member for the texts that are stored
-    more than once (rep is a member too). Similarity is Jaccard of the sets of ``shingle``
-    consecutive words; the result is exact, no pair is lost. Texts shorter than
-    ``min_chars``, null texts and null keys take no part; rows repeated under one
-    key count once (the same key with two texts: both take part). Keys are bigint.
-    Extra columns are ignored; an empty table has no pairs.
+    more than once (rep is a member too). Similarity is Jaccard of the sets of
+    ``shingle`` consecutive words; the result is exact, no pair is lost. Texts shorter
+    than ``min_chars``, null texts and null keys take no part; rows repeated under one
+    key count once (the same key with two texts: both take part). Extra columns are
+    ignored; an empty table has no pairs.
     """
-    if not 0.5 <= threshold <= 1:
-        raise ValueError("threshold must be in [0.5, 1]")
-    reps, members = _classes(df, key, text, min_chars)
-    table = _frequencies(reps, shingle)
-    pairs = _verified(_candidates(_prefixes(reps, shingle, threshold, table), threshold), reps, shingle, threshold)
-    return pairs.where("a <> b").distinct(), members
+    reps, members = text_classes(df, key, text, min_chars)
+    return similar_pairs(reps, shingle, threshold, _bound), members
 
 
 def expanded_pairs(pairs: DataFrame, members: DataFrame, whole_up_to: int = 1000) -> DataFrame:
@@ -202,9 +66,3 @@ def expanded_pairs(pairs: DataFrame, members: DataFrame, whole_up_to: int = 1000
     star = large.select(F.col("rep").alias("x"), F.col("member").alias("y")).where("x <> y")
     both = across.unionByName(within).unionByName(star)
     return both.select(F.least("x", "y").alias("record_a"), F.greatest("x", "y").alias("record_b")).where("record_a < record_b").distinct()
-
-
-def prefix_length(size: int, threshold: float) -> int:
-    """Length of the rarest part of a set of ``size`` shingles that is indexed."""
-    need = math.ceil(threshold * size - 1e-9)
-    return size - need + min(SHARED, need)

@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 
 from filingloom.llm.leakage import find_leaks, leaks, scores
-from filingloom.llm.near_dups import expanded_pairs, near_duplicates, overlap_bound, shingle_sets
+from filingloom.llm.near_dups import count_vector, expanded_pairs, near_duplicates, overlap_bound
+from filingloom.operators.similarity import sets_of
 
 
 def shingles(t, n=3):
@@ -72,13 +73,10 @@ def test_bound_is_never_less_than_the_overlap():
     import pyarrow as pa
 
     texts = [t for _, t in variants(9)]
-    sets = []
-    for _, r, h, n in shingle_sets(pa.array(texts), 3):
-        sets += [h[r == i] for i in range(n)]
+    sets = sets_of(pa.array(texts), 3)
     for a in sets:
         for b in sets[::5]:
-            va, vb = (np.bincount((s % np.uint64(16)).astype(np.int64), minlength=16) for s in (a, b))
-            assert overlap_bound(va, vb) >= len(np.intersect1d(a, b))
+            assert overlap_bound(count_vector(a, 16), count_vector(b, 16)) >= len(np.intersect1d(a, b))
 
 
 # ------------------------------------------------------------------------- leaks
