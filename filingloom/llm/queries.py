@@ -87,8 +87,9 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = split_oversized(_table(spark, sf_dir, "records"), ["record_id"], "text", with_text=False).distinct()
-    return pieces.groupBy("cut").agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("tokens"), F.max("n_tokens").alias("most_tokens"))
+    """The pieces of all records with their sizes, cuts and content hashes."""
+    pieces = split_oversized(_table(spark, sf_dir, "records"), ["record_id"], "text")
+    return pieces.select("record_id", "piece_index", "n_pieces", "n_tokens", "shared_chars", "cut", F.sha2("piece", 256).alias("piece_hash")).distinct()
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,11 +101,10 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.where("n_parts > 1").select("doc_id").distinct()
 
 
-def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Containers by how full they are, in tenths."""
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The containers with their parts and tokens."""
     packed = pack(_table(spark, sf_dir, "documents"), "doc_id", text="text").where("container is not null")
-    full = packed.groupBy("container").agg(F.sum("n_tokens").alias("n"))
-    return full.groupBy(F.floor(F.col("n") * 10 / 2048).cast("int").alias("tenths")).agg(F.count("*").alias("containers"), F.sum("n").alias("tokens"))
+    return packed.groupBy("container").agg(F.count("*").alias("parts"), F.sum("n_tokens").alias("tokens"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +122,7 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (p1_found, p1_shares, p2_found, p2_titles, p2_forms, p3_found, p3_clean, p4_found, p4_clean, p5_found, p5_pieces, p6_found, p7_found, p7_fill, p8_found, p9_found, p9_restored)
+    own = (p1_found, p1_shares, p2_found, p2_titles, p2_forms, p3_found, p3_clean, p4_found, p4_clean, p5_found, p5_pieces, p6_found, p7_found, p7_containers, p8_found, p9_found, p9_restored)
     return {f.__name__: f for f in own}
 
 
