@@ -242,10 +242,10 @@ def not_yet_present(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
     with r as (select *, row_number() over (partition by accession order by downloaded_at desc nulls last, sha256 nulls last, local_path nulls last) as rn from manifest where accession is not null)
-    select accession, sha256, epoch_us(downloaded_at) as downloaded_us, size_bytes from r where rn = 1""")
+    select accession, sha256, epoch_us(downloaded_at) as downloaded_us, coalesce(size_bytes, -1) as size_bytes from r where rn = 1""")
 def latest_version(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "manifest").where("accession is not null")
-    return selection.latest_version(m, ["accession"], "downloaded_at", ["sha256", "local_path"]).select("accession", "sha256", F.unix_micros("downloaded_at").alias("downloaded_us"), "size_bytes")
+    return selection.latest_version(m, ["accession"], "downloaded_at", ["sha256", "local_path"]).select("accession", "sha256", F.unix_micros("downloaded_at").alias("downloaded_us"), F.coalesce("size_bytes", F.lit(-1).cast("long")).alias("size_bytes"))
 
 
 @query("""
