@@ -209,9 +209,7 @@ def near_duplicates_minhash(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def near_duplicate_classes(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    pairs = materialize(dedup.near_duplicates_exact(docs, "doc_id", "text").select("a", "b"), "pairs")
-    return dedup.classes_of(pairs, docs, "doc_id")
+    return dedup.near_duplicate_classes(table(spark, d, "documents"), "doc_id", "text")
 
 
 # ---------------------------------------------------------------------- selection

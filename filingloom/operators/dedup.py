@@ -105,16 +105,31 @@ def near_duplicates_exact(df: DataFrame, key: str, text: str, threshold: float =
     return similarity.similar_pairs(reps, shingle, threshold)
 
 
-def classes_of(pairs: DataFrame, nodes: DataFrame, key: str, max_rounds: int = 60) -> DataFrame:
+def near_duplicate_classes(df: DataFrame, key: str, text: str, threshold: float = 0.8, shingle: int = 5, min_chars: int = 200) -> DataFrame:
+    """(key, ``class_id``, ``links``): every row of ``df`` with the smallest key of its
+    class of equal and near texts; ``links`` counts the other rows whose text is equal
+    or near to its own. Keys are unique; null keys and texts under ``min_chars`` are
+    classes of their own.
+    """
+    reps, members = similarity.text_classes(df, key, text, min_chars)
+    pairs = materialize(similarity.similar_pairs(reps, shingle, threshold).select("a", "b"), "pairs")
+    return classes_of(pairs, df, key, members=members)
+
+
+def classes_of(pairs: DataFrame, nodes: DataFrame, key: str, max_rounds: int = 60, members: DataFrame | None = None) -> DataFrame:
     """(key, ``class_id``, ``links``): connected classes of a pair list, each under its
     smallest key; every node of ``nodes`` has a row.
 
+    With ``members`` (rep, member: copies under their smallest key, rep is a member too)
+    the pairs are those of representatives, and the result is that of the pairs of all
+    members: each copy is in its representative's class and linked to its other copies
+    and to all copies of the texts near to it. Copies take no part in the rounds.
+
     Large-star and small-star rounds (Kiveris et al. 2014) on edge tables written to
     the shared folder; only a count comes to the driver.
     """
     both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v")
     edges = materialize(both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    links = pairs.select(F.explode(F.array("a", "b")).alias(key)).groupBy(key).agg(F.count("*").alias("links"))
     known = None
     for _ in range(max_rounds):
         # large star: connect the larger neighbours of each node to its smallest
@@ -132,5 +147,16 @@ def classes_of(pairs: DataFrame, nodes: DataFrame, key: str, max_rounds: int = 6
         known = state
     else:
         raise RuntimeError("classes did not settle")
-    roots = edges.groupBy("u").agg(F.min("v").alias("_root")).withColumnRenamed("u", key)
-    return nodes.select(key).join(roots, key, "left").join(links, key, "left").select(key, F.coalesce("_root", key).alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    roots = edges.groupBy("u").agg(F.min("v").alias("_root")).withColumnRenamed("u", "_rep")
+    ends = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    of = nodes.select(F.col(key).alias("_key"))
+    if members is None:
+        known = roots.join(ends.groupBy(F.col("a").alias("_rep")).agg(F.count("*").alias("_links")), "_rep", "full")
+        of = of.withColumn("_rep", F.col("_key"))
+    else:
+        size = members.groupBy(F.col("rep").alias("_rep")).agg(F.count("*").alias("_n"))
+        near = ends.join(size.withColumnRenamed("_rep", "b"), "b", "left").groupBy(F.col("a").alias("_rep")).agg(F.sum(F.coalesce("_n", F.lit(1))).alias("_near"))
+        known = roots.join(near, "_rep", "full").join(size, "_rep", "full")
+        known = known.select("_rep", "_root", (F.coalesce("_near", F.lit(0)) + F.coalesce("_n", F.lit(1)) - 1).alias("_links"))
+        of = of.join(members.select(F.col("member").alias("_key"), "rep"), "_key", "left").select("_key", F.coalesce("rep", "_key").alias("_rep"))
+    return of.join(known, "_rep", "left").select(F.col("_key").alias(key), F.coalesce("_root", "_rep").alias("class_id"), F.coalesce("_links", F.lit(0)).alias("links"))

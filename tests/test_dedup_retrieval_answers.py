@@ -64,6 +64,31 @@ def test_classes(spark):
     assert {got[i][0] for i in range(30, 51)} == {30} and got[4] == (4, 0) and got[2][1] == 2
 
 
+def test_near_classes_hold_exact_copies(spark):
+    rows = corpus()
+    rows += [(2000 + i, rows[0][1]) for i in range(60)]  # copies without a near text
+    near = {frozenset(p) for p in brute(rows)}
+    first = {}
+    for k, x in rows:
+        if x and len(x) >= 200:
+            first.setdefault(x, k)
+    rep = {k: first.get(x, k) for k, x in rows}
+    linked = {k: {o for o in rep if o != k and (rep[o] == rep[k] or frozenset((rep[o], rep[k])) in near)} for k in rep}
+    want = {}
+    for k in sorted(rep):
+        todo = [] if k in want else [k]
+        while todo:
+            x = todo.pop()
+            if x not in want:
+                want[x] = (k, len(linked[x]))
+                todo += linked[x]
+    df = spark.createDataFrame(rows, "k long, t string")
+    got = dedup.near_duplicate_classes(df, "k", "t").collect()
+    assert len(got) == len(rows) and {r["k"]: (r["class_id"], r["links"]) for r in got} == want
+    assert any(rep[k] != k and frozenset((rep[k], o)) in near for k in rep for o in rep)
+    assert dedup.near_duplicate_classes(df.where("false"), "k", "t").count() == 0
+
+
 def test_copies(spark):
     df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None), (5, None)], "k int, t string")
     assert [(r["copies"], r["first_key"]) for r in dedup.exact_copies(df, "k", "t").collect()] == [(2, 1)]
