@@ -56,6 +56,24 @@ def test_a_line_as_common_elsewhere_is_no_excess(spark):
     assert flagged_lines(df, "k", "s", "t").count() == 0
 
 
+def test_p3_lines_count_within_their_ticker_alone(spark, tmp_path):
+    """Notices as common elsewhere, a ticker with nearly all records, and one under the rule."""
+    from filingloom.llm import queries
+
+    everywhere, hot = "This very line stands in all documents", "A line of the hot ticker in eight records of it"
+    rows = [(k, f"s{k % 4}", f"{everywhere}\nown") for k in range(80)]
+    rows += [(100 + k, "hot", f"own\n{hot if k < 8 else 'x'}\n{'Only seven records hold this line here' if k < 7 else ''}") for k in range(400)]
+    rows += [(600 + k, "s0", hot) for k in range(4)] + [(700 + k, None, f"A line of no ticker, page {k}") for k in range(8)]
+    spark.createDataFrame([*rows, rows[0]], "record_id long, ticker string, text string").write.parquet(str(tmp_path / "records.parquet"))
+    got = [(r["record_id"], r["line_no"]) for r in queries.p3_found(spark, str(tmp_path)).collect()]
+    want = brute(rows)
+    assert len(want) == 80 + 8 + 8 and len(got) == len(set(got)) and set(got) == want
+    removed = {r["record_id"]: r["removed_lines"] for r in queries.p3_clean(spark, str(tmp_path)).collect()}
+    assert len(removed) == len(rows) and {k for k, n in removed.items() if n} == {k for k, _ in want} and set(removed.values()) == {0, 1}
+    found = repeated_lines(spark.createDataFrame(rows, "k long, s string, t string"), "k", "s", "t", false_discovery=None).collect()
+    assert len(found) == 6 and min(r["docs"] for r in found) == 8 and max(r["p"] for r in found) > 0.01
+
+
 @pytest.mark.parametrize(
     ("text", "languages"),
     [
