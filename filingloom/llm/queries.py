@@ -88,9 +88,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pieces of all records with their sizes, cuts and content hashes."""
-    pieces = split_oversized(_table(spark, sf_dir, "records"), ["record_id"], "text")
-    return pieces.select("record_id", "piece_index", "n_pieces", "n_tokens", "shared_chars", "cut", F.sha2("piece", 256).alias("piece_hash")).distinct()
+    """The pieces of all records and chunks with their sizes, cuts and content hashes."""
+    records = split_oversized(_table(spark, sf_dir, "records"), ["record_id"], "text").withColumn("tab", F.lit("records")).withColumn("item_key", F.col("record_id").cast("string"))
+    chunks = split_oversized(_table(spark, sf_dir, "chunks"), ["chunk_id"], "text").withColumn("tab", F.lit("chunks")).withColumn("item_key", F.col("chunk_id"))
+    columns = ("tab", "item_key", "piece_index", "n_pieces", "n_tokens", "shared_chars", "cut", F.sha2("piece", 256).alias("piece_hash"))
+    return records.select(*columns).unionByName(chunks.select(*columns)).distinct()
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,6 +80,20 @@ def test_split_table_cases(spark, with_clashes):
         split_oversized(df, ["k"], "t", max_tokens=50, overlap=25)
 
 
+def test_p5_pieces_cover_records_and_chunks(spark, tmp_path):
+    from hashlib import sha256
+
+    from filingloom.llm import queries
+
+    texts = {("records", "1"): prose(1, 120), ("records", "2"): "short", ("chunks", "a|b|1|0"): prose(2, 120), ("chunks", "a|b|1|1"): "short", ("chunks", "a|b|1|2"): None}
+    for tab, key, kind in (("records", "record_id", "long"), ("chunks", "chunk_id", "string")):
+        rows = [(int(k) if kind == "long" else k, t) for (x, k), t in texts.items() if x == tab]
+        spark.createDataFrame([*rows, rows[0]], f"{key} {kind}, text string").write.parquet(str(tmp_path / f"{tab}.parquet"))
+    want = {(*x, i, len(made), sha256(t[p[0] : p[1]].encode()).hexdigest()) for x, t in texts.items() if t is not None for made in [split_text(t)] for i, p in enumerate(made)}
+    got = [(r["tab"], r["item_key"], r["piece_index"], r["n_pieces"], r["piece_hash"]) for r in queries.p5_pieces(spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and set(got) == want and max(x[3] for x in got if x[0] == "chunks") > 1
+
+
 def test_packer_takes_the_level_with_the_least_sum_of_squares():
     r = random.Random(1)
     p = Packer(10)
