@@ -49,12 +49,23 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookalike_groups(_table(spark, sf_dir, "chunks"), "item_title")
+    """The stored values of each field that look equal: of titles, and of texts."""
+    records = lookalike_groups(_table(spark, sf_dir, "records"), "text").withColumn("tab", F.lit("records"))
+    chunks = lookalike_groups(_table(spark, sf_dir, "chunks"), "item_title").withColumn("tab", F.lit("chunks"))
+    columns = ("tab", "skeleton", "n_rows", "n_forms", "form")
+    return records.select(*columns).unionByName(chunks.select(*columns))
 
 
 def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    forms = one_form(_table(spark, sf_dir, "records"), ["record_id"], "text", only_changed=True)
-    return forms.select("record_id", F.sha2("form", 256).alias("form_hash")).distinct()
+    """The one form of each text and title that is not stored in it."""
+    records = one_form(_table(spark, sf_dir, "records"), ["record_id"], "text", only_changed=True)
+    chunks = one_form(_table(spark, sf_dir, "chunks"), ["chunk_id"], "item_title", only_changed=True)
+    form = F.sha2("form", 256).alias("form_hash")
+    return (
+        records.select(F.lit("records").alias("tab"), F.col("record_id").cast("string").alias("item_key"), form)
+        .unionByName(chunks.select(F.lit("chunks").alias("tab"), F.col("chunk_id").alias("item_key"), form))
+        .distinct()
+    )
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

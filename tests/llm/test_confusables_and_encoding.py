@@ -44,6 +44,22 @@ def test_groups_and_table_cases(spark, with_clashes):
     assert one_form(df.where("false"), ["k"], "t").count() == 0 and lookalike_groups(df.where("false"), "t").count() == 0
 
 
+def test_p2_queries_cover_both_fields(spark, tmp_path):
+    from hashlib import sha256
+
+    from filingloom.llm import queries
+
+    records = [(1, "Properties of it"), (2, "Рropеrtiеs of it"), (2, "Рropеrtiеs of it"), (3, "Other"), (4, None)]
+    chunks = [("a|1", "Risk Factors"), ("a|2", "Ｒｉｓｋ Factors"), ("a|3", "Staff\xa0Comments"), ("a|3", "Staff\xa0Comments"), ("a|4", "Other"), ("a|5", None)]
+    spark.createDataFrame(records, "record_id long, text string").write.parquet(str(tmp_path / "records.parquet"))
+    spark.createDataFrame(chunks, "chunk_id string, item_title string").write.parquet(str(tmp_path / "chunks.parquet"))
+    got = sorted((r["tab"], r["item_key"], r["form_hash"]) for r in queries.p2_forms(spark, str(tmp_path)).collect())
+    want = [("chunks", "a|2", "Risk Factors"), ("chunks", "a|3", "Staff Comments"), ("records", "2", "Properties of it")]
+    assert got == [(tab, key, sha256(form.encode()).hexdigest()) for tab, key, form in want]
+    groups = sorted((r["tab"], r["skeleton"], r["n_rows"], r["n_forms"], r["form"]) for r in queries.p2_titles(spark, str(tmp_path)).collect())
+    assert groups == [("chunks", "Risk Factors", 2, 2, "Risk Factors"), ("records", "Properties of it", 3, 2, "Properties of it")]
+
+
 SENTENCES = ["L’été a été réévalué à la clôture — 12 M€.", "Größere Überkapazitäten für die Brücke", "¿Podrá la compañía más?", "The “Leldon” brand™ isn’t sold – yet…", "Жарков was licensed"]
 
 
