@@ -358,7 +358,8 @@ def clean(text: str) -> tuple[str, list[str]]:
 
 
 #: What every element of the four languages holds at least one of; a superset of detect().
-_HINT = r"<[A-Za-z/!]|&[A-Za-z#][A-Za-z0-9]*;|[*_`#\\]|~~|\]\(|\[\[|''|==|\{[{|]|\|[-}]|-{3}|\$[^ 0-9]|\$\d+[\\_^]|(?m)^[ \t]*[-+>]"
+#: The four letters beside A-Z are those that Python takes for ASCII ones without case.
+_HINT = r"<[A-Za-z/!İıſK]|&[A-Za-z#][A-Za-z0-9]*;|[*_`#\\]|~~|\]\(|\[\[|''|==|\{[{|]|\|[-}]|-{3}|\$[^ 0-9]|\$[0-9][^$\n=^]*+[=^][^$\n]*+\$|(?m)^[ \t]*[-+>]"
 
 
 def hinted(c: Column) -> Column:

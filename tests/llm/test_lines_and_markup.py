@@ -3,7 +3,7 @@ from collections import defaultdict
 
 import pytest
 
-from filingloom.llm.markup import clean, detect, strip_markup
+from filingloom.llm.markup import clean, detect, hinted, strip_markup
 from filingloom.llm.site_lines import flagged_lines, remove_repeated_lines, repeated_lines
 
 NOTICE = "All rights reserved by the owners, page "
@@ -117,3 +117,22 @@ def test_markup_table_cases(spark, with_clashes):
     assert len(got) == 7 and (2, [], None) in got and (3, [], "") in got and (4, [], "plain") in got and (None, ["markdown"], "b") in got
     assert strip_markup(df, ["k"], "t", only_marked=True, with_text=False).count() == 4
     assert strip_markup(df.where("false"), ["k"], "t").count() == 0
+
+
+def test_the_hint_passes_all_that_is_detected(spark):
+    """Formulas that begin with a digit, and random texts of markup signs."""
+    import random
+
+    rng = random.Random(3)
+    signs = ["$", "$", "$", "3", "3x", "x", "x = 1", "x", "=", "^", "2", " ", " ", "\n", "\r", "\u2028", "{", "}", "(", ")", "[", "]", "|", "-", "---", "+ ", "> ", "'", "~", "<", "/", "ſ", "i", "p", ">", "&", "amp", ";", "!", ":", "٣", "."]
+    texts = ["with $3x = 12$ and", "follows $2x^2 = 8$ in", "so $3x = 12$", "$3x = 12$", "$3 + x^2$\n", "a <ſpan> b", "a <ſub>2</ſub>"]
+    texts += ["".join(rng.choice(signs) for _ in range(rng.randint(2, 14))) for _ in range(40_000)]
+    # few signs at a time, as most random texts hold some other hint
+    texts += ["".join(rng.choice(few) for _ in range(rng.randint(4, 10))) for few in (["$", "3", "x", "=", "^", " ", "٣"], ["<", "ſ", "K", "ı", "İ", "p", "b", "i", ">", "/"], ["-", "+", " ", "x", "\n", "\r"], ["&", "a", "m", "p", ";", "#", "3"]) for _ in range(10_000)]
+    marked = [t for t in texts if detect(t)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(marked)], "k int, t string")
+    assert len(marked) > 500 and [r["t"] for r in df.where(~hinted(df["t"])).collect()] == []
+    prices = spark.createDataFrame([("Prices moved from $4 to $6, then from $6 to $8.",), ("$5 = 4 EUR",)], "t string")
+    assert prices.where(hinted(prices["t"])).count() == 0
+    got = {r["k"]: (r["languages"], r["clean_text"]) for r in strip_markup(spark.createDataFrame([(1, texts[0]), (2, texts[1])], "k int, t string"), ["k"], "t").collect()}
+    assert got == {1: (["latex"], "with 3x = 12 and"), 2: (["latex"], "follows 2x^2 = 8 in")}
