@@ -110,6 +110,16 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return expanded_pairs(*near_duplicates(_table(spark, sf_dir, "records"), "record_id", "text"))
 
 
+def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all pairs can be rebuilt from, whatever the size of a class: the near pairs
+    between representatives, and with ``is_copy`` each other member of a class of exact
+    copies (record_b) under its representative (record_a)."""
+    pairs, members = near_duplicates(_table(spark, sf_dir, "records"), "record_id", "text")
+    near = pairs.select(F.col("a").alias("record_a"), F.col("b").alias("record_b"), F.lit(False).alias("is_copy"))
+    copies = members.where("rep <> member").select(F.col("rep").alias("record_a"), F.col("member").alias("record_b"), F.lit(True).alias("is_copy"))
+    return near.unionByName(copies)
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack(_table(spark, sf_dir, "documents"), "doc_id", text="text")
     return packed.where("n_parts > 1").select("doc_id").distinct()
@@ -136,7 +146,7 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (p1_found, p1_shares, p2_found, p2_titles, p2_forms, p3_found, p3_clean, p4_found, p4_clean, p5_found, p5_pieces, p6_found, p7_found, p7_containers, p8_found, p9_found, p9_restored)
+    own = (p1_found, p1_shares, p2_found, p2_titles, p2_forms, p3_found, p3_clean, p4_found, p4_clean, p5_found, p5_pieces, p6_found, p6_classes, p7_found, p7_containers, p8_found, p9_found, p9_restored)
     return {f.__name__: f for f in own}
 
 

@@ -61,6 +61,27 @@ def test_large_classes_stay_with_their_representative(spark):
     assert star == {(0, i) for i in range(1, 20)} | {(0, 50)}
 
 
+def test_p6_classes_give_all_pairs_of_a_large_class(spark, tmp_path):
+    """A class over the size up to which p6_found writes copies out, and what is near to it."""
+    from filingloom.llm import queries
+
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(i, text) for i in range(1002)] + [(2000, text + " more"), (2001, text + " more"), (2001, text + " more"), (3000, text[::-1])]
+    spark.createDataFrame(rows, "record_id long, text string").write.parquet(str(tmp_path / "records.parquet"))
+    got = [tuple(r) for r in queries.p6_classes(spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and {x for x in got if not x[2]} == {(0, 2000, False)}
+    copies = {k: [k] for k in (0, 2000)}
+    for a, b, is_copy in got:
+        if is_copy:
+            copies[a].append(b)
+    assert sorted(copies[0]) == list(range(1002)) and copies[2000] == [2000, 2001]
+    rebuilt = {(a, b) for m in copies.values() for a in m for b in m if a < b} | {(a, b) for x, y, is_copy in got if not is_copy for a in copies[x] for b in copies[y]}
+    whole = [*range(1002), 2000, 2001]
+    assert len(rebuilt) == len(whole) * (len(whole) - 1) // 2
+    found = {tuple(r) for r in queries.p6_found(spark, str(tmp_path)).collect()}
+    assert found < rebuilt and (5, 2000) in rebuilt - found
+
+
 def test_empty_table_and_thresholds(spark):
     df = spark.createDataFrame([], "k long, t string")
     pairs, members = near_duplicates(df, "k", "t")
