@@ -385,13 +385,15 @@ def contents_shape(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _filings(spark: SparkSession, d: str) -> DataFrame:
-    """Each filing's records as one HTML document: headings in bold, texts as paragraphs."""
-    r = _records(spark, d).where("text is not null and not item_id like '%FRONT'")
+    """Each filing's records as one HTML document: the front text as it is, then headings
+    in bold, texts as paragraphs; ``n_items`` headings."""
+    r = _records(spark, d).where("text is not null")
     esc = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    raw = F.regexp_extract("item_id", r"-([0-9]+[A-Z]?)$", 1)
-    part = F.concat(F.lit('<div><span style="font-weight:700">Item '), raw, F.lit(". Section</span></div>\n<p>"), esc, F.lit("</p>\n"))
-    listed = r.where(raw != "").groupBy("accession", "form").agg(F.array_sort(F.collect_list(F.struct("record_id", part.alias("html")))).alias("l"))  # a filing's own sections
-    return listed.select("accession", "form", F.encode(F.concat(F.lit("<html><body>"), F.array_join(F.transform("l", lambda x: x["html"]), ""), F.lit("</body></html>")), "utf-8").alias("content"))
+    front, raw = F.coalesce(F.col("item_id").like("%FRONT"), F.lit(False)), F.regexp_extract("item_id", r"-([0-9]+[A-Z]?)$", 1)
+    heading = F.concat(F.lit('<div><span style="font-weight:700">Item '), raw, F.lit(". Section</span></div>\n"))
+    part = F.concat(F.when(front, F.lit("")).otherwise(heading), F.lit("<p>"), esc, F.lit("</p>\n"))
+    listed = r.where(front | (raw != "")).groupBy("accession", "form").agg(F.array_sort(F.collect_list(F.struct((~front).alias("item"), "record_id", part.alias("html")))).alias("l"), F.count_if(~front).alias("n_items"))  # a filing's own sections
+    return listed.select("accession", "form", "n_items", F.encode(F.concat(F.lit("<html><body>"), F.array_join(F.transform("l", lambda x: x["html"]), ""), F.lit("</body></html>")), "utf-8").alias("content"))
 
 
 @query("""
@@ -399,8 +401,8 @@ def _filings(spark: SparkSession, d: str) -> DataFrame:
     n as (select accession, raw as item_id, row_number() over (partition by accession order by record_id)::int as section_pos from r where raw <> '')
     select accession, section_pos, item_id from n union all select distinct accession, 0, 'FRONT' from n""")
 def html_sections(spark: SparkSession, d: str) -> DataFrame:
-    """Filings written as HTML and split into their sections again."""
-    return html.split_html(_filings(spark, d), ["accession"], "content").select("accession", "section_pos", "item_id")
+    """Filings with an item, written as HTML and split into their sections again."""
+    return html.split_html(_filings(spark, d).where("n_items > 0"), ["accession"], "content").select("accession", "section_pos", "item_id")
 
 
 @query()

@@ -120,3 +120,17 @@ def test_section_pipeline(spark):
     df = spark.createDataFrame([("T", "1", "Co", "10-K", "2024-01-01", "2023-12-31", "acc", bytearray(doc.encode()))], "ticker string, cik string, company string, form string, filing_date string, report_date string, accession string, content binary")
     got = sorted((r["item_id"], r["item_title"]) for r in pipeline.section_records(df).collect())
     assert got == [("10-K:FRONT", ""), ("10-K:I-1", "Business")]
+
+
+def test_section_records_parse_the_front_text(spark, tmp_path):
+    """Front text comes before the first heading, also where a filing has nothing else."""
+    from filingloom import catalog
+
+    front, body = "Front text of R&D <filing> number " + "x" * 40, "Body text of the section, " + "y" * 40
+    rows = [(1, "a", "10-K", "10-K-1", body), (2, "a", "10-K", "10-K-FRONT", front), (2, "a", "10-K", "10-K-FRONT", front), (3, "b", "10-K", "10-K-FRONT", front), (4, "c", "10-K", "10-K-1", body), (5, "c", "10-K", "10-K-FRONT", None)]
+    spark.createDataFrame(rows, "record_id long, accession string, form string, item_id string, text string").write.parquet(str(tmp_path / "records.parquet"))
+    got = sorted((r["accession"], r["item_id"].split(":")[-1].split("-")[-1], r["char_count"]) for r in catalog.section_records(spark, str(tmp_path)).collect())
+    assert [x[:2] for x in got] == [("a", "1"), ("a", "FRONT"), ("b", "FRONT"), ("c", "1")]
+    assert {n for _, item, n in got if item == "FRONT"} == {len(front)}
+    sections = sorted((r["accession"], r["section_pos"], r["item_id"]) for r in catalog.html_sections(spark, str(tmp_path)).collect())
+    assert sections == [("a", 0, "FRONT"), ("a", 1, "1"), ("c", 0, "FRONT"), ("c", 1, "1")]
