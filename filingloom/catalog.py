@@ -467,7 +467,7 @@ def answer_context(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def answer_pipeline(spark: SparkSession, d: str) -> DataFrame:
     """Records to chunks to vectors to answers, with the offline encoder and generator."""
-    encoder = retrieval.hashing_encoder(64)
+    encoder = retrieval.hashing_encoder()
     index = materialize(pipeline.index_of(_records(spark, d), encoder), "index")
     asked = table(spark, d, "eval_items").select(F.col("item_id").alias("question_id"), "question")
     return pipeline.answer_questions(asked, index, encoder, answers.echo_generator).select("question_id", "answer", F.size("retrieved").alias("retrieved"), "citations_valid")

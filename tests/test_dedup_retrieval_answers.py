@@ -150,3 +150,19 @@ def test_questions_to_answers(spark):
     got = {r["question_id"]: r for r in pipeline.answer_questions(asked, index, encoder, answers.echo_generator, k=1).collect()}
     assert got[1]["citations"] == ["T|r|10-K:I-2|0"] and got[2]["citations"] == ["T|r|10-K:I-1|0"] and got[1]["citations_valid"]
     assert got[1]["retrieved"][0]["rank"] == 1 and got[1]["stop_reason"] == "end_turn"
+
+
+def test_answer_pipeline_has_vectors_of_the_full_dimension(monkeypatch):
+    from filingloom import catalog
+
+    class Seen(Exception):
+        pass
+
+    def index_of(records, encoder, *more):
+        raise Seen(encoder(["some text"]).shape)
+
+    monkeypatch.setattr(catalog.pipeline, "index_of", index_of)
+    monkeypatch.setattr(catalog, "_records", lambda spark, d: None)
+    with pytest.raises(Seen) as seen:
+        catalog.answer_pipeline(None, "")
+    assert seen.value.args == (retrieval.hashing_encoder()(["some text"]).shape,) == ((1, 384),)
