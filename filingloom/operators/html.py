@@ -8,11 +8,13 @@ rows out, no shuffle.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # ------------------------------------------------------------------ fixed values
@@ -50,12 +52,6 @@ class Node:
     def strings(self) -> Iterator[str]:
         return (n.text for n in self.walk() if n.tag is None)
 
-    def ancestors(self) -> Iterator[Node]:
-        n = self.up
-        while n is not None:
-            yield n
-            n = n.up
-
     def is_leaf(self) -> bool:
         return self.tag is not None and all(k.tag is None for k in self.kids)
 
@@ -197,65 +193,100 @@ PARSERS: dict[str, Callable[[str], str]] = {"plain": text_plain, "tables": text_
 
 
 # ---------------------------------------------------------------------- headings
-def heading_style(n: Node) -> bool:
-    """Does the leaf's own style set it off as a heading?"""
-    style = n.attrs.get("style", "").lower()
-    if m := re.search(r"font-weight\s*:\s*(\w+)", style):
-        w = m.group(1)
-        if w == "bold" or w.isdigit() and int(w) >= 600:
-            return True
-    if n.tag in ("b", "strong") or "underline" in style:
-        return True
-    m = re.search(r"font-size\s*:\s*(\d+(?:\.\d+)?)pt", style)
-    return bool(m) and float(m.group(1)) >= 12
-
-
-def stands_alone(n: Node) -> bool:
-    """Nothing like a sentence stands before the leaf, as far up as only inline tags wrap it."""
-    while n.up is not None:
-        before = []
-        for k in n.up.kids:
-            if k is n:
-                break
-            before.append(k.text if k.tag is None else " ".join(s.strip() for s in k.strings() if s.strip()))
-        if len("".join(before).strip()) >= LEAD_CHARS:
-            return False
-        if n.up.tag not in INLINE:
-            break
-        n = n.up
-    return True
-
-
-def heading_of(n: Node) -> tuple[str, str] | None:
-    """(item id, title) if the leaf's text reads like an item heading."""
-    text = " ".join(s.strip() for s in n.strings() if s.strip())
-    if "\n" in text:
-        return None
-    if m := ITEM.fullmatch(text):
-        return m.group(1).upper(), m.group(2).strip()
-    if m := ITEMS.fullmatch(text):
-        return f"{m.group(1)}-{m.group(2)}".upper(), m.group(3).strip()
+def declarations(style: str) -> dict[str, str]:
+    """The properties of a style attribute, names and values in lower case."""
+    pairs = (part.split(":", 1) for part in style.lower().split(";") if ":" in part)
+    return {name.strip(): value.strip() for name, value in pairs}
+
+
+def _amount(value: str, unit: str = "") -> float:
+    """The number of a value in the given unit; -1 if it is none."""
+    m = re.match(rf"(\d+(?:\.\d+)?){unit}(?![a-z%])", value)
+    return float(m.group(1)) if m else -1.0
+
+
+#: What sets a text off as a heading (fixed values): properties with the least or the
+#: named value, and tags.
+LEAST_WEIGHT, NAMED_WEIGHT, LEAST_POINTS, LINE = 600, "bold", 12, "underline"
+STRONG_TAGS = frozenset(["b", "strong"])
+STYLE_RULES: dict[str, Callable[[str], bool]] = {
+    "font-weight": lambda v: re.match(r"\w*", v).group() == NAMED_WEIGHT or _amount(v) >= LEAST_WEIGHT,  # type: ignore[union-attr]
+    "font-size": lambda v: _amount(v, "pt") >= LEAST_POINTS,
+}
+
+
+def set_off(n: Node) -> bool:
+    """Does the element's own tag or style set its text off?"""
+    style = n.attrs.get("style", "")
+    own = declarations(style)
+    return n.tag in STRONG_TAGS or LINE in style.lower() or any(rule(own[name]) for name, rule in STYLE_RULES.items() if name in own)
+
+
+class _Lead:
+    """What was seen so far within one open element: ``line`` as it stands, and the
+    stripped ``words`` its parent takes over when it closes. Both stop growing once
+    they are long enough to decide."""
+
+    __slots__ = ("node", "crowded", "linked", "tables", "line", "words")
+
+    def __init__(self, node: Node, outer: _Lead | None) -> None:
+        self.node, self.line, self.words = node, "", ""
+        self.crowded = outer is not None and (outer.full() or outer.node.tag in INLINE and outer.crowded)
+        self.linked = outer is not None and (outer.linked or outer.node.tag == "a" and "href" in outer.node.attrs)
+        self.tables: tuple[int, ...] = () if outer is None else (id(outer.node), *outer.tables) if outer.node.tag == "table" else outer.tables
+
+    def full(self) -> bool:
+        return len(self.line.strip()) >= LEAD_CHARS
+
+    def add(self, line: str, words: str) -> None:
+        if not self.full():
+            self.line += line
+        if words and len(self.words) < LEAD_CHARS:
+            self.words = f"{self.words} {words}" if self.words else words
+
+
+def leaves(root: Node) -> Iterator[_Lead]:
+    """Every element without elements in it, in document order, with what stands before
+    it: one forward pass carries the lead of each open element along."""
+    open_: list[_Lead] = [_Lead(root, None)]
+    todo: list[Iterator[Node]] = [iter(root.kids)]
+    while todo:
+        n = next(todo[-1], None)
+        if n is None:
+            todo.pop()
+            done = open_.pop()
+            if open_:
+                open_[-1].add(done.words, done.words)
+        elif n.tag is None:
+            open_[-1].add(n.text, n.text.strip())
+        else:
+            lead = _Lead(n, open_[-1])
+            if n.is_leaf():
+                yield lead
+            open_.append(lead)
+            todo.append(iter(n.kids))
+
+
+def item_of(words: str) -> tuple[str, str] | None:
+    """(item id, title) of a text that reads like an item heading on one line."""
+    for pattern in (ITEM, ITEMS):
+        if "\n" not in words and (m := pattern.fullmatch(words)):
+            *numbers, title = m.groups()
+            return "-".join(numbers).upper(), title.strip()
     return None
 
 
 def headings(root: Node) -> dict[int, tuple[str, str]]:
-    """Heading leaves by node id. The cheap tests come first; headings in a table of
-    contents (a table that holds two or more) are none."""
-    found: list[tuple[Node, tuple[str, str], list[Node]]] = []
-    for n in root.walk():
-        if not n.is_leaf() or not heading_style(n):
-            continue
-        up = list(n.ancestors())
-        if any(a.tag == "a" and "href" in a.attrs for a in up) or not stands_alone(n):
-            continue
-        got = heading_of(n)
-        if got:
-            found.append((n, got, [a for a in up if a.tag == "table"]))
-    held: dict[int, int] = {}
-    for _, _, tables in found:
-        for t in tables:
-            held[id(t)] = held.get(id(t), 0) + 1
-    return {id(n): got for n, got, tables in found if not tables or held[id(tables[0])] < 2}
+    """Heading leaves by node id: set off, in no link, with nothing like a sentence
+    before them. Where the innermost table holds two or more it is one of contents."""
+    found: list[tuple[_Lead, tuple[str, str]]] = []
+    for lead in leaves(root):
+        if set_off(lead.node) and not lead.linked and not lead.crowded:
+            words = " ".join(w for w in (s.strip() for s in lead.node.strings()) if w)
+            if got := item_of(words):
+                found.append((lead, got))
+    held = Counter(t for lead, _ in found for t in lead.tables)
+    return {id(lead.node): got for lead, got in found if not lead.tables or held[lead.tables[0]] < 2}
 
 
 def sections(html: str) -> list[tuple[str, str, str]]:
@@ -297,22 +328,28 @@ def parse_html(df: DataFrame, keep: list[str], html: str, parsers: list[str] | N
     return df.select(*keep, html).mapInArrow(run, schema)
 
 
-def split_html(df: DataFrame, keep: list[str], html: str) -> DataFrame:
-    """keep columns, ``section_pos``, ``item_id``, ``item_title``, ``text``: the
-    sections of each filing in order. A null document has none."""
-    more = [T.StructField("section_pos", T.IntegerType()), T.StructField("item_id", T.StringType()), T.StructField("item_title", T.StringType()), T.StructField("text", T.StringType())]
-    schema = T.StructType([df.schema[k] for k in keep] + more)
+SECTIONS = T.ArrayType(T.StructType([T.StructField("section_pos", T.IntegerType()), T.StructField("item_id", T.StringType()), T.StructField("item_title", T.StringType()), T.StructField("text", T.StringType())]))
+
+
+def section_lists(df: DataFrame, keep: list[str], html: str) -> DataFrame:
+    """keep columns and ``sections``: the sections of each filing in order, as one
+    array in the filing's row, so that rules over a filing need no shuffle. A null
+    document has none."""
+    schema = T.StructType([*(df.schema[k] for k in keep), T.StructField("sections", SECTIONS)])
+    kind = pa.list_(pa.struct([("section_pos", pa.int32()), ("item_id", pa.string()), ("item_title", pa.string()), ("text", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[int] = []
-            made: list[tuple[int, str, str, str]] = []
-            for i, v in enumerate(b.column(len(keep)).to_pylist()):
-                for pos, s in enumerate(sections(_text_of(v)) if v is not None else []):  # type: ignore[arg-type]
-                    rows.append(i)
-                    made.append((pos, *s))
-            index = pa.array(rows, pa.int64())
-            kinds = (pa.int32(), pa.string(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([*(b.column(i).take(index) for i in range(len(keep))), *(pa.array([m[j] for m in made], k) for j, k in enumerate(kinds))], names=schema.names)
+            for i in range(b.num_rows):  # a filing at a time: filings are large
+                v = _text_of(b.column(len(keep))[i].as_py())
+                made = [(pos, *s) for pos, s in enumerate(sections(v))] if v is not None else []
+                rows = pa.array([[dict(zip(("section_pos", "item_id", "item_title", "text"), m)) for m in made]], kind)
+                yield pa.RecordBatch.from_arrays([*(b.column(j).slice(i, 1) for j in range(len(keep))), rows], names=schema.names)
 
     return df.select(*keep, html).mapInArrow(run, schema)
+
+
+def split_html(df: DataFrame, keep: list[str], html: str) -> DataFrame:
+    """keep columns, ``section_pos``, ``item_id``, ``item_title``, ``text``: one row per
+    section of each filing."""
+    return section_lists(df, keep, html).select(*keep, F.inline("sections"))

@@ -17,7 +17,9 @@ CONTENTS_LINE = rf"\t[^\t\n]*\t[0-9]{{1,4}}(?:-[0-9]{{1,4}})?[{SPACE}&&[^\n]]*(?
 INKED_LINE = rf"[^{SPACE}][^\n]*"
 #: Part of each item of an annual report.
 ANNUAL_PARTS = {
-    "I": "1 1A 1B 1C 1-2 2 3 4", "II": "5 6 7 7A 8 9 9A 9B 9C", "III": "10 11 12 13 14", "IV": "15 16",
+    "1": "I", "1A": "I", "1B": "I", "1C": "I", "1-2": "I", "2": "I", "3": "I", "4": "I",
+    "5": "II", "6": "II", "7": "II", "7A": "II", "8": "II", "9": "II", "9A": "II", "9B": "II", "9C": "II",
+    "10": "III", "11": "III", "12": "III", "13": "III", "14": "III", "15": "IV", "16": "IV",
 }
 
 
@@ -35,14 +37,47 @@ def drop_contents_duplicates(df: DataFrame, filing: Sequence[str], item: str = "
     return flagged.where("_n = 1 or _good or _g = 0").drop("_good", "_n", "_g")
 
 
+def _part_table(parts: Mapping[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in parts.items() for x in pair])
+
+
+def _prefixed(item: Column, part: Column) -> Column:
+    """The id under its part; ids without a part, and ``FRONT``, stay."""
+    return F.when((item == "FRONT") | part.isNull(), item).otherwise(F.concat(part, F.lit("-"), item))
+
+
 def assign_parts(df: DataFrame, filing: Sequence[str], annual: str = "10-K", interim: str = "10-Q", parts: Mapping[str, str] = ANNUAL_PARTS) -> DataFrame:
     """Prefix item ids with their part. Annual: by item number, ``?`` if unknown.
     Interim: the second item 1 opens part II. Other forms and ``FRONT`` stay."""
-    table = F.create_map(*[x for p, items in parts.items() for i in items.split() for x in (F.lit(i), F.lit(p))])
     switched = running_switch(df, filing, ["section_pos"], F.col("item_id") == "1", 2, "I", "II", "_part")
-    prefix = F.when(F.col("form") == annual, F.coalesce(F.try_element_at(table, F.col("item_id")), F.lit("?"))).when(F.col("form") == interim, F.col("_part"))
-    keep = (F.col("item_id") == "FRONT") | prefix.isNull()
-    return switched.withColumn("item_id", F.when(keep, F.col("item_id")).otherwise(F.concat(prefix, F.lit("-"), F.col("item_id")))).drop("_part")
+    listed = F.coalesce(F.try_element_at(_part_table(parts), F.col("item_id")), F.lit("?"))
+    part = F.when(F.col("form") == annual, listed).when(F.col("form") == interim, F.col("_part"))
+    return switched.withColumn("item_id", _prefixed(F.col("item_id"), part)).drop("_part")
+
+
+def kept_in_filing(sections: Column) -> Column:
+    """``drop_contents_duplicates`` within a filing's own array of sections: positions
+    and flags are compared, the texts stay where they are."""
+    flags = F.transform(sections, lambda s: F.struct(s["item_id"].alias("i"), (~looks_like_contents(s["text"])).alias("g")))
+
+    def stays(s: Column, at: Column) -> Column:
+        same = F.filter(flags, lambda f: f["i"] == s["item_id"])
+        return (F.size(same) == 1) | F.get(flags, at)["g"] | ~F.exists(same, lambda f: f["g"])
+
+    return F.filter(sections, stays)
+
+
+def parts_in_filing(sections: Column, form: Column, annual: str = "10-K", interim: str = "10-Q", parts: Mapping[str, str] = ANNUAL_PARTS) -> Column:
+    """``assign_parts`` within a filing's own array of sections."""
+    ids = F.transform(sections, lambda s: s["item_id"])
+
+    def renamed(s: Column, at: Column) -> Column:
+        ones = F.size(F.filter(F.slice(ids, F.lit(1), at + 1), lambda i: i == "1"))
+        listed = F.coalesce(F.try_element_at(_part_table(parts), s["item_id"]), F.lit("?"))
+        part = F.when(form == annual, listed).when(form == interim, F.when(ones >= 2, "II").otherwise("I"))
+        return F.struct(s["section_pos"].alias("section_pos"), _prefixed(s["item_id"], part).alias("item_id"), s["item_title"].alias("item_title"), s["text"].alias("text"))
+
+    return F.transform(sections, renamed)
 
 
 def finish_records(df: DataFrame, min_chars: int = 50) -> DataFrame:

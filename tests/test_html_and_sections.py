@@ -134,3 +134,17 @@ def test_section_records_parse_the_front_text(spark, tmp_path):
     assert {n for _, item, n in got if item == "FRONT"} == {len(front)}
     sections = sorted((r["accession"], r["section_pos"], r["item_id"]) for r in catalog.html_sections(spark, str(tmp_path)).collect())
     assert sections == [("a", 0, "FRONT"), ("a", 1, "1"), ("c", 0, "FRONT"), ("c", 1, "1")]
+
+
+def test_rules_within_a_filing_agree_with_those_over_rows(spark):
+    contents = "\n".join(f"\tTitle {i}\t{i}" for i in range(4))
+    rows = [("a", "10-K", [("FRONT", "x"), ("1", contents), ("1", "prose"), ("99", "y"), ("7", contents), ("7", contents)]), ("b", "10-Q", [("FRONT", "x"), ("1", "p"), ("2", "q"), ("1", "r"), ("1A", "s")]), ("c", "8-K", [("1", "z")])]
+    flat = [(acc, form, pos, i, "", t) for acc, form, secs in rows for pos, (i, t) in enumerate(secs)]
+    df = spark.createDataFrame(flat, "accession string, form string, section_pos int, item_id string, item_title string, text string")
+    by_rows = sections.assign_parts(sections.drop_contents_duplicates(df, ["accession"]), ["accession"])
+    one = df.groupBy("accession", "form").agg(F.array_sort(F.collect_list(F.struct("section_pos", "item_id", "item_title", "text"))).alias("s"))
+    kept = one.withColumn("s", sections.kept_in_filing(F.col("s")))
+    inside = kept.select("accession", "form", F.inline(sections.parts_in_filing(F.col("s"), F.col("form"))))
+    pick = lambda d: sorted((r["accession"], r["section_pos"], r["item_id"], r["text"]) for r in d.collect())
+    assert pick(by_rows) == pick(inside) and ("a", 2, "I-1", "prose") in pick(inside) and ("b", 3, "II-1", "r") in pick(inside)
+    assert len(pick(inside)) == len(flat) - 1
