@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,23 +18,34 @@ from filingloom.functions.text import ulines, ustrip
 MARKERS = ("[TABLE]", "[/TABLE]")
 #: Unicode white space.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-_PAGE = re.compile("[0-9]{1,4}")
+CONTENTS = "table of contents"
 #: Words run together: a comma or a full stop without a blank after it.
 JOINED = r"[a-z],[a-z]|[a-z]\.[A-Z][a-z]"
 
 
-def clean_text(text: str, min_repeats: int = 2, max_chars: int = 100) -> str:
-    """One text without its boilerplate lines; see ``strip_boilerplate``."""
-    lines = text.split("\n")
-    bare = [line.strip(WHITE) for line in lines]
-    times = Counter(bare)
+def boilerplate_free(texts: pa.Array, min_repeats: int = 2, max_chars: int = 100) -> pa.Array:
+    """All texts of a batch without their boilerplate lines; see ``strip_boilerplate``.
 
-    def stays(s: str) -> bool:
-        if not s or s in MARKERS:
-            return True
-        return not (_PAGE.fullmatch(s) or s.lower() == "table of contents" or len(s) < max_chars and times[s] >= min_repeats)
-
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(line for line, s in zip(lines, bare) if stays(s))).strip(WHITE)
+    The lines of the whole batch are one Arrow array. How often a line stands in its
+    text is a count of equal (text, line) codes; the rest are Arrow kernels.
+    """
+    texts = texts.cast(pa.large_string())
+    lines = pc.split_pattern(texts, "\n")
+    whole, owner = lines.flatten(), pc.list_parent_indices(lines).to_numpy()
+    bare = pc.utf8_trim(whole, characters=WHITE)
+    codes = bare.dictionary_encode()
+    _, place, counts = np.unique(owner * (len(codes.dictionary) + 1) + codes.indices.to_numpy(), return_inverse=True, return_counts=True)
+    often = pa.array(counts[place] >= min_repeats)
+    short = pc.less(pc.utf8_length(bare), max_chars)
+    page = pc.match_substring_regex(bare, "^[0-9]{1,4}$")
+    contents = pc.equal(pc.utf8_lower(bare), CONTENTS)
+    exempt = pc.is_in(bare, pa.array(["", *MARKERS], pa.large_string()))
+    kept = pc.or_(exempt, pc.invert(pc.or_(pc.or_(page, contents), pc.and_(short, often)))).to_numpy(zero_copy_only=False)
+    ends = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum(np.bincount(owner[kept], minlength=len(texts)), out=ends[1:])
+    joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(ends), whole.filter(pa.array(kept))), pa.scalar("\n", pa.large_string()))
+    tidy = pc.utf8_trim(pc.replace_substring_regex(joined, "\n{3,}", "\n\n"), characters=WHITE)
+    return pc.if_else(pc.is_valid(texts), tidy, None).cast(pa.string())
 
 
 def strip_boilerplate(df: DataFrame, keep: Sequence[str], text: str, min_repeats: int = 2, max_chars: int = 100) -> DataFrame:
@@ -42,15 +53,14 @@ def strip_boilerplate(df: DataFrame, keep: Sequence[str], text: str, min_repeats
     repeat within the text are dropped (all their occurrences), runs of blank lines
     shrink to one and the ends are stripped.
 
-    An Arrow stage, text by text: a count of a text's own lines needs no shuffle. A
-    text that is all boilerplate becomes empty, null stays null.
+    An Arrow stage over all lines of a batch: a count of a text's own lines needs no
+    shuffle. A text that is all boilerplate becomes empty, null stays null.
     """
     schema = T.StructType([*(df.schema[k] for k in keep), T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [None if t is None else clean_text(t, min_repeats, max_chars) for t in b.column(len(keep)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(made, pa.string())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], boilerplate_free(b.column(len(keep)), min_repeats, max_chars)], names=schema.names)
 
     return df.select(*keep, text).mapInArrow(run, schema)
 
