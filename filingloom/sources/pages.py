@@ -1,7 +1,8 @@
-"""A paged JSON source for Spark: one partition per page, old pages never read.
+"""A paged JSON source for Spark: old pages are never read, others one by one.
 
-Pages are columnar JSON (parallel arrays). The fetcher is injected: tests and
-offline runs read files; a network fetcher paces and repeats its requests.
+Pages are columnar JSON (parallel arrays). How a page's bytes are had is injected: by
+default they are read as files, one task per page; a getter over a network is slowed
+down by a ``Policy`` and gets all pages in one task, as its rate is a global one.
 """
 
 from __future__ import annotations
@@ -9,48 +10,95 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
+from enum import Enum
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition
 
-RETRY = frozenset([429, 500, 502, 503, 504])
-
-
-def paced_get(get: Callable[[str], tuple[int, bytes]], gap: float = 0.2, retries: int = 5, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic) -> Callable[[str], bytes]:
-    """A getter with a least gap between requests and doubling waits after transient
-    failures. A global rate needs one task: several would multiply it."""
-    last = [-1e9]
-
-    def fetch(url: str) -> bytes:
-        for attempt in range(retries):
-            wait = gap - (clock() - last[0])
-            if wait > 0:
-                sleep(wait)
-            last[0] = clock()
-            try:
-                status, body = get(url)
-            except (ConnectionError, TimeoutError):
-                status, body = 0, b""
-            if status == 200:
+Getter = Callable[[str], bytes]
+
+
+class Answer(Enum):
+    """What is to be done after a request."""
+
+    DONE = "done"
+    FINAL = "final"
+    AGAIN = "again"
+
+
+#: Statuses after which the same request may succeed (fixed values).
+TRANSIENT = frozenset([429, 500, 502, 503, 504])
+
+
+def classified(status: int | None) -> Answer:
+    """The one place that judges a status; None is a lost connection or a timeout."""
+    if status == 200:
+        return Answer.DONE
+    return Answer.AGAIN if status is None or status in TRANSIENT else Answer.FINAL
+
+
+@dataclass(frozen=True)
+class Policy:
+    """At least ``gap`` seconds between requests; up to ``tries`` of them for one
+    address, with waits that double from ``first_wait`` after each transient failure."""
+
+    gap: float = 0.2
+    tries: int = 5
+    first_wait: float = 1.0
+
+    def waits(self) -> Iterator[float]:
+        return (self.first_wait * 2**i for i in range(self.tries))
+
+
+class Polite:
+    """A getter under a policy. ``request`` gives (status, body) of an address; the
+    clock and the sleep can be replaced."""
+
+    def __init__(self, request: Callable[[str], tuple[int, bytes]], policy: Policy = Policy(), sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic) -> None:
+        self.request, self.policy, self.sleep, self.clock = request, policy, sleep, clock
+        self.free_at: float | None = None
+
+    def _asked(self, url: str) -> tuple[int | None, bytes]:
+        if self.free_at is not None and (early := self.free_at - self.clock()) > 0:
+            self.sleep(early)
+        self.free_at = self.clock() + self.policy.gap
+        try:
+            return self.request(url)
+        except (ConnectionError, TimeoutError):
+            return None, b""
+
+    def __call__(self, url: str) -> bytes:
+        for wait in self.policy.waits():
+            status, body = self._asked(url)
+            verdict = classified(status)
+            if verdict is Answer.DONE:
                 return body
-            if status and status not in RETRY:
+            if verdict is Answer.FINAL:
                 raise RuntimeError(f"{status} for {url}")
-            sleep(2**attempt)
-        raise RuntimeError(f"gave up after {retries} tries: {url}")
+            self.sleep(wait)
+        raise RuntimeError(f"gave up after {self.policy.tries} tries: {url}")
 
-    return fetch
 
+def file_getter(path: str) -> bytes:
+    """The bytes of a file that all executors see under the same path."""
+    with open(path.removeprefix("file://"), "rb") as f:
+        return f.read()
 
-class _Page(InputPartition):
-    def __init__(self, path: str) -> None:
-        self.path = path
+
+class _Pages(InputPartition):
+    def __init__(self, addresses: list[str]) -> None:
+        self.addresses = addresses
 
 
 class PagesReader(DataSourceReader):
-    def __init__(self, options: dict[str, str], columns: Sequence[str]) -> None:
+    """``together``: one task reads all pages, for getters whose rate is limited."""
+
+    def __init__(self, options: dict[str, str], columns: Sequence[str], get: Getter = file_getter, together: bool = False) -> None:
         self.index, self.columns = options["index"], list(columns)
         self.since = options.get("since", "")
         self.date = options.get("date", "filingDate")
+        self.get, self.together = get, together
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
         """Lower bounds of the date skip whole pages; Spark filters the rows again."""
@@ -59,23 +107,25 @@ class PagesReader(DataSourceReader):
                 self.since = max(self.since, str(f.value))
             yield f
 
-    def partitions(self) -> list[_Page]:
-        with open(self.index, encoding="utf-8") as f:
-            pages = json.load(f)["pages"]
+    def partitions(self) -> list[_Pages]:
+        listed = json.loads(self.get(self.index))["pages"]
         folder = self.index.rpartition("/")[0]
-        return [_Page(f"{folder}/{p['name']}") for p in pages if not self.since or p.get("to", "9") >= self.since]
+        wanted = [f"{folder}/{p['name']}" for p in listed if not self.since or p.get("to", "9") >= self.since]
+        return [_Pages(wanted)] if self.together else [_Pages([w]) for w in wanted]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.path, encoding="utf-8") as f:  # type: ignore[attr-defined]
-            table = json.load(f)
-        yield from zip(*(table[c] for c in self.columns))
+        for address in partition.addresses:  # type: ignore[attr-defined]
+            table = json.loads(self.get(address))
+            yield from zip(*(table[c] for c in self.columns))
 
 
 class PagesSource(DataSource):
-    """``spark.read.format("json_pages").option("index", ...)``: an index file lists
-    the pages ({"pages": [{"name": ..., "to": last date}]}), each columnar JSON."""
+    """``spark.read.format("json_pages").option("index", ...)``: an index lists the
+    pages ({"pages": [{"name": ..., "to": last date}]}), each columnar JSON."""
 
     COLUMNS = ("accessionNumber", "filingDate", "reportDate", "form", "primaryDocument")
+    get: Getter = staticmethod(file_getter)
+    together = False
 
     @classmethod
     def name(cls) -> str:
@@ -85,10 +135,15 @@ class PagesSource(DataSource):
         return ", ".join(f"{c} string" for c in self.COLUMNS)
 
     def reader(self, schema: object) -> PagesReader:
-        return PagesReader(dict(self.options), [f.name for f in schema.fields])  # type: ignore[attr-defined]
+        return PagesReader(dict(self.options), [f.name for f in schema.fields], self.get, self.together)  # type: ignore[attr-defined]
 
 
-def register(spark: SparkSession) -> None:
-    """Make ``json_pages`` known to the session, with filter pushdown on."""
+def register(spark: SparkSession, request: Callable[[str], tuple[int, bytes]] | None = None, policy: Policy = Policy()) -> None:
+    """Make ``json_pages`` known to the session, with filter pushdown on. With
+    ``request`` ((status, body) of an address) the index and pages are fetched by it,
+    politely and from one task; without, they are files."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    spark.dataSource.register(PagesSource)
+    source = PagesSource
+    if request is not None:
+        source = type("FetchedPages", (PagesSource,), {"get": staticmethod(Polite(request, policy)), "together": True})
+    spark.dataSource.register(source)

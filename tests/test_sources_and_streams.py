@@ -69,7 +69,7 @@ def test_paged_source_skips_old_pages(spark, tmp_path):
     assert len(reader.partitions()) == 1
 
 
-def test_paced_get_waits_retries_and_gives_up():
+def test_polite_getter_waits_retries_and_gives_up():
     waits, now = [], [0.0]
 
     def sleep(s):
@@ -77,21 +77,43 @@ def test_paced_get_waits_retries_and_gives_up():
         now[0] += s
 
     replies = iter([(503, b""), (200, b"ok"), (200, b"again")])
-    get = pages.paced_get(lambda u: next(replies), sleep=sleep, clock=lambda: now[0])
+    clock = lambda: now[0]
+    get = pages.Polite(lambda u: next(replies), sleep=sleep, clock=clock)
     assert get("u") == b"ok" and get("u") == b"again"
     assert waits == [1, pytest.approx(0.2)]
     with pytest.raises(RuntimeError, match="404"):
-        pages.paced_get(lambda u: (404, b""), sleep=sleep, clock=lambda: now[0])("u")
+        pages.Polite(lambda u: (404, b""), sleep=sleep, clock=clock)("u")
 
     def broken(u):
         raise ConnectionError
 
     waits.clear()
     with pytest.raises(RuntimeError, match="gave up"):
-        pages.paced_get(broken, gap=0, sleep=sleep, clock=lambda: now[0])("u")
+        pages.Polite(broken, pages.Policy(gap=0), sleep=sleep, clock=clock)("u")
     assert waits == [1, 2, 4, 8, 16]
 
 
+def test_paged_source_fetches_through_the_injected_request(spark, tmp_path):
+    columns = pages.PagesSource.COLUMNS
+    stored = {f"mem://x/{n}": json.dumps({c: [d, d] for c in columns}).encode() for n, d in (("a", "2024-05-05"), ("b", "2010-01-01"))}
+    stored["mem://x/index"] = json.dumps({"pages": [{"name": "a"}, {"name": "b", "to": "2010-12-31"}]}).encode()
+    failed = []
+
+    def request(url):
+        if url.endswith("/a") and not failed:
+            failed.append(url)
+            return 503, b""
+        return 200, stored[url]
+
+    pages.register(spark, request, pages.Policy(gap=0, first_wait=0))
+    try:
+        read = spark.read.format("json_pages").option("index", "mem://x/index")
+        assert read.load().count() == 4 and read.option("since", "2022-01-01").load().count() == 2
+        assert read.load().rdd.getNumPartitions() == 1
+    finally:
+        pages.register(spark)
+
+
 def test_stream_ingest_is_idempotent(spark, tmp_path):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 3, "y"), ("b", 2, "z")], "k string, v int, t string")
     df.write.parquet(str(tmp_path / "in"))
