@@ -61,10 +61,12 @@ def echo_generator(prompts: list[str]) -> list[dict]:
     return out
 
 
-def run_metrics(results: DataFrame, run: str, order: str) -> DataFrame:
+def run_metrics(results: DataFrame, run: str, order: str, cost: str | None = None) -> DataFrame:
     """Per run: questions, answers with fabricated citations, upper medians of the
-    warm retrieval and of the generation time, token sums."""
-    sums = results.groupBy(run).agg(F.count("*").alias("questions"), F.count_if(F.size("fabricated_citations") > 0).alias("fabricated_answers"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
+    warm retrieval and of the generation time, token sums, and with a ``cost`` column
+    its sum and its mean per question."""
+    spent = [F.round(F.sum(cost), 6).alias("total_cost"), F.round(F.avg(cost), 6).alias("cost_each")] if cost else []
+    sums = results.groupBy(run).agg(F.count("*").alias("questions"), F.count_if(F.size("fabricated_citations") > 0).alias("fabricated_answers"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), *spent)
     warm = upper_median(without_first(results.select(run, order, "retrieval_ms"), [run], [order]), [run], "retrieval_ms").select(run, F.col("upper_median").alias("retrieval_ms_warm"))
     made = upper_median(results.select(run, "generation_ms"), [run], "generation_ms").select(run, F.col("upper_median").alias("generation_ms"))
     return sums.join(warm, run, "left").join(made, run, "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from filingloom.operators.selection import latest_wins, not_yet_present
+from filingloom.session import materialize
 from filingloom.sources.files import write_files
 
 
@@ -24,6 +25,11 @@ def local_name(ticker: Column, form: Column, report_date: Column, accession: Col
     return F.concat(ticker, F.lit("/"), form, F.lit("_"), report_date, F.lit("_"), accession, ending)
 
 
+def named_tickers(arguments: Sequence[str]) -> list[str]:
+    """The tickers among command-line arguments: in capitals, options (``--x``) aside."""
+    return [a.upper() for a in arguments if not a.startswith("--")]
+
+
 def wanted(selected: DataFrame, manifest: DataFrame, present: DataFrame) -> DataFrame:
     """Selected filings with a document, less those in the manifest whose file is present
     (``present`` has ``local_path``)."""
@@ -53,12 +59,16 @@ def fetched(rows: DataFrame, url: str, get: Callable[[str], bytes]) -> DataFrame
 def download(rows: DataFrame, folder: str, get: Callable[[str], bytes], small: int = 100_000) -> DataFrame:
     """Fetch, write under ``folder`` and give the new manifest rows, with ``small_file``.
 
-    ``rows`` has the manifest's columns but for the last three, with url and local_path.
+    An action, not a plan: every address is fetched and written once, now; the rows
+    given back are read from a table in the shared folder. ``rows`` has the manifest's
+    columns but for the last three, with url and local_path.
     """
-    got = fetched(rows, "url", get).where("content is not null")
-    written = write_files(got, folder, "local_path", "content").withColumnRenamed("name", "local_path")
-    done = rows.join(written, "local_path").withColumn("downloaded_at", F.current_timestamp())
-    return done.withColumnRenamed("bytes", "size_bytes").withColumn("small_file", F.col("size_bytes") < small)
+    asked = rows.withColumn("_asked_at", F.current_timestamp())
+    got = fetched(asked, "url", get).where("content is not null")
+    written = materialize(write_files(got, folder, "local_path", "content"), "downloaded")
+    done = asked.join(written.withColumnRenamed("name", "local_path"), "local_path").withColumnRenamed("_asked_at", "downloaded_at")
+    done = done.withColumnRenamed("bytes", "size_bytes").withColumn("small_file", F.col("size_bytes") < small)
+    return materialize(done, "manifest_rows")
 
 
 def updated(manifest: DataFrame, new: DataFrame) -> DataFrame:

@@ -19,14 +19,14 @@ def numbered_questions(spark, path: str) -> DataFrame:  # noqa: ANN001
     return lines.select(F.xxhash64("line").alias("question_id"), F.col("line").alias("question"))
 
 
-def run_batch(questions: DataFrame, index: DataFrame, encoder: retrieval.Encoder, generator: answers.Generator, folder: str, config: Mapping[str, object], k: int = 5, prefix: str = "", stamp: str | None = None) -> DataFrame:
+def run_batch(questions: DataFrame, index: DataFrame, encoder: retrieval.Encoder, generator: answers.Generator, folder: str, config: Mapping[str, object], k: int = 5, prefix: str = "", stamp: str | None = None, per_million: Mapping[str, float] = {}) -> DataFrame:
     """Answer all questions in one job, write ``run_<stamp>`` (JSON lines) and
     ``config_<stamp>.json``, and return the results as written.
 
-    Retrieval is timed for the batch: its time per question is the whole over their number.
+    ``answers.run_metrics(results, "run", "question_id")`` gives the run's figures.
     """
     stamp = stamp or datetime.now(UTC).strftime("%Y%m%dT%H%M%SZ")
     write_sidecar(f"{folder}/config_{stamp}.json", {"run": stamp, "top_k": k, "query_prefix": prefix, **config})
-    results = answer_questions(questions, index, encoder, generator, k, prefix).withColumn("run", F.lit(stamp))
+    results = answer_questions(questions, index, encoder, generator, k, prefix, per_million).withColumn("run", F.lit(stamp))
     write_jsonl(results, f"{folder}/run_{stamp}")
     return questions.sparkSession.read.schema(results.schema).json(f"{folder}/run_{stamp}")

@@ -21,15 +21,21 @@ def test_download_skips_present_files_and_upserts(spark, tmp_path):
     urls = sorted(r["url"] for r in todo.collect())
     assert urls == ["http://x.example/data/1/1211/noending", "http://x.example/data/1/1231/b.txt"]
 
+    calls = tmp_path / "calls"
+
     def get(u):
+        with open(calls, "a") as f:
+            f.write(u + "\n")
         if u.endswith("noending"):
             raise RuntimeError("404")
         return b"<p>filing</p>"
 
-    new = acquire.download(todo, str(tmp_path), get).cache()
+    new = acquire.download(todo, str(tmp_path), get)
     assert [(r["local_path"], r["size_bytes"], r["small_file"]) for r in new.collect()] == [("A/10-K_2023-12-31_1-23-1.txt", 13, True)]
     assert (tmp_path / "A" / "10-K_2023-12-31_1-23-1.txt").read_bytes() == b"<p>filing</p>"
     got = {r["accession"]: r["local_path"] for r in acquire.updated(have, new).collect()}
+    assert len(calls.read_text().split()) == 2  # each address once, however often the rows are used
+    assert acquire.named_tickers(["--dry-run", "abc", "Xyz"]) == ["ABC", "XYZ"]
     assert got == {"1-24-1": "A/old.htm", "1-23-1": "A/10-K_2023-12-31_1-23-1.txt"}
 
 
@@ -38,11 +44,15 @@ def test_batch_writes_config_and_results(spark, tmp_path):
     recs = spark.createDataFrame([("T", "C", "10-K", "d", "r", "a", "10-K:I-2", "Land", "acres of land")], "ticker string, company string, form string, filing_date string, report_date string, accession string, item_id string, item_title string, text string")
     encoder = retrieval.hashing_encoder(32)
     index = pipeline.index_of(recs, encoder)
-    got = batch.run_batch(batch.numbered_questions(spark, str(tmp_path / "q.txt")), index, encoder, answers.echo_generator, str(tmp_path), {"generator": "stub"}, stamp="s")
+    got = batch.run_batch(batch.numbered_questions(spark, str(tmp_path / "q.txt")), index, encoder, answers.echo_generator, str(tmp_path), {"generator": "stub"}, stamp="s", per_million={"input_tokens": 1.0, "output_tokens": 5.0})
     assert got.count() == 2 and all(r["citations_valid"] for r in got.collect())
     assert json.loads((tmp_path / "config_s.json").read_text())["generator"] == "stub"
-    lines = answers.report_line(got.withColumn("retrieval_ms", F.lit(1))).collect()
+    lines = answers.report_line(got).collect()
     assert all("citations valid: true" in r["line"] for r in lines)
+    m = answers.run_metrics(got, "run", "question_id", "cost").first()
+    rows = got.collect()
+    assert m["questions"] == 2 and m["fabricated_answers"] == 0 and m["retrieval_ms_warm"] == rows[0]["retrieval_ms"]
+    assert m["total_cost"] == pytest.approx(sum(r["input_tokens"] / 1e6 + 5 * r["output_tokens"] / 1e6 for r in rows), abs=2e-6)
 
 
 def test_matrix_entity_map_and_settings(spark, tmp_path, monkeypatch):
