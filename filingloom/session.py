@@ -40,16 +40,20 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor shares: ``spark.checkpoint.dir`` of the session.
+    """The folder every executor shares: ``spark.checkpoint.dir`` of the session, or the
+    one given to ``setCheckpointDir``.
 
-    Only where that is unset (tests, local runs) is a folder of our own made.
+    Only where neither is set and the master is local (tests, local runs) is a folder
+    of our own made; on a cluster that is an error, as a machine's own folder is not
+    seen by the others.
     """
-    own = spark.conf.get("spark.checkpoint.dir", None)
-    if own is None:
-        own = spark.conf.get("filingloom.checkpoint.dir", None)
-        if own is None:
-            own = "file://" + tempfile.mkdtemp(prefix="filingloom_")
-            spark.conf.set("filingloom.checkpoint.dir", own)
+    own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("filingloom.checkpoint.dir", None)
+    if not own:
+        master = spark.sparkContext.master
+        if not master.split("[")[0] == "local":
+            raise RuntimeError(f"spark.checkpoint.dir is not set, and {master} is no local master")
+        own = "file://" + tempfile.mkdtemp(prefix="filingloom_")
+        spark.conf.set("filingloom.checkpoint.dir", own)
     return own.rstrip("/")
 
 
@@ -62,3 +66,10 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/filingloom/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Remove all tables ``materialize`` wrote. Results that still read them are lost, so
+    this is for the end of a job."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/filingloom")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
