@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from filingloom.operators.windows import group_hash
+from filingloom.operators.windows import group_hash, sampled_bucket
 
 
 def top_counts(df: DataFrame, by: str, first: str, n: int = 10) -> DataFrame:
@@ -30,21 +30,20 @@ def pivot_counts(df: DataFrame, index: str, columns: str, values: str, names: Se
     return df.groupBy(index).pivot(columns, list(names)).agg(F.count(values)).na.fill(0, list(names))
 
 
-def upper_median(df: DataFrame, group: Sequence[str], value: str, buckets: int = 4096) -> DataFrame:
-    """``upper_median``: the element at index n // 2 of the sorted non-null numbers,
+def upper_median(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+    """``upper_median``: the element at index n // 2 of the sorted non-null values,
     and their count ``n``, per group (of the whole table for an empty ``group``).
 
-    Equal values are counted before they move. The range is cut into ``buckets``;
-    the running count over a group's buckets finds the one that holds the middle,
-    and only its values are looked at. No group is sorted or gathered as a whole.
+    Equal values are counted before they move. The different values are cut into
+    ranges at sampled bounds; the running count over a group's ranges finds the one
+    that holds the middle, and only its values are looked at. No group is sorted or
+    gathered as a whole.
     """
-    values = df.where(F.col(value).isNotNull())
-    low, high = values.agg(F.min(value).cast("double"), F.max(value).cast("double")).first()
-    width = ((high - low) / buckets if low is not None else 0) or 1.0
     keys = [c.alias(n) for n, c in group_hash(group).items()]
     hashed = list(group_hash(group))
-    bucket = F.floor((F.col(value).cast("double") - F.lit(low)) / F.lit(width)).cast("int") if low is not None else F.lit(0)
-    counts = values.select(*group, *keys, F.col(value).alias("_v"), bucket.alias("_bucket")).groupBy(*group, *hashed, "_v", "_bucket").agg(F.count("*").alias("_c"))
+    values = df.where(F.col(value).isNotNull()).select(*group, *keys, F.col(value).alias("_v"))
+    counts = values.groupBy(*group, *hashed, "_v").agg(F.count("*").alias("_c"))
+    counts = counts.withColumn("_bucket", sampled_bucket(values, ["_v"]))
     coarse = counts.groupBy(*hashed, "_bucket").agg(F.sum("_c").alias("_s"))
     whole = Window.partitionBy(*hashed)
     upto = F.sum("_s").over(whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0))
@@ -73,6 +72,11 @@ def weighted_cost(df: DataFrame, per_million: Mapping[str, float], out: str = "c
     return df.withColumn(out, F.round(total, 6))
 
 
+def failures(df: DataFrame, failed: Column, order: Sequence[str], n: int = 3) -> DataFrame:
+    """A sample of at most ``n`` failed rows, the first by ``order``, for a report."""
+    return df.where(failed).orderBy(*order).limit(n)
+
+
 def median_or_least(df: DataFrame, value: str, low: int, high: int, ties: Sequence[str]) -> DataFrame:
     """A sample row: the upper-median row of those with low <= value < high, else
     the row with the least value."""

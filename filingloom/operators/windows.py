@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,18 +25,50 @@ def running_switch(df: DataFrame, group: Sequence[str], order: Sequence[str], ev
     return df.withColumn(out, F.when(seen >= at, after).otherwise(before))
 
 
-def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str = "n", buckets: int = 4096) -> DataFrame:
+def sampled_bucket(df: DataFrame, order: Sequence[str], parts: int = 1024, sample: int = 16_384) -> Column:
+    """The number of each row's range of the order columns, -1 for a null first one.
+
+    The bounds are quantiles of a sample of fixed size (the rows of least hash, so the
+    same rows every time), so they follow the data wherever it lies, numbers or
+    strings. Where single values of the first column fill whole ranges, the bounds go
+    on to the other columns. Nothing but the sample comes to the driver.
+    """
+    first = df.where(F.col(order[0]).isNotNull()).select(*order)
+    rows = [tuple(r) for r in first.orderBy(F.xxhash64(*order)).limit(sample).collect()]  # ``sample`` rows at most
+    whole = len(order) > 1 and all(x is not None for r in rows for x in r)
+    rows = sorted(r if whole else r[:1] for r in rows)
+    cuts = sorted({rows[i * len(rows) // parts] for i in range(1, parts)}) if rows else []
+    heads = [c[0] for c in cuts]
+    single = not whole or len(set(heads)) == len(heads)
+    bounds = np.array(heads if single else [None] * len(cuts), None if single and heads and isinstance(heads[0], (int, float)) else object)
+    if not single:
+        bounds[:] = cuts
+
+    @F.pandas_udf("int")
+    def bucket(*columns: pd.Series) -> pd.Series:
+        there = np.logical_and.reduce([c.notna().to_numpy() for c in columns])
+        kept = [[x.to_pydatetime() if isinstance(x, pd.Timestamp) else x for x in c[there]] if c.dtype.kind == "M" else c[there].to_numpy() for c in columns]
+        values = np.empty(int(there.sum()), object) if not single or bounds.dtype == object else kept[0]
+        if values.dtype == object:
+            values[:] = kept[0] if single else list(zip(*kept))
+        at = np.full(len(there), -1, np.int32)
+        at[there] = np.searchsorted(bounds, values, "right")
+        # a null in a later column: the range of the first column alone
+        for i in np.flatnonzero(~there & columns[0].notna().to_numpy()):
+            at[i] = bisect_left(heads, columns[0][i])
+        return pd.Series(at)
+
+    return bucket(*[F.col(c) for c in (order[:1] if single else order)])
+
+
+def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str = "n", buckets: int = 1024) -> DataFrame:
     """Row numbers within groups of any size: no task sorts a whole group.
 
-    The first order column is numeric (nulls come first). Its range is cut into
-    ``buckets``; rows are counted per group and bucket, the counts are summed up
-    over at most ``buckets`` rows a group, and rows are numbered within a bucket.
+    The rows' order is cut into ranges at sampled bounds (``sampled_bucket``; nulls of
+    the first column come first); rows are counted per group and range, the counts are
+    summed up over a group's ranges, and rows are numbered within a range.
     """
-    by = F.col(order[0]).cast("double")
-    low, high = df.agg(F.min(by), F.max(by)).first()
-    width = ((high - low) / buckets if low is not None else 0) or 1.0
-    bucket = F.coalesce(F.floor((by - F.lit(low)) / F.lit(width)).cast("int"), F.lit(-1)) if low is not None else F.lit(-1)
-    rows = df.withColumn("_bucket", bucket).withColumns(group_hash(group))
+    rows = df.withColumn("_bucket", sampled_bucket(df, order, buckets)).withColumns(group_hash(group))
     hashed = list(group_hash(group))
     counts = rows.groupBy(*hashed, "_bucket").agg(F.count("*").alias("_c"))
     before = F.coalesce(F.sum("_c").over(Window.partitionBy(*hashed).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -27,19 +27,26 @@ def windowed_counts(stream: DataFrame, event_time: str, by: Sequence[str], value
     return stream.withWatermark(event_time, delay).groupBy(w, *by).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("window.start").alias("start"), *by, "n", "total")
 
 
-def ingest(stream: DataFrame, target: str, keys: Sequence[str], version: str, checkpoint: str) -> StreamingQuery:
-    """Append each micro-batch's newest row per key under its batch number.
+def ingest(stream: DataFrame, target: str, keys: Sequence[str], version: str, checkpoint: str, ties: Sequence[str] = ()) -> StreamingQuery:
+    """Append each micro-batch's newest row per key under its batch number; of equally
+    new rows the first by ``ties``.
 
     A batch that runs again overwrites its own folder, so the target never holds a
     batch twice; readers take ``current`` of it.
     """
 
     def save(batch: DataFrame, number: int) -> None:
-        latest_version(batch, keys, version).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        latest_version(batch, keys, version, ties).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(save).trigger(availableNow=True).start()
 
 
-def current(spark: SparkSession, target: str, keys: Sequence[str], version: str) -> DataFrame:
+def current(spark: SparkSession, target: str, keys: Sequence[str], version: str, ties: Sequence[str] = ()) -> DataFrame:
     """The newest row per key over all batches."""
-    return latest_version(spark.read.parquet(target), keys, version, ["batch"]).drop("batch")
+    return latest_version(spark.read.parquet(target), keys, version, [*ties, "batch"]).drop("batch")
+
+
+def compacted(spark: SparkSession, target: str, into: str, keys: Sequence[str], version: str, ties: Sequence[str] = ()) -> None:
+    """Write the newest rows as batch -1 of a new table ``into``, for readers and the next
+    stream to go on from, so that what was replaced is not read for ever."""
+    current(spark, target, keys, version, ties).write.mode("overwrite").parquet(f"{into}/batch=-1")

@@ -138,3 +138,23 @@ def test_running_switch_suffixes_and_cold_start(spark):
         assert [n for n, _ in mine] == list(range(1, len(mine) + 1)) and [p for _, p in mine] == sorted(p for _, p in mine)
     runs = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "r string, pos int")
     assert rows(windows.without_first(runs, ["r"], ["pos"])) == [("a", 2), ("b", 1)]
+
+
+def test_numbering_follows_the_data(spark):
+    """One outlier, ties that fill ranges, strings and nulls: ranges stay small and the
+    numbers right."""
+    from filingloom.operators.windows import numbered, sampled_bucket
+
+    df = spark.range(20_000).select(F.lit("g").alias("g"), F.when(F.col("id") == 5, 10**12).otherwise(F.col("id")).alias("v"), F.col("id"))
+    spread = df.groupBy(sampled_bucket(df, ["v"], 64, 4096)).count()
+    assert spread.agg(F.max("count")).first()[0] < 2000
+    got = {r["id"]: r["n"] for r in numbered(df, ["g"], ["v"]).collect()}
+    assert got[0] == 1 and got[6] == 6 and got[5] == 20_000 and sorted(got.values()) == list(range(1, 20_001))
+    tied = df.select("g", F.lit(7).alias("v"), "id")
+    assert tied.groupBy(sampled_bucket(tied, ["v", "id"], 64, 4096)).count().agg(F.max("count")).first()[0] < 2000
+    assert {r["id"]: r["n"] for r in numbered(tied, ["g"], ["v", "id"]).collect()} == {i: i + 1 for i in range(20_000)}
+    names = spark.createDataFrame([("b", 1), (None, 2), ("a", 3), ("c", 4)], "s string, i int").withColumn("g", F.lit(1))
+    assert {r["i"]: r["n"] for r in numbered(names, ["g"], ["s"]).collect()} == {2: 1, 3: 2, 1: 3, 4: 4}
+    dates = names.withColumn("d", F.expr("timestamp_seconds(i * 1000000)"))
+    assert {r["i"]: r["n"] for r in numbered(dates, ["g"], ["d", "s"]).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+    assert numbered(names.limit(0), ["g"], ["s"]).count() == 0
