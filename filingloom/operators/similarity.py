@@ -2,30 +2,35 @@
 
 Texts become sets of 64-bit shingle hashes, a slice of Arrow text at a time. Two sets
 with the needed Jaccard index share some of their rarest shingles, in one order for
-all sets, so only those rarest ones (a prefix) are joined. The order comes from a
-table of counters of fixed size over all texts; what the counters say changes the
-work, never the result.
+all sets, so only those rarest ones (a prefix) are joined. The order comes from
+counters over all texts, as many as the input asks for; what the counters say changes
+the work, never the result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from filingloom.functions.hashing import ngram_hashes, slices, word_hashes
+from filingloom.functions.hashing import mix, ngram_hashes, slices, word_hashes
 from filingloom.session import materialize
 
-#: Buckets of the shingle frequency table: 2**18 counters, whatever the input's size.
-BUCKET_BITS = 18
-#: Buckets of the tables of keys that are broadcast: bounded, whatever the input's size.
-KEY_BUCKETS = 1 << 18
+#: The shingle counters: one for each BYTES_A_COUNTER of input, within these bounds.
+#: The table is broadcast, two bytes a counter, so 4 MB at most.
+BYTES_A_COUNTER, LEAST_BITS, MOST_BITS = 256, 16, 21
+#: Steps of the counters' logarithmic scale per doubling.
+STEPS = 6
 #: Shingles that a candidate pair shares among its rarest ones.
 SHARED = 3
+#: Shingles with more holders than RUNS are joined by runs, and with more than SPLIT in
+#: pieces of about that many holders.
+RUNS, SPLIT = 64, 4096
 
 
 def shingle_sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
@@ -60,70 +65,115 @@ def sets_of(texts: pa.Array, n: int) -> list[np.ndarray]:
 def text_classes(df: DataFrame, key: str, text: str, min_chars: int) -> tuple[DataFrame, DataFrame]:
     """(representatives: _k, _t; membership: rep, member for texts stored more than once).
 
-    Only texts whose 128-bit hash falls in a bucket of repeated ones are grouped, and
-    those are combined in each task before they move; all others never move. Null
-    keys and texts under ``min_chars`` take no part.
+    Equal texts are told by 128-bit hashes, which move instead of them; the only texts
+    that move are those of the representatives of repeated texts, whatever the number
+    of copies. The joins with the table of repeated hashes are plain ones: Spark
+    broadcasts it as long as its files are small. Null keys and texts under
+    ``min_chars`` take no part.
     """
     base = df.select(F.col(f"`{key}`").alias("_k"), F.col(f"`{text}`").alias("_t")).where(f"_k is not null and length(_t) >= {int(min_chars)}")
-    a, b = F.xxhash64("_t"), F.xxhash64(F.lit(11), "_t")
-    bucket = F.pmod(F.col("_a"), F.lit(KEY_BUCKETS)).cast("int")
-    marks = base.select("_k", a.alias("_a"), b.alias("_b"))
-    twice = marks.groupBy("_a", "_b").agg(F.count("*").alias("_n")).where("_n > 1").select(bucket.alias("_bucket")).distinct()
-    twice = materialize(twice, "copies")
-    tagged = base.withColumn("_bucket", F.pmod(a, F.lit(KEY_BUCKETS)).cast("int"))
-    single = tagged.join(F.broadcast(twice), "_bucket", "left_anti").select("_k", "_t")  # at most KEY_BUCKETS numbers
-    again = tagged.join(F.broadcast(twice), "_bucket", "left_semi")
-    merged = again.groupBy(a.alias("_a"), b.alias("_b")).agg(F.min("_k").alias("_k"), F.first("_t").alias("_t"))
-    merged = materialize(merged, "representatives")
-    members = marks.withColumn("_bucket", bucket).join(F.broadcast(twice), "_bucket", "left_semi").select("_k", "_a", "_b").distinct()
-    members = members.join(merged.select(F.col("_k").alias("rep"), "_a", "_b"), ["_a", "_b"]).select("rep", F.col("_k").alias("member"))
-    return single.unionByName(merged.select("_k", "_t")), materialize(members, "members")
+    hashed = base.select("_k", "_t", F.xxhash64("_t").alias("_a"), F.xxhash64(F.lit(11), "_t").alias("_b"))
+    marks = materialize(hashed.select("_k", "_a", "_b"), "marks")
+    again = marks.groupBy("_a", "_b").agg(F.min("_k").alias("rep"), F.count("*").alias("_n")).where("_n > 1").select("_a", "_b", "rep")
+    again = materialize(again, "copies")
+    single = hashed.join(again, ["_a", "_b"], "left_anti").select("_k", "_t")
+    first = hashed.join(again.withColumnRenamed("rep", "_k"), ["_a", "_b", "_k"], "left_semi")
+    first = materialize(first.groupBy("_a", "_b", "_k").agg(F.first("_t").alias("_t")), "representatives")
+    members = marks.join(again, ["_a", "_b"]).select("rep", F.col("_k").alias("member")).distinct()
+    return single.unionByName(first.select("_k", "_t")), materialize(members, "members")
+
+
+def counter_bits(df: DataFrame) -> int:
+    """How many counters (a power of two) an input of the planner's estimated size gets."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, size / BYTES_A_COUNTER)))))
 
 
 def frequencies(reps: DataFrame, n: int) -> np.ndarray:
-    """How often the shingles of each bucket occur, over all texts.
+    """How often the shingles of each counter occur over all texts, on a logarithmic
+    scale (STEPS * log2(1 + count)).
 
-    The counts add up in each task, then per bucket; what comes to the driver is
-    the table of 2**BUCKET_BITS counters.
+    The counts add up in each task, then per counter; what comes to the driver is the
+    table of at most 2**MOST_BITS counters.
     """
+    bits = counter_bits(reps)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << BUCKET_BITS, np.int64)
+        table = np.zeros(1 << bits, np.int64)
         for batch in batches:
             for _, _, h, _ in shingle_sets(batch.column(0), n):
-                table += np.bincount((h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(table))
+                table += np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=len(table))
         at = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(table[at])], names=["bucket", "n"])
 
-    rows = reps.select("_t").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(1 << BUCKET_BITS, np.int64)
-    table[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
+    counted = reps.select("_t").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    rows = counted.select("bucket", F.round(STEPS * F.log2(F.col("n") + 1)).cast("short").alias("level")).toArrow()
+    table = np.zeros(1 << bits, np.int16)
+    table[rows.column("bucket").to_numpy()] = rows.column("level").to_numpy()
     return table
 
 
+def _counts(levels: np.ndarray) -> np.ndarray:
+    return np.exp2(levels / STEPS) - 1
+
+
+#: How an element of a prefix that many texts hold is joined: with the elements before
+#: and after it, its place, and its side (1 left, 2 right); null for the rest.
+RUN = T.StructType([T.StructField("prev", T.LongType()), T.StructField("next", T.LongType()), T.StructField("pos", T.IntegerType()), T.StructField("side", T.IntegerType())])
+
+
 def prefixes(reps: DataFrame, n: int, threshold: float, table: np.ndarray) -> DataFrame:
-    """(h, k, n): the rarest shingles of each text, and the size of its set.
+    """(g, k, n, run): the rarest shingles of each text, and the size of its set.
 
     Of a set of that size a partner shares at least need = ceil(threshold * size);
     the first SHARED common shingles lie among the first size - need + SHARED of each.
+    ``g`` is what is joined: the shingle, and for one with more than SPLIT holders also
+    a piece: on the left side the text's own one, on the right side each.
     """
     shared = reps.sparkSession.sparkContext.broadcast(table)
-    schema = T.StructType([T.StructField("h", T.LongType()), T.StructField("k", reps.schema["_k"].dataType), T.StructField("n", T.IntegerType())])
+    schema = T.StructType([T.StructField("g", T.LongType()), T.StructField("k", reps.schema["_k"].dataType), T.StructField("n", T.IntegerType()), T.StructField("run", RUN)])
+    run_type = pa.struct([("prev", pa.int64()), ("next", pa.int64()), ("pos", pa.int32()), ("side", pa.int32())])
+    shift = np.uint64(64 - int(math.log2(len(table))))
+    noise = float(np.median(_counts(table[table > 0]))) if (table > 0).any() else 0.0
+
+    def rows_of(keys: pa.Array, at: np.ndarray, g: np.ndarray, size: np.ndarray, run: tuple[np.ndarray, ...] | None) -> pa.RecordBatch:
+        runs = pa.nulls(len(at), run_type) if run is None else pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(run, run_type)], fields=list(run_type))
+        return pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), keys.take(pa.array(at)), pa.array(size.astype(np.int32)), runs], names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = shared.value
+        levels = shared.value
         for batch in batches:
             for first, r, h, rows in shingle_sets(batch.column(1), n):
                 if not len(h):
                     continue
                 size = np.bincount(r, minlength=rows)
-                order = np.lexsort((h, often[(h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)], r))
+                level = levels[(h >> shift).astype(np.int64)]
+                order = np.lexsort((h, level, r))
                 begin = np.cumsum(size) - size
                 place = np.arange(len(h)) - begin[r]
                 need = np.ceil(threshold * size - 1e-9).astype(np.int64)
                 use = place < (size - need + np.minimum(SHARED, need))[r]
-                rr = r[use]
-                yield pa.RecordBatch.from_arrays([pa.array(h[order][use].view(np.int64)), batch.column(0).take(pa.array(first + rr)), pa.array(size[rr].astype(np.int32))], names=schema.names)
+                rr, hh, pos = r[use], h[order][use], place[use]
+                over = _counts(level[order][use]) - 2 * noise
+                hot = over > RUNS
+                yield rows_of(batch.column(0), first + rr[~hot], hh[~hot], size[rr[~hot]], None)
+                if not hot.any():
+                    continue
+                beside = np.zeros(len(hh), bool)  # the element before is a hot one of the same text
+                beside[1:] = hot[1:] & hot[:-1] & (rr[1:] == rr[:-1])
+                prev, following = np.zeros(len(hh), np.int64), np.zeros(len(hh), np.int64)
+                signed = hh.view(np.int64)
+                prev[1:][beside[1:]] = signed[:-1][beside[1:]]
+                following[:-1][beside[1:]] = signed[1:][beside[1:]]
+                pieces = np.maximum(1, np.ceil(over / SPLIT)).astype(np.int64)
+                own = (mix(h[order][begin[r]][use]) % pieces.astype(np.uint64)).astype(np.int64)
+                i = np.flatnonzero(hot)
+                each = np.repeat(i, pieces[i])
+                piece = np.arange(len(each)) - np.repeat(np.cumsum(pieces[i]) - pieces[i], pieces[i])
+                for side, at, part in ((1, i, own[i]), (2, each, piece)):
+                    with np.errstate(over="ignore"):
+                        g = mix(hh[at] + (part.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+                    yield rows_of(batch.column(0), first + rr[at], g, size[rr[at]], (prev[at], following[at], pos[at], np.full(len(at), side)))
 
     return reps.select("_k", "_t").mapInArrow(run, schema)
 
@@ -131,14 +181,26 @@ def prefixes(reps: DataFrame, n: int, threshold: float, table: np.ndarray) -> Da
 def candidates(prefix: DataFrame, threshold: float) -> DataFrame:
     """(a, b), a < b: pairs sharing enough of their rarest shingles, sizes within reach.
 
-    The number of holders of a shingle is not capped: the sort-merge join streams
-    large groups and adaptive execution splits them. A shingle that many texts hold
-    is in a prefix only where most of a text's shingles are as common.
+    Holders are not capped. The texts of one template share long runs of shingles;
+    such a run is counted by its ends (place after the last less place of the first),
+    so a pair takes two rows a run through the aggregate, not one a shingle.
     """
-    left, right = prefix.select("h", F.col("k").alias("a"), F.col("n").alias("na")), prefix.select("h", F.col("k").alias("b"), F.col("n").alias("nb"))
-    pairs = left.join(right, "h").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9))
+
+    def side(name: str) -> DataFrame:
+        return prefix.select("g", F.col("k").alias(name), F.col("n").alias(f"n{name}"), F.col("run").alias(f"r{name}"))
+
+    def differ(field: str) -> Column:
+        x, y = F.col(f"ra.{field}"), F.col(f"rb.{field}")
+        return (x == 0) | (x != y)
+
+    # one test over both sides, so that both read one and the same exchange
+    sides = F.coalesce("ra.side", F.lit(0)) + 3 * F.coalesce("rb.side", F.lit(0))
+    both = side("a").join(side("b"), "g").where((F.col("a") < F.col("b")) & sides.isin(0, 7) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9))
+    starts, ends = differ("prev"), differ("next")
+    part = F.when(F.col("ra").isNull(), 1).otherwise(F.when(ends, F.col("ra.pos") + 1).otherwise(0) - F.when(starts, F.col("ra.pos")).otherwise(0))
+    kept = both.where(F.col("ra").isNull() | starts | ends).select("a", "b", "na", "nb", part.alias("part"))
     need = F.least(F.lit(SHARED), F.ceil(F.min("na") * threshold - 1e-9), F.ceil(F.min("nb") * threshold - 1e-9))
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("c"), need.alias("need")).where("c >= need").select("a", "b")
+    return kept.groupBy("a", "b").agg(F.sum("part").alias("c"), need.alias("need")).where("c >= need").select("a", "b")
 
 
 def verified(pairs: DataFrame, reps: DataFrame, n: int, threshold: float, bound: Callable[[np.ndarray, np.ndarray], int] | None = None) -> DataFrame:
@@ -148,9 +210,8 @@ def verified(pairs: DataFrame, reps: DataFrame, n: int, threshold: float, bound:
     sets; pairs it rules out are not compared.
     """
     pairs = materialize(pairs, "pairs")
-    bucket = F.pmod(F.xxhash64("_k"), F.lit(KEY_BUCKETS)).cast("int")
-    used = pairs.select(F.explode(F.array("a", "b")).alias("_k")).select(bucket.alias("_bucket")).distinct()
-    texts = materialize(reps.withColumn("_bucket", bucket).join(F.broadcast(used), "_bucket", "left_semi").select("_k", "_t"), "texts")  # at most KEY_BUCKETS numbers
+    used = materialize(pairs.select(F.explode(F.array("a", "b")).alias("_k")).distinct(), "used")
+    texts = materialize(reps.join(used, "_k", "left_semi").select("_k", "_t"), "texts")
     both = pairs.join(texts.select(F.col("_k").alias("a"), F.col("_t").alias("ta")), "a").join(texts.select(F.col("_k").alias("b"), F.col("_t").alias("tb")), "b")
     schema = T.StructType([pairs.schema["a"], pairs.schema["b"], T.StructField("similarity", T.DoubleType())])
 

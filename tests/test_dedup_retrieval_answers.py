@@ -1,3 +1,4 @@
+import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -166,3 +167,37 @@ def test_answer_pipeline_has_vectors_of_the_full_dimension(monkeypatch):
     with pytest.raises(Seen) as seen:
         catalog.answer_pipeline(None, "")
     assert seen.value.args == (retrieval.hashing_encoder()(["some text"]).shape,) == ((1, 384),)
+
+
+def test_templates_and_hot_shingles_lose_no_pair(spark, monkeypatch):
+    """Texts of one template share their prefixes in runs; with small pieces and run
+    bounds every way of the join is taken, and it is brute force that decides."""
+    from filingloom.operators import similarity
+
+    for name, value in (("RUNS", 3), ("SPLIT", 8), ("LEAST_BITS", 8)):
+        monkeypatch.setattr(similarity, name, value)
+    rng = random.Random(3)
+    rows = []
+    for t in range(3):
+        body = [f"t{t}w{i}" for i in range(60)]
+        for v in range(40):
+            words = list(body)
+            for _ in range(v % 5):
+                words[rng.randrange(60)] = f"x{rng.randrange(10_000)}"
+            rows.append((len(rows), " ".join(words)))
+    df = spark.createDataFrame(rows, "k long, t string")
+    texts, sets = {}, {}
+    for k, t in rows:
+        texts.setdefault(t, k)
+    for t, k in texts.items():
+        w = t.split()
+        sets[k] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    keys = sorted(sets)
+    want = {(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])}
+    got = dedup.near_duplicates_exact(df, "k", "t", 0.6)
+    assert {(r["a"], r["b"]) for r in got.collect()} == want and len(want) > 300
+    banded = {(r["a"], r["b"]) for r in dedup.near_duplicates_minhash(df, "k", "t", 0.6, bands=64).collect()}
+    assert banded <= want and len(banded) > 0.99 * len(want)
+    signed = dedup.signatures(df.select(df["k"].alias("_k"), df["t"].alias("_t")), 32, 5)
+    pairs = lambda n: {tuple(r) for r in dedup.band_candidates(signed, 16, 2, n).collect()}
+    assert pairs(4) == pairs(10**6)
