@@ -51,18 +51,31 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.7,
     return similar_pairs(reps, shingle, threshold, _bound), members
 
 
-def expanded_pairs(pairs: DataFrame, members: DataFrame, whole_up_to: int = 1000) -> DataFrame:
-    """(record_a, record_b) between single records, record_a < record_b.
-
-    Classes of up to ``whole_up_to`` copies are written out; a larger class stays
-    with its representative: pairs of the class and pairs with each of its copies.
+def linked_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(record_a, record_b) between single records, record_a < record_b, whatever the
+    size of a class.
+
+    Each record is linked to the representative of its class of exact copies and to the
+    representatives of all classes near to it; so is each representative to all records
+    of those classes. No link between two different texts is lost, and a class of m
+    copies near to one of n gives m + n - 1 pairs, not m * n. ``link_counts`` has the
+    number of all links of every record.
     """
-    size = members.groupBy("rep").agg(F.count("*").alias("_n"))
-    small = members.join(size.where(F.col("_n") <= whole_up_to), "rep").select("rep", "member")
-    large = members.join(size.where(F.col("_n") > whole_up_to), "rep").select("rep", "member")
-    ma, mb = small.select(F.col("rep").alias("a"), F.col("member").alias("_ma")), small.select(F.col("rep").alias("b"), F.col("member").alias("_mb"))
-    across = pairs.select("a", "b").join(ma, "a", "left").join(mb, "b", "left").select(F.coalesce("_ma", "a").alias("x"), F.coalesce("_mb", "b").alias("y"))
-    within = small.alias("p").join(small.alias("q"), "rep").select(F.col("p.member").alias("x"), F.col("q.member").alias("y")).where("x < y")
-    star = large.select(F.col("rep").alias("x"), F.col("member").alias("y")).where("x <> y")
-    both = across.unionByName(within).unionByName(star)
+    a = members.select(F.col("rep").alias("a"), F.col("member").alias("_ma"))
+    b = members.select(F.col("rep").alias("b"), F.col("member").alias("_mb"))
+    near = pairs.select("a", "b")
+    left = near.join(a, "a", "left").select(F.coalesce("_ma", "a").alias("x"), F.col("b").alias("y"))
+    right = near.join(b, "b", "left").select(F.col("a").alias("x"), F.coalesce("_mb", "b").alias("y"))
+    own = members.where("rep <> member").select(F.col("rep").alias("x"), F.col("member").alias("y"))
+    both = left.unionByName(right).unionByName(own)
     return both.select(F.least("x", "y").alias("record_a"), F.greatest("x", "y").alias("record_b")).where("record_a < record_b").distinct()
+
+
+def link_counts(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(record, rep, links) of every record with an equal or near one: the representative
+    of its class of exact copies, and how many other records are equal or near to it."""
+    ends = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    size = members.groupBy("rep").agg(F.count("*").alias("_n"))
+    near = ends.join(size.withColumnRenamed("rep", "b"), "b", "left").groupBy(F.col("a").alias("rep")).agg(F.sum(F.coalesce("_n", F.lit(1))).alias("_near"))
+    reps = near.join(size, "rep", "full").select("rep", (F.coalesce("_near", F.lit(0)) + F.coalesce("_n", F.lit(1)) - 1).alias("links"))
+    return reps.join(members, "rep", "left").select(F.coalesce("member", "rep").alias("record"), "rep", "links")

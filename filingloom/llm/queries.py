@@ -11,7 +11,7 @@ from filingloom.llm.confusables import lookalike_groups, one_form
 from filingloom.llm.leakage import find_leaks
 from filingloom.llm.markup import strip_markup
 from filingloom.llm.mojibake import repair_encoding
-from filingloom.llm.near_dups import expanded_pairs, near_duplicates
+from filingloom.llm.near_dups import link_counts, linked_pairs, near_duplicates
 from filingloom.llm.packing import pack
 from filingloom.llm.pairs_crf import broken_pairs
 from filingloom.llm.site_lines import flagged_lines, remove_repeated_lines
@@ -107,7 +107,9 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return expanded_pairs(*near_duplicates(_table(spark, sf_dir, "records"), "record_id", "text"))
+    """Every link between different texts, and every copy's to its representative; what
+    single records of two classes have beside those is in p6_links."""
+    return linked_pairs(*near_duplicates(_table(spark, sf_dir, "records"), "record_id", "text"))
 
 
 def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,6 +122,11 @@ def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.unionByName(copies)
 
 
+def p6_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record with its representative and the number of its equal and near records."""
+    return link_counts(*near_duplicates(_table(spark, sf_dir, "records"), "record_id", "text"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack(_table(spark, sf_dir, "documents"), "doc_id", text="text")
     return packed.where("n_parts > 1").select("doc_id").distinct()
@@ -146,7 +153,7 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (p1_found, p1_shares, p2_found, p2_titles, p2_forms, p3_found, p3_clean, p4_found, p4_clean, p5_found, p5_pieces, p6_found, p6_classes, p7_found, p7_containers, p8_found, p9_found, p9_restored)
+    own = (p1_found, p1_shares, p2_found, p2_titles, p2_forms, p3_found, p3_clean, p4_found, p4_clean, p5_found, p5_pieces, p6_found, p6_classes, p6_links, p7_found, p7_containers, p8_found, p9_found, p9_restored)
     return {f.__name__: f for f in own}
 
 
@@ -154,6 +161,16 @@ def queries() -> dict[str, Query]:
 _TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\x09-\x0d\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _SPACE = r"[\x09-\x0d\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
+#: All pairs of records (p) by brute force over shared shingles.
+_PAIRS = rf"""
+        with u as (select distinct record_id, text from records where length(text) >= 200),
+        t as (select record_id, list_filter(regexp_split_to_array(text, '{_SPACE}+'), lambda w: w <> '') as w from u),
+        s as (select distinct record_id, unnest(case when len(w) < 3 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as g from t where len(w) > 0),
+        h as (select record_id, hash(g) as g from s),
+        n as (select record_id, count(*) as n from h group by all),
+        c as (select a.record_id as record_a, b.record_id as record_b, count(*) as c from h a join h b on a.g = b.g and a.record_id < b.record_id group by all),
+        p as (select record_a, record_b from c join n x on x.record_id = record_a join n y on y.record_id = record_b where c >= 0.7 * (x.n + y.n - c))"""
+
 ORACLE = {
     "p3_found": rf"""
         with r as (select distinct record_id, coalesce(ticker, '') as ticker, text from records where record_id is not null and text is not null),
@@ -165,13 +182,17 @@ ORACLE = {
     "p5_found": rf"""
         select 'records' as tab, record_id::varchar as item_key from records where len(regexp_extract_all(text, '{_TOKEN}')) > 500
         union select 'chunks', chunk_id from chunks where len(regexp_extract_all(text, '{_TOKEN}')) > 500""",
-    "p6_found": rf"""
-        with t as (select distinct record_id, list_filter(regexp_split_to_array(text, '{_SPACE}+'), lambda w: w <> '') as w from records where length(text) >= 200),
-        s as (select distinct record_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as g from t where len(w) >= 3),
-        h as (select record_id, hash(g) as g from s),
-        n as (select record_id, count(*) as n from h group by all),
-        p as (select a.record_id as record_a, b.record_id as record_b, count(*) as c from h a join h b on a.g = b.g and a.record_id < b.record_id group by all)
-        select record_a, record_b from p join n x on x.record_id = record_a join n y on y.record_id = record_b where c >= 0.7 * (x.n + y.n - c)""",
+    "p6_found": f"""{_PAIRS},
+        m as (select record_id, min(record_id) over (partition by text) as rep from u)
+        select record_a, record_b from p join m x on x.record_id = record_a join m y on y.record_id = record_b where record_a = x.rep or record_b = y.rep""",
+    "p6_classes": f"""{_PAIRS},
+        m as (select record_id, min(record_id) over (partition by text) as rep from u)
+        select record_a, record_b, x.rep = y.rep as is_copy from p join m x on x.record_id = record_a join m y on y.record_id = record_b
+        where record_a = x.rep and (x.rep = y.rep or record_b = y.rep)""",
+    "p6_links": f"""{_PAIRS},
+        m as (select record_id, min(record_id) over (partition by text) as rep from u),
+        e as (select record_a as record, record_b as o from p union all select record_b, record_a from p)
+        select record, rep, count(*) as links from e join m on record_id = record group by all""",
     "p7_found": rf"select doc_id from documents where len(regexp_extract_all(text, '{_TOKEN}')) > 2048",
 }
 

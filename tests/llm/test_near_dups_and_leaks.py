@@ -3,9 +3,10 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from filingloom.llm.leakage import find_leaks, leaks, scores
-from filingloom.llm.near_dups import count_vector, expanded_pairs, near_duplicates, overlap_bound
+from filingloom.llm.near_dups import count_vector, link_counts, linked_pairs, near_duplicates, overlap_bound
 from filingloom.operators.similarity import sets_of
 
 
@@ -46,23 +47,32 @@ def test_near_duplicates_against_brute_force(spark, with_clashes, threshold):
     rows += [(500 + i, rows[0][1]) for i in range(3)] + [(500, rows[0][1]), (600, None), (601, ""), (602, "too short"), (None, rows[0][1]), (603, "z" * 5000), (604, "z" * 5000)]
     df = with_clashes(spark.createDataFrame(rows, "k long, t string"))
     pairs, members = near_duplicates(df, "k", "t", threshold)
-    got = {(r["record_a"], r["record_b"]) for r in expanded_pairs(pairs, members).collect()}
-    assert got == brute(rows, threshold) | {(603, 604)}
+    whole = brute(rows, threshold) | {(603, 604)}
+    rep = {500: 0, 501: 0, 502: 0, 604: 603}
+    got = {(r["record_a"], r["record_b"]) for r in linked_pairs(pairs, members).collect()}
+    assert got == {(a, b) for a, b in whole if rep.get(a, a) == a or rep.get(b, b) == b}
+    links = {r["record"]: (r["rep"], r["links"]) for r in link_counts(pairs, members).collect()}
+    assert links == {k: (rep.get(k, k), sum(k in p for p in whole)) for k in {x for p in whole for x in p}}
     assert sorted((r["rep"], r["member"]) for r in members.collect()) == [(0, 0), (0, 500), (0, 501), (0, 502), (603, 603), (603, 604)]
 
 
-def test_large_classes_stay_with_their_representative(spark):
+def test_the_form_of_links_is_the_same_at_every_size(spark):
+    """No switch: a class of 1,200 or 100,000 copies has a link for every member to its own
+    representative and to the one near to it, no square, and the right counts."""
     text = " ".join(f"w{i}" for i in range(80))
-    rows = [(i, text) for i in range(20)] + [(50, text + " more")]
-    df = spark.createDataFrame(rows, "k long, t string")
-    pairs, members = near_duplicates(df, "k", "t")
-    assert expanded_pairs(pairs, members).count() == 21 * 20 // 2
-    star = {(r["record_a"], r["record_b"]) for r in expanded_pairs(pairs, members, whole_up_to=5).collect()}
-    assert star == {(0, i) for i in range(1, 20)} | {(0, 50)}
+    for size in (3, 1200, 100_000):
+        rows = spark.range(size).select(F.col("id").alias("k"), F.lit(text).alias("t"))
+        near = spark.createDataFrame([(1_000_000 + i, text + " more") for i in range(2)], "k long, t string")
+        pairs, members = near_duplicates(rows.unionByName(near), "k", "t")
+        links = linked_pairs(pairs, members)
+        own, other = F.col("record_a") == 0, F.col("record_b") == 1_000_000
+        got = links.agg(F.count("*"), F.count_if(own & (F.col("record_b") < 1_000_000)), F.count_if(other), F.count_if(own & (F.col("record_b") == 1_000_001))).first()
+        assert tuple(got) == (size - 1 + size + 1 + 1, size - 1, size, 1)
+        assert [tuple(r) for r in link_counts(pairs, members).groupBy("rep", "links").count().orderBy("rep").collect()] == [(0, size + 1, size), (1_000_000, size + 1, 2)]
 
 
 def test_p6_classes_give_all_pairs_of_a_large_class(spark, tmp_path):
-    """A class over the size up to which p6_found writes copies out, and what is near to it."""
+    """A large class, and what is near to it."""
     from filingloom.llm import queries
 
     text = " ".join(f"w{i}" for i in range(80))
@@ -79,7 +89,7 @@ def test_p6_classes_give_all_pairs_of_a_large_class(spark, tmp_path):
     whole = [*range(1002), 2000, 2001]
     assert len(rebuilt) == len(whole) * (len(whole) - 1) // 2
     found = {tuple(r) for r in queries.p6_found(spark, str(tmp_path)).collect()}
-    assert found < rebuilt and (5, 2000) in rebuilt - found
+    assert found < rebuilt and {(5, 2000), (0, 2001)} <= found and {(5, 6), (5, 2001)} <= rebuilt - found
 
 
 def test_empty_table_and_thresholds(spark):
