@@ -6,6 +6,45 @@ from filingloom.llm.confusables import consistent, lookalike_groups, one_form, s
 from filingloom.llm.mojibake import PAGES, encode, repair, repair_encoding, repair_span, search
 
 
+@pytest.fixture(autouse=True, scope="module")
+def _session(spark):
+    """The look-alike table comes from the session's ICU library."""
+
+
+LATIN = "abcdeghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ 0189.-"
+
+
+@given(st.lists(st.tuples(st.sampled_from(LATIN), st.integers(0, 10**6)), max_size=25))
+@settings(max_examples=400, deadline=None)
+def test_equal_skeletons_give_equal_forms(picks):
+    """Latin text, and the same text with any letters replaced by true look-alikes of theirs."""
+    from filingloom.llm.confusables import tables
+
+    table, strong = tables()
+    of = {}
+    for c in sorted(strong):
+        of.setdefault(table[c], []).append(c)
+    plain = "".join(c for c, _ in picks)
+    stored = "".join(of[c][i % len(of[c])] if c in of and i % 3 else c for c, i in picks)
+    if len(stored) == 1 and stored.islower():
+        return  # a single Greek symbol is ordinary
+    if any(len(w) == 1 and w != v for w, v in zip(stored.split(), plain.split())):
+        return
+    assert skeleton(stored) == skeleton(plain) and consistent(stored)[0] == consistent(plain)[0] == plain
+
+
+@pytest.mark.parametrize(("a", "b"), [("СОСА", "COCA"), ("ΝΙΚΕ", "NIKE"), ("аррӏе", "appie"), ("ƒund", "fund"), ("ᴀsset", "asset"), ("ʟoss", "loss"), ("ⲟil", "oil"), ("ⅼoan", "loan"), ("υnit", "unit"), ("бank", "6ank")])
+def test_values_that_look_equal_have_one_form(a, b):
+    assert consistent(a) == (b, True) and skeleton(a) == skeleton(b)
+
+
+def test_the_table_is_the_public_one():
+    from filingloom.llm.confusables import tables
+
+    table, strong = tables()
+    assert len(table) > 1500 and table["Ι"] == "I" and table["О"] == "O" and table["о"] == "o" and strong <= set(table)
+
+
 @pytest.mark.parametrize(
     ("stored", "form"),
     [
