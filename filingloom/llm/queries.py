@@ -13,7 +13,7 @@ from filingloom.llm.markup import strip_markup
 from filingloom.llm.mojibake import repair_encoding
 from filingloom.llm.near_dups import link_counts, linked_pairs, near_duplicates
 from filingloom.llm.packing import pack
-from filingloom.llm.pairs_crf import broken_pairs
+from filingloom.llm.pairs_crf import Languages, broken_pairs, fit_languages
 from filingloom.llm.site_lines import flagged_lines, remove_repeated_lines
 from filingloom.llm.splitting import split_oversized
 from filingloom.session import prepare
@@ -25,16 +25,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _languages(spark: SparkSession, sf_dir: str) -> Languages:
+    """Language profiles from the labelled rows of documents, 150 a language."""
+    return fit_languages(_table(spark, sf_dir, "documents"), "text", "lang", "doc_id")
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = _table(spark, sf_dir, "run_20261012t174720z")
-    return broken_pairs(run, ["run_row"], "question", "answer", only_defects=True).select("run_row", "defect").distinct()
+    return broken_pairs(run, ["run_row"], "question", "answer", only_defects=True, languages=_languages(spark, sf_dir)).select("run_row", "defect").distinct()
 
 
 def p1_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Defects against the run's own hints, which can mislead."""
     run = _table(spark, sf_dir, "run_20261012t174720z")
     run = run.select("run_row", "question", "answer", "stop_reason", "citations_valid").dropDuplicates(["run_row"])
-    judged = broken_pairs(run, ["run_row", "stop_reason", "citations_valid"], "question", "answer")
+    judged = broken_pairs(run, ["run_row", "stop_reason", "citations_valid"], "question", "answer", languages=_languages(spark, sf_dir))
     return judged.groupBy("stop_reason", "citations_valid", "defect").agg(F.count("*").alias("answers"))
 
 
