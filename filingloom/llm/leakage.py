@@ -1,30 +1,38 @@
 """Evaluation texts leaking into training text (problem 8).
 
-Method: n-gram seeds join passages of the corpus to test items; seeds that lie on
-near diagonals of one item open a window, and Smith-Waterman alignment scores the
-window. An exact check of the rule (runs of at least ``min_words`` words of which
-at most one in ``per_change`` is changed) follows on the windows that score.
-
-The test items are a stated query set: they are taken in blocks of bounded size,
-each block is held in memory against all rows of the corpus.
+Method: rare n-gram seeds join training passages to test items, then Smith-Waterman
+alignment scores the joined pairs. An exact check of the rule (runs of at least
+``min_words`` words of which at most one in ``per_change`` is changed) follows on the
+pairs that score.
+
+The corpus is read once, however many items there are: a filter over the items' seeds
+leaves the passages where several of them stand close together, as word hashes; those
+are joined to the seeds by hash. How many passages hold a seed is counted over the
+whole corpus, and a common seed that stands alone among rare ones joins nothing: the
+rare ones beside it do.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from filingloom.functions.hashing import ngram_hashes, slices, word_hashes
+from filingloom.functions.hashing import mix, ngram_hashes, slices, word_hashes
 from filingloom.llm.common import keyed, schema_of, unkeyed
+from filingloom.session import materialize
 
-#: Test items held in memory at once.
-BLOCK_ITEMS = 20_000
+#: Bits of the filter over the items' seeds: BITS_A_SEED for each, within these bounds
+#: (16 MB at most; beyond 2 million seeds more of other passages go on to the join).
+BITS_A_SEED, LEAST_BITS, MOST_BITS = 64, 16, 27
+#: A seed in more passages than this is a common one.
+COMMON = 1000
 
 
 def word_form(c: Column) -> Column:
@@ -32,44 +40,6 @@ def word_form(c: Column) -> Column:
     return F.lower(F.regexp_replace(F.translate(c, "'’", ""), r"[^\p{L}\p{N}\p{M}]+", " "))
 
 
-class Seeds:
-    """The n-grams of a block of items: sorted hashes with their places."""
-
-    def __init__(self, keys: list[object], texts: list[str], words: int) -> None:
-        self.keys, self.words, self.items = keys, words, []
-        h, item, at = [], [], []
-        for first, raw, offsets in slices(pa.array(texts, pa.string())):
-            rows, hashes = word_hashes(raw, offsets)
-            cuts = np.searchsorted(rows, np.arange(1, len(offsets) - 1))
-            parts = np.split(hashes, cuts)
-            begins = np.concatenate([[0], cuts])
-            self.items += parts
-            r, g, i = ngram_hashes(rows, hashes, words)
-            h.append(g)
-            item.append(first + r)
-            at.append(i - begins[r])
-        h, item, at = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (h, item, at))
-        order = np.argsort(h, kind="stable")
-        self.item, self.at = item[order], at[order]
-        self.seeds, self.begin = np.unique(h[order].astype(np.uint64), return_index=True)
-        self.begin = np.append(self.begin, len(h))
-        self.marks = np.zeros(1 << 20, bool)
-        self.marks[(self.seeds >> np.uint64(44)).astype(np.int64)] = True
-        self.longest = max((len(x) for x in self.items), default=0)
-
-    def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(index into ``grams``, item, place in the item) of each seed that occurs."""
-        maybe = np.flatnonzero(self.marks[(grams >> np.uint64(44)).astype(np.int64)])
-        if not len(maybe) or not len(self.seeds):
-            return (np.zeros(0, np.int64),) * 3
-        where = np.minimum(np.searchsorted(self.seeds, grams[maybe]), len(self.seeds) - 1)
-        ok = self.seeds[where] == grams[maybe]
-        maybe, where = maybe[ok], where[ok]
-        count = self.begin[where + 1] - self.begin[where]
-        flat = np.repeat(self.begin[where], count) + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
-        return np.repeat(maybe, count), self.item[flat], self.at[flat]
-
-
 def scores(items: np.ndarray, texts: np.ndarray) -> np.ndarray:
     """Smith-Waterman scores (match 1, mismatch -1, gap -1) of many pairs at once.
 
@@ -101,7 +71,7 @@ def few_changes(min_words: int, per_change: int) -> int:
     return (2 * min_words - 1) // per_change + 1
 
 
-def leaks(items: np.ndarray, texts: np.ndarray, min_words: int, per_change: int) -> np.ndarray:
+def leaks(items: np.ndarray, texts: np.ndarray, min_words: int, per_change: int, changes: int | None = None) -> np.ndarray:
     """Does a pair hold a run of at least ``min_words`` item words, in order, with at
     most one change in ``per_change`` words? A change replaces, drops or adds a word;
     a run begins and ends with words that are kept.
@@ -110,7 +80,7 @@ def leaks(items: np.ndarray, texts: np.ndarray, min_words: int, per_change: int)
     one half does, but for a change at the cut), so ``few_changes`` decide.
     """
     n, width = texts.shape
-    changes = few_changes(min_words, per_change)
+    changes = few_changes(min_words, per_change) if changes is None else changes
     none = np.int16(-999)
     above = [np.zeros((n, width), np.int16) for _ in range(changes + 1)]
     found = np.zeros(n, bool)
@@ -135,104 +105,239 @@ def leaks(items: np.ndarray, texts: np.ndarray, min_words: int, per_change: int)
     return found
 
 
+def spaced_leaks(items: np.ndarray, texts: np.ndarray, min_words: int, per_change: int) -> np.ndarray:
+    """Like ``leaks``, but also of any ``per_change`` words of the run in a row at most one
+    is changed: between two changes stand at least ``per_change`` - 1 kept words.
+
+    A run of 2 * per_change words can have two such changes, so beside those only
+    shorter runs with one change count. A state is how many words were kept since the last change (all beyond the needed
+    ones are one state, and so is a run without a change so far); its value is the
+    longest run that ends there.
+    """
+    if min_words >= 2 * per_change:
+        raise ValueError("runs shorter than two times per_change only")
+    n, width = texts.shape
+    last = per_change - 1
+    none = np.int16(-9999)
+
+    def after(x: np.ndarray) -> np.ndarray:
+        out = np.full((n, width), none, np.int16)
+        out[:, 1:] = x[:, :-1]
+        return out
+
+    kept = [np.full((n, width), none, np.int16) for _ in range(last + 1)]  # kept[0]: just changed
+    found = leaks(items, texts, min_words, per_change, 1)
+    for i in range(items.shape[1]):
+        match = texts == items[:, i : i + 1]
+        own = [np.full((n, width), none, np.int16) for _ in range(last + 1)]
+        for k in range(last + 1):
+            to = min(k + 1, last)
+            np.maximum(own[to], np.where(match, after(kept[k]) + np.int16(1), none), out=own[to])
+        np.maximum(own[last], np.where(match, np.int16(1), none), out=own[last])
+        for k in range(1, last + 1):
+            found |= (own[k] >= 2 * per_change).any(1)
+        free = kept[last]  # a change may follow: replaced, dropped from the text, or added to it
+        own[0] = np.maximum(np.maximum(after(free), free) + np.int16(1), after(own[last]))
+        kept = own
+    return found
+
+
+def surviving_seeds(min_words: int, per_change: int, seed_words: int, spaced: bool) -> int:
+    """Seeds that every run within the rule holds at least."""
+    if not spaced:
+        return min(n - c - (c + 1) * (seed_words - 1) for n in range(min_words, 4 * min_words) for c in [n // per_change])
+    least = min_words
+    for first in range(per_change):  # places of the changes, per_change apart
+        cuts = [-1, *range(first, min_words, per_change), min_words]
+        least = min(least, sum(max(0, b - a - 1 - (seed_words - 1)) for a, b in zip(cuts, cuts[1:])))
+    return least
+
+
+def _item_parts(items: DataFrame, item_key: str, parts: list[str], min_words: int) -> DataFrame:
+    """(iid, item_id, part, form): the item parts long enough to leak, numbered."""
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("part"), word_form(F.col(f"`{p}`")).alias("form")) for p in parts]))
+    listed = items.select(F.col(f"`{item_key}`").alias("item_id"), each.alias("_x")).select("item_id", "_x.part", F.trim("_x.form").alias("form"))
+    long = listed.where(F.size(F.split("form", " ")) >= min_words)
+    return materialize(long.select(F.monotonically_increasing_id().alias("iid"), "item_id", "part", "form"), "items")
+
+
+def _item_seeds(listed: DataFrame, seed_words: int) -> tuple[DataFrame, DataFrame]:
+    """(iid, h, at) of the items' seeds and (iid, item) with their words' hashes."""
+
+    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, raw, offsets in slices(batch.column(1)):
+                rows, hashed = word_hashes(raw, offsets)
+                r, g, i = ngram_hashes(rows, hashed, seed_words)
+                begins = np.searchsorted(rows, np.arange(len(offsets) - 1))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first + r)), pa.array(g.view(np.int64)), pa.array((i - begins[r]).astype(np.int32))], names=["iid", "h", "at"])
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, raw, offsets in slices(batch.column(1)):
+                rows, hashed = word_hashes(raw, offsets)
+                ends = np.concatenate([np.searchsorted(rows, np.arange(len(offsets) - 1)), [len(rows)]]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(offsets) - 1), pa.ListArray.from_arrays(pa.array(ends), pa.array(hashed.view(np.int64)))], names=["iid", "item"])
+
+    base = listed.select("iid", "form")
+    return base.mapInArrow(seeds, "iid long, h long, at int"), base.mapInArrow(words, "iid long, item array<long>")
+
+
+def _places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of a seed in the filter."""
+    shift = np.uint64(64 - bits)
+    return (h >> shift).astype(np.int64), (mix(h) >> shift).astype(np.int64)
+
+
+def seed_filter(seeds: DataFrame) -> np.ndarray:
+    """A filter that holds every seed: bits set by each task, put together by word."""
+    n = seeds.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, n * BITS_A_SEED)))))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros((1 << bits) // 8, np.uint8)
+        for batch in batches:
+            for at in _places(batch.column(0).to_numpy().view(np.uint64), bits):
+                np.bitwise_or.at(own, at >> 3, np.left_shift(np.uint8(1), (at & 7).astype(np.uint8)))
+        words = own.view(np.int64)
+        at = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(words[at])], names=["w", "m"])
+
+    rows = seeds.select("h").mapInArrow(mark, "w int, m long").groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()  # at most 2**MOST_BITS bits
+    out = np.zeros((1 << bits) // 64, np.int64)
+    out[rows.column("w").to_numpy()] = rows.column("m").to_numpy()
+    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool) if bits <= 20 else out.view(np.uint8)
+
+
+def _held(marks: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes the filter holds."""
+    if marks.dtype == bool:
+        a, b = _places(h, int(math.log2(len(marks))))
+        return marks[a] & marks[b]
+    a, b = _places(h, int(math.log2(len(marks))) + 3)
+    return ((marks[a >> 3] >> (a & 7).astype(np.uint8)) & (marks[b >> 3] >> (b & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+def passages(corpus: DataFrame, keys: list[str], text: str, marks: np.ndarray, seed_words: int, least: int, reach: int) -> DataFrame:
+    """(keys, rid, words, hits): the passages of the corpus where at least ``least``
+    n-grams of the filter follow each other within ``reach`` words, with as many words
+    before and after. ``words`` are word hashes, ``hits`` the n-grams and their places."""
+    base = keyed(corpus, keys, _t=text).where(F.length("_t") >= 2 * (least + seed_words) - 1).withColumn("_t", word_form(F.col("_t")))
+    schema = schema_of(corpus, keys, "rid long, words array<long>, hits array<struct<h: bigint, pos: int>>")
+    shared = corpus.sparkSession.sparkContext.broadcast(marks)
+    width = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        rid = (task.partitionId() if task else 0) << 40
+        for batch in batches:
+            for first, raw, offsets in slices(batch.column(width)):
+                rows, hashed = word_hashes(raw, offsets)
+                r, grams, start = ngram_hashes(rows, hashed, seed_words)
+                hit = np.flatnonzero(_held(shared.value, grams))
+                if not len(hit):
+                    continue
+                row, at = r[hit], start[hit]
+                fresh = np.ones(len(hit), bool)
+                fresh[1:] = (row[1:] != row[:-1]) | (at[1:] - at[:-1] > reach)
+                begin = np.flatnonzero(fresh)
+                size = np.diff(np.append(begin, len(hit)))
+                use = np.flatnonzero(size >= least)
+                if not len(use):
+                    continue
+                begin, size = begin[use], size[use]
+                owner = row[begin]
+                low = np.maximum(np.searchsorted(rows, owner, "left"), at[begin] - reach)
+                high = np.minimum(np.searchsorted(rows, owner, "right"), at[begin + size - 1] + seed_words + reach)
+                spans = [hashed[a:b] for a, b in zip(low, high)]
+                inside = np.repeat(begin, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                hits = pa.StructArray.from_arrays([pa.array(grams[hit[inside]].view(np.int64)), pa.array((at[inside] - np.repeat(low, size)).astype(np.int32))], names=["h", "pos"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(batch.column(i).take(pa.array(first + owner)) for i in range(width)), pa.array(rid + np.arange(len(use))),
+                        pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(high - low)).astype(np.int32)), pa.array(np.concatenate(spans).view(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), hits),
+                    ], names=schema.names,
+                )
+                rid += len(use)
+
+    return base.mapInArrow(run, schema)
+
+
+def used_seeds(seeds: DataFrame, hits: DataFrame, span: int, common: int) -> DataFrame:
+    """(iid, h, at, weight) of the seeds that join: those that occur, less each common
+    one without another common one within ``span`` places of its item. The seeds beside
+    one left out weigh double, for it and for themselves."""
+    often = hits.groupBy("h").agg(F.count("*").alias("_n"))
+    known = seeds.join(often, "h", "left").withColumn("_c", (F.coalesce("_n", F.lit(0)) > common).cast("int"))
+    near = Window.partitionBy("iid").orderBy("at").rangeBetween(-span, span)
+    alone = known.withColumn("_out", (F.col("_c") == 1) & (F.sum("_c").over(near) == 1))
+    weighed = alone.withColumn("weight", F.lit(1) + F.max(F.col("_out").cast("int")).over(near))
+    return weighed.where(~F.col("_out") & F.col("_n").isNotNull()).select("iid", "h", "at", "weight")
+
+
 def find_leaks(
-    corpus: DataFrame, keys: list[str], text: str, items: DataFrame, item_key: str, parts: list[str], min_words: int = 15, per_change: int = 8, seed_words: int = 5, block_items: int = BLOCK_ITEMS
+    corpus: DataFrame, keys: list[str], text: str, items: DataFrame, item_key: str, parts: list[str], min_words: int = 15, per_change: int = 8, seed_words: int = 5, spaced: bool = False, common: int = COMMON
 ) -> DataFrame:
-    """One row per corpus row and leaked item part: keys, ``item_id``, ``part``, ``score``.
+    """One row per corpus row, passage and leaked item part: keys, ``item_id``, ``part``, ``score``.
 
     ``parts`` are the text columns of ``items``. Null and empty texts and parts
     leak nothing; an item part shorter than ``min_words`` cannot leak. Repeated
     corpus rows or items are reported each. Extra columns are ignored.
 
-    A run within the rule holds at least two seeds: with c changes in L words the
-    L - c kept words lie in c + 1 pieces, which hold L - c - (c + 1)(seed_words - 1)
-    seeds or more; the least over the rule is checked here.
+    A change replaces, drops or adds a word. At most one in ``per_change``
+    words of a run is changed, with ``spaced`` also of any ``per_change`` words in a row. Every run within the rule holds ``surviving_seeds`` unchanged seeds or
+    more, so no leak is lost.
     """
-    least = min(n - c - (c + 1) * (seed_words - 1) for n in range(min_words, 4 * min_words) for c in [n // per_change])
+    least = surviving_seeds(min_words, per_change, seed_words, spaced)
     if least < 1:
         raise ValueError(f"seeds of {seed_words} words can miss runs of {min_words} words")
-    blocks = max(1, math.ceil(items.count() / block_items))
-    found = []
-    for i in range(blocks):
-        block = items if blocks == 1 else items.where(F.pmod(F.xxhash64(f"`{item_key}`"), F.lit(blocks)) == i)
-        rows = block.select(F.col(f"`{item_key}`").alias("k"), *[word_form(F.col(f"`{p}`")).alias(f"p{j}") for j, p in enumerate(parts)]).collect()  # at most about block_items rows
-        named = [((r["k"], p), r[f"p{j}"]) for r in sorted(rows, key=lambda r: str(r["k"])) for j, p in enumerate(parts) if r[f"p{j}"]]
-        found.append(_block(corpus, keys, text, Seeds([k for k, _ in named], [t for _, t in named], seed_words), items.schema[item_key].dataType, min_words, per_change, min(least, 2)))
-    return reduce(DataFrame.unionByName, found)
-
-
-def _block(corpus: DataFrame, keys: list[str], text: str, seeds: Seeds, item_type: object, min_words: int, per_change: int, least: int) -> DataFrame:
-    from pyspark.sql import types as T
-
-    base = keyed(corpus, keys, _t=text).where(f"length(_t) >= {2 * min_words - 1}")
-    base = base.withColumn("_t", word_form(F.col("_t")))
-    schema = schema_of(corpus, keys, "part string, score int")
-    schema = T.StructType([*schema.fields[: len(keys)], T.StructField("item_id", item_type), *schema.fields[len(keys) :]])
-    shared = corpus.sparkSession.sparkContext.broadcast(seeds)
-    width = len(keys)
-    drift = few_changes(min_words, per_change)
-    floor = min(n - 2 * (n // per_change) for n in range(min_words, 4 * min_words))
+    shortest = min_words + per_change if spaced else 4 * min_words  # words that hold a shortest run
+    listed = _item_parts(items, item_key, parts, min_words)
+    seeds, words = _item_seeds(listed, seed_words)
+    seeds = materialize(seeds, "seeds")
+    found = materialize(passages(corpus, keys, text, seed_filter(seeds), seed_words, least, shortest), "passages")
+    hits = found.select("rid", F.inline("hits"))
+    used = materialize(used_seeds(seeds, hits, min_words - seed_words, common), "used_seeds")
+    pairs = hits.join(used, "h").groupBy("rid", "iid").agg(F.sum("weight").alias("_w"), F.min(F.col("pos") - F.col("at")).alias("low"), F.max(F.col("pos") - F.col("at")).alias("high"))
+    pairs = pairs.where(F.col("_w") >= least).select("rid", "iid", "low", "high")
+    joined = pairs.join(found.drop("hits"), "rid").join(words, "iid").join(listed.select("iid", "item_id", "part"), "iid")
+    return unkeyed(_aligned(joined, len(keys), schema_of(corpus, keys, "part string, score int"), items.schema[item_key].dataType, min_words, per_change, spaced), keys)
+
+
+def _aligned(joined: DataFrame, width: int, schema: T.StructType, item_type: T.DataType, min_words: int, per_change: int, spaced: bool) -> DataFrame:
+    schema = T.StructType([*schema.fields[:width], T.StructField("item_id", item_type), *schema.fields[width:]])
+    drift = 4 if spaced else few_changes(min_words, per_change)
+    floor = min(n - 2 * (math.ceil(n / per_change) if spaced else n // per_change) for n in range(min_words, 4 * min_words))
+    rule = spaced_leaks if spaced else leaks
+    names = [f.name for f in schema.fields[:width]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s: Seeds = shared.value
-        arrow = [f.dataType for f in schema.fields]
-        item_arrow = pa.array([k for k, _ in s.keys]).type if s.keys else pa.int64()
-        assert len(arrow) == width + 3
         for batch in batches:
-            at, who, score = [], [], []
-            for first, raw, offsets in slices(batch.column(width)):
-                for r, i, sc in _search(s, raw, offsets, min_words, per_change, least, drift, floor):
-                    at.append(first + r)
-                    who.append(i)
-                    score.append(sc)
-            if at:
-                index = pa.array(at, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(i).take(index) for i in range(width)), pa.array([s.keys[i][0] for i in who], item_arrow), pa.array([s.keys[i][1] for i in who], pa.string()), pa.array(score, pa.int32())], names=schema.names
-                )
-
-    return unkeyed(base.mapInArrow(run, schema), keys)
-
-
-def _search(s: Seeds, raw: np.ndarray, offsets: np.ndarray, min_words: int, per_change: int, least: int, drift: int, floor: int) -> list[tuple[int, int, int]]:
-    """(row, item, score) of the leaks in a slice."""
-    rows, words = word_hashes(raw, offsets)
-    r, grams, start = ngram_hashes(rows, words, s.words)
-    g, item, place = s.hits(grams)
-    if not len(g):
-        return []
-    row, diagonal = r[g], start[g] - place
-    order = np.lexsort((diagonal, item, row))
-    row, item, diagonal = row[order], item[order], diagonal[order]
-    # a cluster: hits of one row and item whose diagonals follow within the drift
-    fresh = np.ones(len(row), bool)
-    fresh[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > drift)
-    begin = np.flatnonzero(fresh)
-    size = np.diff(np.append(begin, len(row)))
-    use = np.flatnonzero(size >= least)
-    if not len(use):
-        return []
-    ends = np.searchsorted(rows, row[begin[use]], "right")
-    heads = np.searchsorted(rows, row[begin[use]], "left")
-    tasks = []
-    for u, head, end in zip(use, heads, ends):
-        a, b = begin[u], begin[u] + size[u] - 1
-        i = int(item[a])
-        lo, hi = max(int(head), int(diagonal[a]) - drift), min(int(end), int(diagonal[b]) + len(s.items[i]) + drift)
-        if hi - lo >= min_words - drift and len(s.items[i]) >= min_words:
-            tasks.append((int(row[a]), i, lo, hi))
-    tasks.sort(key=lambda t: (len(s.items[t[1]]), t[3] - t[2]))
-    out = []
-    for k in range(0, len(tasks), 256):
-        part = tasks[k : k + 256]
-        m, n = max(len(s.items[t[1]]) for t in part), max(t[3] - t[2] for t in part)
-        x, y = np.zeros((len(part), m), np.uint64), np.ones((len(part), n), np.uint64)
-        for j, (_, i, lo, hi) in enumerate(part):
-            x[j, : len(s.items[i])] = s.items[i]
-            y[j, : hi - lo] = words[lo:hi]
-        got = scores(x, y)
-        good = np.flatnonzero(got >= floor)
-        if len(good):
-            good = good[leaks(x[good], y[good], min_words, per_change)]
-            out += [(part[j][0], part[j][1], int(got[j])) for j in good]
-    return out
+            texts, items = batch.column("words"), batch.column("item")
+            low, high = batch.column("low").to_numpy(), batch.column("high").to_numpy()
+            tasks = []
+            for j in range(batch.num_rows):
+                x, y = items[j].values.to_numpy().view(np.uint64), texts[j].values.to_numpy().view(np.uint64)
+                y = y[max(0, low[j] - drift) : high[j] + len(x) + drift]
+                if len(y) >= min_words - drift:
+                    tasks.append((j, x, y))
+            tasks.sort(key=lambda t: (len(t[1]), len(t[2])))
+            at, score, k = [], [], 0
+            while k < len(tasks):
+                # pairs of like size together, as many as fit into a table of bounded size
+                part = tasks[k : k + max(1, min(256, 2_000_000 // len(tasks[min(k + 255, len(tasks) - 1)][2])))]
+                k += len(part)
+                x, y = np.zeros((len(part), max(len(t[1]) for t in part)), np.uint64), np.ones((len(part), max(len(t[2]) for t in part)), np.uint64)
+                for i, (_, a, b) in enumerate(part):
+                    x[i, : len(a)], y[i, : len(b)] = a, b
+                got = scores(x, y)
+                good = np.flatnonzero(got >= floor)
+                if len(good):
+                    good = good[rule(x[good], y[good], min_words, per_change)]
+                    at += [part[i][0] for i in good]
+                    score += [int(got[i]) for i in good]
+            index = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(n).take(index) for n in names), batch.column("item_id").take(index), batch.column("part").take(index), pa.array(score, pa.int32())], names=schema.names)
+
+    return joined.select(*names, "low", "high", "words", "item", "item_id", "part").mapInArrow(run, schema)

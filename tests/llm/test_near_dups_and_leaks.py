@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from filingloom.llm.leakage import find_leaks, leaks, scores
+from filingloom.llm.leakage import find_leaks, leaks, scores, spaced_leaks, surviving_seeds
 from filingloom.llm.near_dups import count_vector, link_counts, linked_pairs, near_duplicates, overlap_bound
 from filingloom.operators.similarity import sets_of
 
@@ -95,7 +95,7 @@ def test_p6_classes_give_all_pairs_of_a_large_class(spark, tmp_path):
 def test_empty_table_and_thresholds(spark):
     df = spark.createDataFrame([], "k long, t string")
     pairs, members = near_duplicates(df, "k", "t")
-    assert pairs.count() == 0 and members.count() == 0 and expanded_pairs(pairs, members).count() == 0
+    assert pairs.count() == 0 and members.count() == 0 and linked_pairs(pairs, members).count() == 0 and link_counts(pairs, members).count() == 0
     with pytest.raises(ValueError):
         near_duplicates(df, "k", "t", threshold=0.2)
 
@@ -181,9 +181,69 @@ def test_leaks_in_a_table(spark, with_clashes):
     got = find_leaks(df, ["k"], "t", items, "item_id", ["question", "passage"]).collect()
     assert {(r["k"], r["item_id"], r["part"]) for r in got} == {(k, i, p) for k in (1, 2, 3, 5, 10, 11, 12) for i, p in ((7, "passage"), (8, "question"))}
     assert sum(r["k"] == 1 for r in got) == 4
-    blocks = find_leaks(df, ["k"], "t", items, "item_id", ["question", "passage"], block_items=1).select("k", "item_id").distinct()
-    assert {tuple(r) for r in blocks.collect()} == {(r["k"], r["item_id"]) for r in got}
+    for options in ({"spaced": True}, {"spaced": True, "common": 0}, {"common": 3}):
+        again = find_leaks(df, ["k"], "t", items, "item_id", ["question", "passage"], **options).select("k", "item_id").distinct()
+        assert {tuple(r) for r in again.collect()} == {(r["k"], r["item_id"]) for r in got}
     assert find_leaks(df.where("false"), ["k"], "t", items, "item_id", ["question"]).count() == 0
     assert find_leaks(df, ["k"], "t", items.where("false"), "item_id", ["question"]).count() == 0
     with pytest.raises(ValueError):
         find_leaks(df, ["k"], "t", items, "item_id", ["question"], seed_words=9)
+
+
+def spaced_runs(item, text, least=15, per=8):
+    """Replacements only: an aligned run of the item with at most one change in eight words,
+    and changes at least eight apart."""
+    for d in range(-len(item), len(text)):
+        same = [0 <= i + d < len(text) and item[i] == text[i + d] for i in range(len(item))]
+        for i in range(len(item)):
+            for j in range(i + least, len(item) + 1):
+                changes = [x for x in range(i, j) if not same[x]]
+                if 0 <= i + d and j + d <= len(text) and same[i] and same[j - 1] and len(changes) * per <= j - i and all(y - x >= per for x, y in zip(changes, changes[1:])):
+                    return True
+    return False
+
+
+def test_rule_of_spaced_leaks():
+    r = random.Random(1)
+    both = [0, 0]
+    for _ in range(200):
+        item = [r.randrange(2, 1000) for _ in range(r.randrange(15, 50))]
+        text = [r.randrange(1000, 2000) for _ in range(10)] + list(item) + [r.randrange(1000, 2000) for _ in range(5)]
+        for i in range(10, 10 + len(item)):
+            if r.random() < r.choice([0.05, 0.12, 0.2]):
+                text[i] = 3000
+        got = bool(spaced_leaks(np.array([item], np.uint64), np.array([text], np.uint64), 15, 8)[0])
+        assert got == spaced_runs(item, text) and (not got or leaks(np.array([item], np.uint64), np.array([text], np.uint64), 15, 8)[0])
+        both[got] += 1
+    assert min(both) > 30
+
+
+def test_added_and_dropped_words_are_changes():
+    item = list(range(2, 34))
+    rule = lambda t: bool(spaced_leaks(np.array([item], np.uint64), np.array([t], np.uint64), 15, 8)[0])
+    assert rule(item[:9] + [99] + item[9:18]) and rule(item[:9] + item[10:18]) and not rule(item[:7] + [99] + item[7:11] + [99] + item[11:17])
+
+
+def test_runs_within_the_rule_hold_enough_seeds():
+    """Every placement of changes in a run of 15 leaves as many seeds as is said."""
+    from itertools import combinations
+
+    for spaced in (True, False):
+        least = 99
+        for n in (15, 16):
+            for c in range(3):
+                for at in combinations(range(n), c):
+                    if (all(y - x >= 8 for x, y in zip(at, at[1:])) if spaced else 8 * c <= n):
+                        least = min(least, sum(all(i + k not in at for k in range(5)) for i in range(n - 4)))
+        assert surviving_seeds(15, 8, 5, spaced) <= least
+
+
+def test_common_seeds_lose_no_leak(spark):
+    """A phrase that stands in most texts, alone and within an item."""
+    phrase = "subject to the terms of the agreement"
+    item = "the harbor bond of Penjeix matured once a director " + phrase + " had pledged the rest of it to Sartom"
+    docs = [(i, f"text {i} is {phrase} and so on {i} {i + 1} {i + 2} more words to be long enough") for i in range(40)] + [(100, "x y " + item), (101, item.replace("bond", "loan") + " z"), (102, "a b " + " ".join(item.split()[5:20]) + " c d")]
+    items = spark.createDataFrame([(1, item)], "item_id long, q string")
+    for common in (5, 10**6):
+        got = find_leaks(spark.createDataFrame(docs, "k long, t string"), ["k"], "t", items, "item_id", ["q"], spaced=True, common=common)
+        assert {r["k"] for r in got.collect()} == {100, 101, 102}
