@@ -2,9 +2,13 @@
 
 HTML, Markdown, wiki and LaTeX become clean text that keeps headings (lines of
 their own), lists (bullets), tables (the project's ``[TABLE]`` blocks), code and
-formulas. Method for the HTML part: tag-path ratios. Text length and punctuation
-are summed per path of block tags from root to leaf, smoothed along the document,
-fused, and thresholded to choose the content nodes.
+formulas.
+
+Method: tag-path ratios. Every element of the four languages is a node under its path
+of tags from root to leaf; text length and punctuation are summed per path and fused to
+a ratio; the ratios are smoothed over the nodes in the order of the document and
+thresholded, which selects the content nodes. The languages of a text are those its
+paths name, and the clean text is made of the content nodes.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ import html
 import html.entities
 import math
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -61,94 +65,138 @@ _MATH = re.compile(r"\\\((?P<a>.+?)\\\)|\\\[(?P<b>.+?)\\\]|\$\$(?P<c>[^$]+?)\$\$
 _ENVIRONMENT = re.compile(r"\\(begin|end)\{(?P<n>[^{}\n]*)\}(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})?")
 
 
-def _has_ref(text: str) -> bool:
-    return any(m.group()[1] == "#" or m.group()[1:] in html.entities.html5 for m in _REF.finditer(text))
+#: Prices are no formulas: "$4 to $6" holds no sign of one that is not plain words.
+_FORMULA = re.compile(r"\\[A-Za-z]|[_^]\{|\w[_^]\w|[A-Za-z]\s*=")
 
 
-def _math(text: str) -> bool:
-    for m in _MATH.finditer(text):
-        d = m.group("d")
-        # prices: "$4 to $6" holds no sign of a formula that is not plain words
-        if d is None or re.search(r"\\[A-Za-z]|[_^]\{|\w[_^]\w|[A-Za-z]\s*=", d):
-            return True
-    return False
+#: The elements of each language beside HTML, by the tag that stands for them in a path.
+_ELEMENTS: dict[str, tuple[tuple[str, re.Pattern[str]], ...]] = {
+    "markdown": (("heading", _HEADING), ("strong", _STRONG), ("emphasis", _EMPHASIS), ("code", _CODE), ("link", _LINK), ("table", _RULE_ROW), ("strike", _STRIKE), ("list", _DASHES), ("quote", _QUOTES)),
+    "wiki": (("link", _WIKI_LINK), ("bold", _WIKI_BOLD), ("heading", _WIKI_HEADING), ("template", _TEMPLATE), ("table", _WIKI_TABLE_MARK)),
+    "latex": (("command", _COMMAND),),
+}
+#: A sign without which a pattern cannot match, for the cheap patterns only.
+_NEEDS = {_COMMAND: "\\", _TEMPLATE: "{{", _WIKI_LINK: "[[", _LINK: "](", _CODE: "`", _STRIKE: "~~"}
+
+Paths = dict[str, list[float]]
+
+
+def tag_paths(text: str) -> Paths:
+    """Text length, punctuation and number of nodes of each path of the text.
+
+    HTML paths are those of open tags; an element of another language is a leaf under
+    the root, as is a character reference. Code blocks hold no elements.
+    """
+    paths: Paths = {}
+
+    def add(path: str, held: str) -> None:
+        row = paths.setdefault(path, [0, 0, 0])
+        row[0] += len(held)
+        row[1] += sum(map(held.count, ".,;:!?"))
+        row[2] += 1
+
+    if "<" in text:
+        for path, held, _ in html_nodes(text)[1]:
+            add(path, held)
+    if "&" in text:
+        for m in _REF.finditer(text):
+            if m.group()[1] == "#" or m.group()[1:] in html.entities.html5:
+                add("html:&", m.group())
+    rest = text
+    if "```" in text or "~~~" in text:
+        for m in _FENCE.finditer(text):
+            add("markdown:fence", m.group("body"))
+        rest = _FENCE.sub("", text)
+    for language, elements in _ELEMENTS.items():
+        for tag, pattern in elements:
+            if _NEEDS.get(pattern, "") in rest:
+                for m in pattern.finditer(rest):
+                    add(f"{language}:{tag}", m.group())
+    if "$" in rest or "\\" in rest:
+        for m in _MATH.finditer(rest):
+            d = m.group("d")
+            if d is None or _FORMULA.search(d):
+                add("latex:formula", m.group())
+    return paths
+
+
+def languages_of(paths: Paths) -> list[str]:
+    """The languages that the paths name."""
+    named = {part.split(":", 1)[0] for path in paths for part in path.split("/") if part}
+    return [x for x in LANGUAGES if x in named]
 
 
 def detect(text: str) -> list[str]:
     """Markup languages of which the text holds an element or character reference."""
-    found = []
-    if _TAG.search(text) or _has_ref(text):
-        found.append("html")
-    rest = _FENCE.sub("", text)
-    if rest != text or any(p.search(rest) for p in (_HEADING, _STRONG, _EMPHASIS, _CODE, _LINK, _RULE_ROW, _STRIKE, _DASHES, _QUOTES)):
-        found.append("markdown")
-    if any(p.search(rest) for p in (_WIKI_LINK, _WIKI_BOLD, _WIKI_HEADING, _TEMPLATE, _WIKI_TABLE_MARK)):
-        found.append("wiki")
-    if "\\" in rest and _COMMAND.search(rest) or ("$" in rest or "\\" in rest) and _math(rest):
-        found.append("latex")
-    return found
+    return languages_of(tag_paths(text))
 
 
 # ------------------------------------------------------------------------- HTML
-def _ratios(nodes: list[tuple[str, str, bool]]) -> set[str]:
-    """Paths whose nodes are no content, by tag-path ratios.
-
-    A node is (path, text, inside a link). Per path the mean text length and the
-    mean punctuation count are taken, smoothed over the order of the paths with a
-    Gaussian, and multiplied; paths far under the mean that hold little but links
-    are chrome. Headings, list items, cells and code are content whatever their
-    ratio, and so is text outside of any tag.
+#: Content whatever the ratio of their paths: headings, list items, cells and code.
+STRUCTURE = frozenset("h1 h2 h3 h4 h5 h6 li dt dd td th caption pre title".split())
+#: The smoothing reaches over that many nodes on either side.
+REACH = 2
+_KERNEL = [math.exp(-(d * d) / 2) for d in range(-REACH, REACH + 1)]
+
+
+def content_nodes(nodes: list[tuple[str, str, bool]]) -> list[bool]:
+    """Which nodes (path, text, within a link) are content, by tag-path ratios.
+
+    The ratio of a path is its mean length of text outside of links times its mean
+    punctuation. Every node
+    takes its path's ratio; the ratios are smoothed with a Gaussian over the nodes in
+    order, so a short node between long ones is content as they are, and a run of short
+    ones without punctuation is none. The threshold is a share of the ratios' spread: a
+    text of like nodes has none to drop. Structure with text of its own is content
+    whatever its ratio.
     """
-    stats: dict[str, list[float]] = {}
-    for path, text, link in nodes:
-        s = stats.setdefault(path, [0, 0, 0, 0])
-        n = len(text.strip())
-        if n:
-            s[0] += n
-            s[1] += sum(c in ".,;:!?" for c in text)
-            s[2] += 1
-            s[3] += n * link
-    order = [p for p, s in stats.items() if s[2]]
-    if not order:
-        return set()
-    kernel = [math.exp(-(d * d) / 2) for d in (-1, 0, 1)]
-
-    def smooth(xs: list[float]) -> list[float]:
-        out = []
-        for i in range(len(xs)):
-            near = [(xs[i + d], k) for d, k in zip((-1, 0, 1), kernel) if 0 <= i + d < len(xs)]
-            out.append(sum(x * k for x, k in near) / sum(k for _, k in near))
-        return out
-
-    lengths = smooth([stats[p][0] / stats[p][2] for p in order])
-    points = smooth([(stats[p][1] + 0.5) / stats[p][2] for p in order])
-    fused = [a * b for a, b in zip(lengths, points)]
-    mean = sum(fused) / len(fused)
-    spread = math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused))
-    bar = max(mean - spread, 0.2 * mean)
-    return {p for p, x in zip(order, fused) if p and (x < bar or "nav" in p.split("/")) and stats[p][3] > 0.7 * stats[p][0] and p.split("/")[-1] not in ("h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "pre")}
-
-
-def _html(text: str) -> str:
-    tokens: list[tuple[str, str, str]] = []  # (kind, value, path)
+    stats: Paths = {}
+    inked = [i for i, (_, t, _) in enumerate(nodes) if t.strip()]
+    for i in inked:
+        path, text, linked = nodes[i]
+        row = stats.setdefault(path, [0, 0, 0])
+        row[0] += 0 if linked else len(text.strip())
+        row[1] += sum(map(text.count, ".,;:!?"))
+        row[2] += 1
+    ratio = {p: (n / k) * ((q + 0.5) / k) for p, (n, q, k) in stats.items()}
+    own = [math.log1p(ratio[nodes[i][0]]) for i in inked]
+    smooth = []
+    for j in range(len(own)):
+        near = [(own[j + d], _KERNEL[d + REACH]) for d in range(-REACH, REACH + 1) if 0 <= j + d < len(own)]
+        smooth.append(sum(x * w for x, w in near) / sum(w for _, w in near))
+    out = [True] * len(nodes)
+    if smooth:
+        mean = sum(smooth) / len(smooth)
+        bar = min(mean, 2 * math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth))) if max(smooth) > 2 * min(smooth) else 0.0
+        for j, i in enumerate(inked):
+            path = nodes[i][0]
+            leaf = path.rsplit(":", 1)[-1]
+            out[i] = smooth[j] >= bar or path == "" or leaf in STRUCTURE and stats[path][0] > 0
+    return out
+
+
+def html_nodes(text: str) -> tuple[list[tuple[str, str, int]], list[tuple[str, str, bool]]]:
+    """(tokens: kind, value, node number; nodes: path of block tags, text, within a link)
+    of a text's HTML. A tag, comment or declaration is a node of its own path; text in an inline
+    element belongs to the block around it. Text outside of any tag has the path ''."""
+    tokens: list[tuple[str, str, int]] = []
     nodes: list[tuple[str, str, bool]] = []
     stack: list[str] = []
-    link = 0
     last = 0
 
-    def path() -> str:
-        return "/".join(t for t in stack if t in _BLOCK)
+    def path(tag: str = "") -> str:
+        return "/".join(f"html:{t}" for t in (*(x for x in stack if x in _BLOCK), tag) if t)
 
     def text_node(s: str) -> None:
         if s and not any(t in HIDDEN_TAGS for t in stack):
-            p = path()
-            tokens.append(("text", s if "pre" in stack else s.replace("\r", ""), p))
-            nodes.append((p, s, link > 0))
+            tokens.append(("text", s if "pre" in stack else s.replace("\r", ""), len(nodes)))
+            nodes.append((path(), s, "a" in stack))
 
     for m in _TAG.finditer(text):
         text_node(text[last : m.start()])
         last = m.end()
         name = (m.group("name") or "").lower()
+        nodes.append((path(name or "!"), "", False))
         if not name:
             continue
         closing = bool(m.group("close"))
@@ -156,20 +204,19 @@ def _html(text: str) -> str:
             if name not in VOID_TAGS and not (m.group("rest") or "").endswith("/"):
                 if name in ("p", "li", "tr", "td", "th", "option") and stack and stack[-1] == name:
                     stack.pop()
-                if name == "a":
-                    link += 1
                 stack.append(name)
         elif name in stack:
-            while stack:
-                top = stack.pop()
-                if top == "a":
-                    link = max(0, link - 1)
-                if top == name:
-                    break
-        tokens.append(("close" if closing else "open", name, path()))
+            while stack.pop() != name:
+                pass
+        tokens.append(("close" if closing else "open", name, -1))
     text_node(text[last:])
+    return tokens, nodes
+
 
-    chrome = _ratios(nodes)
+def _html(text: str, whole: bool = False) -> str:
+    """The content nodes of a text's HTML as plain text; with ``whole`` all its nodes."""
+    tokens, nodes = html_nodes(text)
+    content = [True] * len(nodes) if whole else content_nodes(nodes)
     out: list[str] = []
     row: list[str] | None = None
     cell: list[str] | None = None
@@ -184,7 +231,7 @@ def _html(text: str) -> str:
 
     for kind, value, where in tokens:
         if kind == "text":
-            if where not in chrome:
+            if content[where]:
                 put(html.unescape(value) if cell is None else html.unescape(value).replace("\n", " "))
             continue
         opening = kind == "open"
@@ -242,7 +289,7 @@ def _formula(s: str) -> str:
 def _latex(text: str) -> str:
     def math_of(m: re.Match[str]) -> str:
         d = m.group("d")
-        if d is not None and not re.search(r"\\[A-Za-z]|[_^]\{|\w[_^]\w|[A-Za-z]\s*=", d):
+        if d is not None and not _FORMULA.search(d):
             return m.group()
         return _formula(next(g for g in m.groups() if g is not None))
 
@@ -332,8 +379,18 @@ def _markdown(text: str) -> str:
     return text
 
 
-def clean(text: str) -> tuple[str, list[str]]:
-    """(clean text, languages found). A text without markup comes back as it is."""
+def page(path: str | None) -> bool:
+    """May a file be a page with parts that are no content? Unknown endings may."""
+    ending = (path or "").rpartition(".")[2].lower()
+    return ending not in ("md", "markdown", "tex", "txt", "wiki")
+
+
+def clean(text: str, path: str | None = None) -> tuple[str, list[str]]:
+    """(clean text, languages found). A text without markup comes back as it is.
+
+    ``path``, the file the text was taken from, is a hint: what HTML there is in a file
+    of another kind is content as a whole.
+    """
     found = detect(text)
     if not found:
         return text, found
@@ -349,7 +406,7 @@ def clean(text: str) -> tuple[str, list[str]]:
         made = _CODE.sub(lambda m: keep(m.group("t")), made)
     if "html" in found:
         made = re.sub(r"(<(?:pre|code)\b[^<>]*>)(.*?)(</(?:pre|code)>)", lambda m: m.group(1) + keep(html.unescape(_TAG.sub("", m.group(2)))) + m.group(3), made, flags=re.S | re.I)
-        made = _html(made)
+        made = _html(made, not page(path))
     for name, step in (("latex", _latex), ("wiki", _wiki), ("markdown", _markdown)):
         if name in found:
             made = step(made)
@@ -367,21 +424,23 @@ def hinted(c: Column) -> Column:
     return F.coalesce(c.rlike(_HINT), F.lit(False))
 
 
-def strip_markup(df: DataFrame, keys: list[str], text: str, only_marked: bool = False, with_text: bool = True) -> DataFrame:
+def strip_markup(df: DataFrame, keys: list[str], text: str, only_marked: bool = False, with_text: bool = True, path: str | None = None) -> DataFrame:
     """One row per row of ``df``: keys, ``languages`` (array, empty without markup)
     and, with ``with_text``, ``clean_text``.
 
     Null stays null with no language; an empty text stays empty. With
-    ``only_marked`` rows without markup are left out. Extra columns are ignored.
+    ``only_marked`` rows without markup are left out. ``path`` is the column of the
+    file's path, a hint (see ``clean``). Extra columns are ignored.
     """
-    base = keyed(df, keys, _t=text)
+    base = keyed(df, keys, _t=text, **({"_path": path} if path else {}))
     schema = schema_of(df, keys, "languages array<string>" + ", clean_text string" * with_text)
     width = len(keys)
-    work: Callable[[str], tuple[str, list[str]]] = clean
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [work(t) for t in batch.column(width).to_pylist()]
+            texts = batch.column(width).to_pylist()
+            files = batch.column(width + 1).to_pylist() if path else [None] * len(texts)
+            made = [clean(t, f) if with_text else (None, detect(t)) for t, f in zip(texts, files)]
             keep = pa.array([i for i, m in enumerate(made) if m[1] or not only_marked], pa.int64())
             made = [m for m in made if m[1] or not only_marked]
             cols = [pa.array([m[1] for m in made], pa.list_(pa.string()))] + [pa.array([m[0] for m in made], pa.string())] * with_text

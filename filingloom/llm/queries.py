@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from filingloom.llm.confusables import lookalike_groups, one_form
 from filingloom.llm.leakage import find_leaks
-from filingloom.llm.markup import strip_markup
+from filingloom.llm.markup import hinted, strip_markup
 from filingloom.llm.mojibake import repair_encoding
 from filingloom.llm.near_dups import link_counts, linked_pairs, near_duplicates
 from filingloom.llm.packing import pack
@@ -89,7 +89,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = strip_markup(_table(spark, sf_dir, "records"), ["record_id"], "text", only_marked=True)
+    """Each filing's local_path hints at the kind of its file; only texts that can hold
+    markup meet it."""
+    records = _table(spark, sf_dir, "records").select("record_id", "accession", "text").where(hinted(F.col("text")))
+    paths = _table(spark, sf_dir, "manifest").where("accession is not null").groupBy("accession").agg(F.max("local_path").alias("local_path"))
+    clean = strip_markup(records.join(paths, "accession", "left"), ["record_id"], "text", only_marked=True, path="local_path")
     return clean.select("record_id", F.length("clean_text").alias("clean_chars"), F.sha2("clean_text", 256).alias("clean_hash")).distinct()
 
 

@@ -136,3 +136,28 @@ def test_the_hint_passes_all_that_is_detected(spark):
     assert prices.where(hinted(prices["t"])).count() == 0
     got = {r["k"]: (r["languages"], r["clean_text"]) for r in strip_markup(spark.createDataFrame([(1, texts[0]), (2, texts[1])], "k int, t string"), ["k"], "t").collect()}
     assert got == {1: (["latex"], "with 3x = 12 and"), 2: (["latex"], "follows 2x^2 = 8 in")}
+
+
+def test_ratios_select_content_nodes():
+    """A menu, a footer of short parts and a lone short line: the runs of short nodes
+    without punctuation go, the line between paragraphs stays, and structure stays."""
+    from filingloom.llm.markup import clean
+
+    long = "The costs of the plant rose in 2016, mainly for wages; the board, which met in May, expects no change. " * 2
+    menu = "".join(f"<div><a href='/{w}'>{w}</a></div>" for w in ("Home", "Filings", "Contact", "Search", "Login", "Help"))
+    page = f"<body><nav>{menu}</nav><h1>Costs</h1><p>{long}</p><p>{long}</p><section>Segments</section><p>{long}</p><ul><li>one</li><li>two</li></ul><table><tr><td>a</td><td>1</td></tr></table><p>{long}</p></body>"
+    made, found = clean(page, "x/10-K.htm")
+    assert found == ["html"] and "Contact" not in made and "Login" not in made
+    assert all(x in made for x in ("Costs", "Segments", "• one", "a\t1")) and made.count("mainly for wages") == 8
+    assert "Contact" in clean(page, "x/notes.md")[0]  # not a page: all of it is content
+    plain = f"Intro line\n<p>{long}</p>\nSegments\n<div>{long}</div>"
+    assert "Segments" in clean(plain)[0] and "Intro line" in clean(plain)[0]
+
+
+def test_languages_come_from_the_paths():
+    from filingloom.llm.markup import languages_of, tag_paths
+
+    paths = tag_paths("<table><tr><td>x, y</td></tr></table> **bold** &amp; [[a|b]] \\emph{c}")
+    assert {"html:table/html:tr/html:td", "html:&", "markdown:strong", "wiki:link", "latex:command"} <= set(paths)
+    assert paths["html:table/html:tr/html:td"][:2] == [4, 1] and languages_of(paths) == ["html", "markdown", "wiki", "latex"]
+    assert languages_of(tag_paths("a < b, $4 to $6 and x_y")) == []
