@@ -147,6 +147,11 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.groupBy("container").agg(F.count("*").alias("parts"), F.sum("n_tokens").alias("tokens"))
 
 
+def p7_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts and tokens of the containers, none lost and none twice."""
+    return p7_containers(spark, sf_dir).agg(F.sum("tokens").alias("tokens"), F.sum("parts").alias("parts"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most one word in eight: of any eight words of the run in a row."""
     found = find_leaks(_table(spark, sf_dir, "documents"), ["doc_id"], "text", _table(spark, sf_dir, "eval_items"), "item_id", ["question", "passage"], spaced=True)
@@ -163,7 +168,7 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (p1_found, p1_shares, p2_found, p2_titles, p2_forms, p3_found, p3_clean, p4_found, p4_clean, p5_found, p5_pieces, p6_found, p6_classes, p6_links, p7_found, p7_containers, p8_found, p9_found, p9_restored)
+    own = (p1_found, p1_shares, p2_found, p2_titles, p2_forms, p3_found, p3_clean, p4_found, p4_clean, p5_found, p5_pieces, p6_found, p6_classes, p6_links, p7_found, p7_containers, p7_totals, p8_found, p9_found, p9_restored)
     return {f.__name__: f for f in own}
 
 
@@ -181,7 +186,23 @@ _PAIRS = rf"""
         c as (select a.record_id as record_a, b.record_id as record_b, count(*) as c from h a join h b on a.g = b.g and a.record_id < b.record_id group by all),
         p as (select record_a, record_b from c join n x on x.record_id = record_a join n y on y.record_id = record_b where c >= 0.7 * (x.n + y.n - c))"""
 
+#: Numbered lines of the records with their normal form (n) and the flagged ones (f).
+_REPEATED = rf"""
+        with r as (select distinct record_id, coalesce(ticker, '') as ticker, text from records where record_id is not null and text is not null),
+        l as (select record_id, ticker, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from r),
+        t as (select record_id, ticker, line_no, line as raw, regexp_replace(line, '^{_SPACE}+|{_SPACE}+$', '', 'g') as line from l),
+        n as (select record_id, ticker, line_no, raw, line, regexp_replace(regexp_replace(lower(line), '{_SPACE}+', ' ', 'g'), '[0-9]+', '#', 'g') as norm from t),
+        f as (select ticker, norm from n where length(line) >= 25 group by all having count(distinct record_id) >= 8)"""
+
 ORACLE = {
+    "p3_clean": f"""{_REPEATED},
+        m as (select n.*, length(line) >= 25 and f.norm is not null as gone from n left join f using (ticker, norm)),
+        c as (select record_id, string_agg(raw, chr(10) order by line_no) filter (not gone) as clean, (count(*) filter (gone))::int as removed_lines from m group by record_id)
+        select record_id, sha256(coalesce(clean, '')) as clean_hash, removed_lines from c
+        union all select distinct record_id, null, 0 from records where text is null""",
+    "p7_totals": f"""
+        with d as (select len(regexp_extract_all(text, '{_TOKEN}')) as n from documents where text is not null)
+        select sum(n)::bigint as tokens, sum(ceil(n / 2048.0))::bigint as parts from d""",
     "p3_found": rf"""
         with r as (select distinct record_id, coalesce(ticker, '') as ticker, text from records where record_id is not null and text is not null),
         l as (select record_id, ticker, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from r),

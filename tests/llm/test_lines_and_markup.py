@@ -161,3 +161,24 @@ def test_languages_come_from_the_paths():
     assert {"html:table/html:tr/html:td", "html:&", "markdown:strong", "wiki:link", "latex:command"} <= set(paths)
     assert paths["html:table/html:tr/html:td"][:2] == [4, 1] and languages_of(paths) == ["html", "markdown", "wiki", "latex"]
     assert languages_of(tag_paths("a < b, $4 to $6 and x_y")) == []
+
+
+def test_discoveries_are_those_of_benjamini_and_hochberg(spark):
+    import random
+
+    from filingloom.llm.site_lines import _discoveries
+
+    r = random.Random(2)
+    for n, power in ((300, 6), (400, 2), (50, 1)):
+        ps = [min(1.0, r.random() ** r.choice([1, power]) * r.choice([1, 0.02])) for _ in range(n)] + [0.003] * 7
+        ranked = sorted(ps)
+        cut = max((p for i, p in enumerate(ranked, 1) if p * len(ps) <= 0.05 * i), default=-1.0)
+        got = _discoveries(spark.createDataFrame([(p,) for p in ps], "p double"), 0.05)
+        assert sorted(x["p"] for x in got.collect()) == [p for p in ranked if p <= cut]
+
+
+def test_two_texts_under_one_key_lose_only_flagged_lines(spark):
+    notice = "This notice stands in many of the documents"
+    rows = [(k, "s", f"own {k}\n{notice}") for k in range(9)] + [(20, "s", f"{notice}\nb is the second line of it"), (20, "s", f"a is the first line here\n{notice}")]
+    got = {r["k"]: r["clean_text"] for r in remove_repeated_lines(spark.createDataFrame(rows, "k long, s string, t string"), "k", "s", "t", false_discovery=None).collect()}
+    assert got[20] == "b is the second line of it" and got[3] == "own 3" and len(got) == 10
