@@ -78,4 +78,4 @@ def link_counts(pairs: DataFrame, members: DataFrame) -> DataFrame:
     size = members.groupBy("rep").agg(F.count("*").alias("_n"))
     near = ends.join(size.withColumnRenamed("rep", "b"), "b", "left").groupBy(F.col("a").alias("rep")).agg(F.sum(F.coalesce("_n", F.lit(1))).alias("_near"))
     reps = near.join(size, "rep", "full").select("rep", (F.coalesce("_near", F.lit(0)) + F.coalesce("_n", F.lit(1)) - 1).alias("links"))
-    return reps.join(members, "rep", "left").select(F.coalesce("member", "rep").alias("record"), "rep", "links")
+    return reps.where("links > 0").join(members, "rep", "left").select(F.coalesce("member", "rep").alias("record"), "rep", "links")

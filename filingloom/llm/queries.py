@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,13 +13,17 @@ from filingloom.llm.leakage import find_leaks
 from filingloom.llm.markup import hinted, strip_markup
 from filingloom.llm.mojibake import repair_encoding
 from filingloom.llm.near_dups import link_counts, linked_pairs, near_duplicates
-from filingloom.llm.packing import pack
+from filingloom.llm.packing import bpe_sizer, pack
 from filingloom.llm.pairs_crf import Languages, broken_pairs, fit_languages
 from filingloom.llm.site_lines import flagged_lines, remove_repeated_lines
 from filingloom.llm.splitting import split_oversized
 from filingloom.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: Where the vocabulary files of public tokenizers lie.
+TOKENIZERS = os.environ.get("FILINGLOOM_TOKENIZERS", "/opt/tokenizers")
+#: How the byte-level BPE splits a text before it merges (fixed value).
+BPE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -152,6 +157,13 @@ def p7_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_containers(spark, sf_dir).agg(F.sum("tokens").alias("tokens"), F.sum("parts").alias("parts"))
 
 
+def p7_bpe(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """The containers measured in tokens of a public byte-level BPE."""
+    sizer = bpe_sizer(f"{tokenizers}/byte_bpe_50k.tiktoken", BPE_PATTERN)
+    packed = pack(_table(spark, sf_dir, "documents"), "doc_id", text="text", sizer=sizer).where("container is not null")
+    return packed.groupBy("container").agg(F.count("*").alias("parts"), F.sum("n_tokens").alias("tokens"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most one word in eight: of any eight words of the run in a row."""
     found = find_leaks(_table(spark, sf_dir, "documents"), ["doc_id"], "text", _table(spark, sf_dir, "eval_items"), "item_id", ["question", "passage"], spaced=True)
@@ -169,6 +181,8 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     own = (p1_found, p1_shares, p2_found, p2_titles, p2_forms, p3_found, p3_clean, p4_found, p4_clean, p5_found, p5_pieces, p6_found, p6_classes, p6_links, p7_found, p7_containers, p7_totals, p8_found, p9_found, p9_restored)
+    if os.path.exists(f"{TOKENIZERS}/byte_bpe_50k.tiktoken"):
+        own += (p7_bpe,)
     return {f.__name__: f for f in own}
 
 

@@ -21,7 +21,8 @@ from filingloom.functions.text import token_count
 from filingloom.llm.common import TOKEN, keyed, schema_of, unkeyed
 
 SENTENCE = re.compile(r"(?<![A-Z])[.!?…][\"'”’)\]]*[ \t\xa0]+(?=[^\W_a-z]|[\"'“‘(\[•$€£§¿¡])")
-BINS = 128
+#: Bins of the word counts of a block: few words of a section share one.
+BINS = 512
 _bin_of: dict[str, int] = {}
 
 
@@ -63,7 +64,7 @@ def depths(words: list[str], at: np.ndarray, block: int) -> np.ndarray:
     unit = np.searchsorted(at, np.arange(len(words)), "right")
     use = bins >= 0
     counts = np.bincount(unit[use] * BINS + bins[use], minlength=(len(at) + 1) * BINS).reshape(-1, BINS)
-    sums = np.zeros((len(at) + 2, BINS))
+    sums = np.zeros((len(at) + 2, BINS), np.float32)
     np.cumsum(counts, axis=0, out=sums[1:])
     cut = np.arange(1, len(at) + 1)
     left = sums[cut] - sums[np.maximum(cut - block, 0)]

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -26,10 +28,9 @@ def test_equal_skeletons_give_equal_forms(picks):
         of.setdefault(table[c], []).append(c)
     plain = "".join(c for c, _ in picks)
     stored = "".join(of[c][i % len(of[c])] if c in of and i % 3 else c for c, i in picks)
-    if len(stored) == 1 and stored.islower():
-        return  # a single Greek symbol is ordinary
-    if any(len(w) == 1 and w != v for w, v in zip(stored.split(), plain.split())):
-        return
+    words = zip(re.split("[ .-]", stored), re.split("[ .-]", plain))
+    if any(w != v and sum(map(str.isalpha, w)) == 1 for w, v in words):
+        return  # a single Greek letter is a symbol, and ordinary
     assert skeleton(stored) == skeleton(plain) and consistent(stored)[0] == consistent(plain)[0] == plain
 
 
@@ -109,7 +110,7 @@ def test_round_trip_through_a_wrong_page(sentence, page):
 
     back = {v: k for k, v in _hybrid[page].items()}
     garbled = "".join(chr(b) if b < 128 else back.get(b, chr(b)) for b in sentence.encode())
-    text, steps, bad = repair(garbled)
+    text, steps, bad, _ = repair(garbled)
     assert bad and text == sentence and steps
 
 
@@ -124,17 +125,17 @@ def test_double_damage_and_bytes_read_as_latin():
 
 @pytest.mark.parametrize("sound", ["SÃO LÉVANO", "À l’Âtre", "Château-Âgé", "in Ångvik", "Þórvik ehf.", "ÎLE-DU-NORD", "Gemäß § 6", "“Élorix” – à voir", "R&D &amp; Co &eacute;", "日本語", "Завод Ковральт", "", "plain"])
 def test_genuine_text_is_no_damage(sound):
-    assert repair(sound) == (sound, (), False)
+    assert repair(sound) == (sound, (), False, False)
 
 
 def test_lost_characters_are_found_and_stay():
-    assert repair("Gr��ere") == ("Gr��ere", (), True)
+    assert repair("Gr��ere") == ("Gr��ere", (), True, False)
 
 
 @given(st.text(max_size=12))
 @settings(max_examples=200, deadline=None)
 def test_search_never_fails(t):
-    text, path = search(t)
+    text, path, _ = search(t)
     assert isinstance(text, str) and len(path) <= 6
     repair_span(t or "x")
     assert encode("é", "cp1252") == b"\xe9"
@@ -148,3 +149,29 @@ def test_encoding_table_cases(spark, with_clashes):
     assert sorted(got, key=str) == sorted(want, key=str)
     assert repair_encoding(df, ["k"], "t", only_garbled=True, with_text=False).count() == 4
     assert repair_encoding(df.where("false"), ["k"], "t").count() == 0
+
+
+@pytest.mark.parametrize(
+    ("read", "written", "sentence"),
+    [
+        ("latin-1", "cp1251", "Привет мир, компания выросла на рынке"), ("cp1251", "koi8_r", "Выручка группы выросла"), ("latin-1", "gbk", "中文公司的收入增加了"),
+        ("latin-1", "shift_jis", "日本語の会社は売上を伸ばした"), ("cp1252", "shift_jis", "日本語の会社"),
+    ],
+)
+def test_other_alphabets_come_back(read, written, sentence):
+    garbled = "".join(bytes([b]).decode(read, "ignore") or chr(b) for b in sentence.encode(written))
+    assert repair(garbled)[:3] == (sentence, (f"{read}>{written}",), True)
+
+
+def test_restored_texts_of_damaged_prose():
+    """The share of texts that come back exactly, over every page, plain and twice damaged."""
+    good = n = 0
+    for page in PAGES:
+        for sentence in SENTENCES:
+            for times in (1, 2):
+                t = sentence
+                for _ in range(times):
+                    t = "".join(bytes([b]).decode(page, "ignore") or chr(b) for b in t.encode())
+                n += 1
+                good += repair(t)[0] == sentence
+    assert good / n > 0.9, good / n

@@ -145,3 +145,32 @@ def test_pack_table_cases(spark, with_clashes):
     texts = spark.createDataFrame([(1, "a b c"), (2, None), (3, ""), (4, " "), (5, "w " * 5000)], "k long, t string")
     parts = sorted((x["k"], x["part"], x["n_parts"], x["n_tokens"], x["container"] is None) for x in pack(texts, "k", text="t").collect())
     assert parts == [(1, 0, 1, 3, False), (2, 0, 1, 0, True), (3, 0, 1, 0, True), (4, 0, 1, 0, True), (5, 0, 3, 2048, False), (5, 1, 3, 2048, False), (5, 2, 3, 904, False)]
+
+
+def test_containers_are_nearly_full(spark):
+    """Skewed sizes like those of documents: shards of 500 items fill over 98 % and one of
+    20,000 over 99.5 % of all but what the last containers hold."""
+    from filingloom.llm.packing import pack
+
+    r = random.Random(5)
+    sizes = [min(6000, int(r.lognormvariate(5.3, 0.9)) + 1) for _ in range(20_000)]
+    df = spark.createDataFrame(list(enumerate(sizes)), "k long, s int")
+    for shard_items, floor in ((500, 0.98), (50_000, 0.995)):
+        packed = pack(df, "k", size="s", shard_items=shard_items)
+        fill = [x["t"] for x in packed.groupBy("container").agg({"n_tokens": "sum"}).toDF("container", "t").collect()]
+        assert sum(fill) == sum(sizes) and max(fill) <= 2048 and sum(fill) / (2048 * len(fill)) > floor
+
+
+def test_sizes_of_a_public_tokenizer(spark):
+    import os
+
+    from filingloom.llm import queries
+    from filingloom.llm.packing import bpe_sizer
+
+    path = f"{queries.TOKENIZERS}/byte_bpe_50k.tiktoken"
+    if not os.path.exists(path):
+        pytest.skip("no vocabulary files")
+    sizer = bpe_sizer(path, queries.BPE_PATTERN)
+    df = spark.createDataFrame([(1, "hello world"), (2, ""), (3, None), (4, "unbelievable  things' end"), (5, "été " * 3000)], "k int, t string")
+    got = {x["k"]: x["n"] for x in df.select("k", sizer(df["t"]).alias("n")).collect()}
+    assert got[1] == 2 and got[2] == 0 and got[3] is None and got[4] > 3 and got[5] >= 3000
