@@ -154,9 +154,9 @@ def prototype(ch: str, table: Table) -> str:
         return ch
     if INVISIBLE.match(ch):
         return ""
-    got = DASHES.get(ch) or SIGNS.get(ch)
-    if got is None and (got := _folded(ch)) == ch:
-        return table.get(ch, ch)
+    got = DASHES.get(ch) or SIGNS.get(ch) or table.get(ch) or _folded(ch)
+    if got == ch:
+        return ch
     return "".join(table.get(c, c) for c in unicodedata.normalize("NFD", got))
 
 
