@@ -108,7 +108,8 @@ def lookalikes() -> Table:
     out: Table = {}
     for ch in {*public, *(c for c in map(chr, range(0x250, 0x2000)) if _SMALL_CAPITAL.fullmatch(unicodedata.name(c, ""))), *BESIDE}:
         kind = unicodedata.category(ch)[0]
-        if _PLAIN.match(ch) or ch in ORDINARY or kind not in "LNP" or unicodedata.decomposition(ch).startswith(("<super>", "<sub>")):
+        made_of = unicodedata.decomposition(ch)  # composed letters are ordinary
+        if _PLAIN.match(ch) or ch in ORDINARY or kind not in "LNP" or made_of.startswith(("<super>", "<sub>")) or made_of and made_of[0] != "<":
             continue
         prototype = public.get(ch, ch)
         got = chosen(ch, prototype)
