@@ -6,6 +6,7 @@ their SHA-256, which both engines compute alike.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from filingloom.functions.text import uwords
 from filingloom.operators import aggregates, answers, chunking, cleaning, dedup, html, retrieval, sections, selection, windows
 from filingloom.plans import pipeline
 from filingloom.session import materialize, prepare, shared_dir
+from filingloom.sources import files
 from filingloom.sources.files import malformed_rows
 from filingloom.streaming.ingest import current, ingest, landing_stream
 
@@ -106,6 +108,15 @@ def stripped_lines(spark: SparkSession, d: str) -> DataFrame:
     return cleaning.stripped_lines(table(spark, d, "documents"), "doc_id", "text")
 
 
+@query(f"""
+    with {_COUNTED},
+    g as (select distinct doc_id, s as line, n from c where s <> '' and n >= 2 and length(s) < 100 and s not in ('[TABLE]', '[/TABLE]'))
+    select line, sum(n)::bigint as times, count(*) as texts from g group by line order by times desc, line limit 10""")
+def top_stripped_lines(spark: SparkSession, d: str) -> DataFrame:
+    gone = cleaning.stripped_lines(table(spark, d, "documents"), "doc_id", "text")
+    return gone.groupBy("line").agg(F.sum("times").alias("times"), F.count("*").alias("texts")).orderBy(F.desc("times"), "line").limit(10)
+
+
 @query("""
     select ticker, count(*) filter (contains(text, '[TABLE]')) as hits, count(*) as total, count(*) filter (contains(text, '[TABLE]')) / count(*)::double as rate
     from records group by ticker having count(*) filter (contains(text, '[TABLE]')) > 0""")
@@ -114,9 +125,10 @@ def rate_by_group(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    select form, count(*) filter (regexp_matches(text, '[a-z],[a-z]|[a-z]\\.[A-Z][a-z]')) as joined, count(*) as total from chunks group by form""")
+    select form, count(*) filter (regexp_matches(text, '[a-z],[a-z]|[a-z]\\.[A-Z][a-z]')) as hits, count(*) as total, count(*) filter (regexp_matches(text, '[a-z],[a-z]|[a-z]\\.[A-Z][a-z]')) / count(*)::double as rate
+    from chunks group by form having hits > 0""")
 def joined_words(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "chunks").groupBy("form").agg(F.count_if(cleaning.has_joined_words(F.col("text"))).alias("joined"), F.count("*").alias("total"))
+    return aggregates.rate_by_group(table(spark, d, "chunks"), ["form"], cleaning.has_joined_words(F.col("text")))
 
 
 @query("""
@@ -207,11 +219,44 @@ def near_duplicates_minhash(spark: SparkSession, d: str) -> DataFrame:
     return dedup.near_duplicates_minhash(table(spark, d, "documents"), "doc_id", "text").select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query()
+_CLASSES_SQL = f"""
+    with recursive q as ({_NEAR_SQL}),
+    e as (select a, b from q union all select b, a from q),
+    reach(k, o) as (select distinct a, a from e union select r.k, e.b from reach r join e on r.o = e.a),
+    c as (select k, min(o) as root from reach group by k),
+    m as (select doc_id, case when length(text) >= 200 then min(doc_id) over (partition by text) else doc_id end as rep from documents),
+    n as (select rep, count(*) as n from m group by rep),
+    l as (select e.a as rep, sum(n.n) as near from e join n on n.rep = e.b group by e.a)
+    select doc_id, coalesce(root, m.rep) as class_id, (coalesce(near, 0) + n.n - 1)::bigint as links
+    from m join n using (rep) left join c on c.k = m.rep left join l on l.rep = m.rep"""
+
+
+@query(_CLASSES_SQL)
 def near_duplicate_classes(spark: SparkSession, d: str) -> DataFrame:
     return dedup.near_duplicate_classes(table(spark, d, "documents"), "doc_id", "text")
 
 
+@query(f"""
+    with u as (select distinct record_id, text, coalesce(ticker, '') || '|' || coalesce(report_date, '') || '|' || coalesce(item_id, '') as k from records where length(text) >= 200),
+    d as (select record_id, text, case when row_number() over (partition by k order by record_id) = 1 then k else k || '#' || row_number() over (partition by k order by record_id) end as key from u),
+    r as (select min(record_id) as id, text from u group by text),
+    w as (select id, list_filter(regexp_split_to_array(text, '[{_WS}]+'), lambda w: w <> '') as w from r),
+    s as (select distinct id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as g from w where len(w) >= 3),
+    h as (select id, hash(g) as g from s),
+    n as (select id, count(*) as n from h group by all),
+    p as (select a.id as a, b.id as b, count(*) as c from h a join h b on a.g = b.g and a.id < b.id group by all),
+    t as (select a, b, round(c / (x.n + y.n - c)::double, 6) as similarity from p join n x on x.id = a join n y on y.id = b where c / (x.n + y.n - c)::double >= 0.7 - 1e-12)
+    select least(x.key, y.key) as key_a, greatest(x.key, y.key) as key_b, similarity from t join d x on x.record_id = a join d y on y.record_id = b order by similarity desc, key_a, key_b limit 10""")
+def top_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    """The most similar pairs of different section texts, under the sections' unique keys."""
+    r = table(spark, d, "records").where("length(text) >= 200").select("record_id", "ticker", "report_date", "item_id", "text").distinct()
+    key = F.concat(F.coalesce("ticker", F.lit("")), F.lit("|"), F.coalesce("report_date", F.lit("")), F.lit("|"), F.coalesce("item_id", F.lit("")))
+    named = windows.suffix_duplicates(r.drop("text"), key, ["record_id"]).select("record_id", "key")
+    pairs = dedup.near_duplicates_exact(r, "record_id", "text", 0.7, 3)
+    both = pairs.join(named.select(F.col("record_id").alias("a"), F.col("key").alias("x")), "a").join(named.select(F.col("record_id").alias("b"), F.col("key").alias("y")), "b")
+    return both.select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b"), F.round("similarity", 6).alias("similarity")).orderBy(F.desc("similarity"), "key_a", "key_b").limit(10)
+
+
 # ---------------------------------------------------------------------- selection
 @query("""
     with r as (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey) as rn from orders where o_orderstatus = 'F' and o_orderdate <= timestamp '1997-12-31')
@@ -349,11 +394,45 @@ def sample_record(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    select form, count(*) filter (item_id not like '%-%-%') as bare, count(*) as total from records where item_id not like '%FRONT' group by form""")
+    select form, count(*) filter (item_id not like '%-%-%') as hits, count(*) as total, count(*) filter (item_id not like '%-%-%') / count(*)::double as rate
+    from records where item_id not like '%FRONT' group by form having hits > 0""")
 def unprefixed_items(spark: SparkSession, d: str) -> DataFrame:
     """Item ids without a part, per form."""
-    r = table(spark, d, "records").where("item_id not like '%FRONT'")
-    return r.groupBy("form").agg(F.count_if(~F.col("item_id").like("%-%-%")).alias("bare"), F.count("*").alias("total"))
+    return aggregates.rate_by_group(table(spark, d, "records").where("item_id not like '%FRONT'"), ["form"], ~F.col("item_id").like("%-%-%"))
+
+
+@query("""
+    with u as (select distinct record_id, char_length(text) as chars from records where length(text) >= 20000)
+    select record_id, chars::int as chars from u order by chars desc, record_id limit 20""")
+def big_sections(spark: SparkSession, d: str) -> DataFrame:
+    """The largest of the sections of at least 20,000 characters."""
+    r = table(spark, d, "records").where("length(text) >= 20000").select("record_id", F.length("text").alias("chars")).distinct()
+    return r.orderBy(F.desc("chars"), "record_id").limit(20)
+
+
+@query("select chunk_id, token_count from (select distinct chunk_id, token_count from chunks where token_count > 512) order by chunk_id, token_count limit 3")
+def over_limit_sample(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "chunks").select("chunk_id", "token_count").distinct()
+    return aggregates.failures(c, F.col("token_count") > 512, ["chunk_id", "token_count"], 3)
+
+
+@query("select run_row, round(input_tokens / 1e6 * 1.0 + output_tokens / 1e6 * 5.0, 6) as cost from (select distinct run_row, input_tokens, output_tokens from run_20261012t174720z)")
+def token_cost(spark: SparkSession, d: str) -> DataFrame:
+    run = table(spark, d, "run_20261012t174720z").select("run_row", "input_tokens", "output_tokens").distinct()
+    return aggregates.weighted_cost(run, {"input_tokens": 1.0, "output_tokens": 5.0}).select("run_row", "cost")
+
+
+@query("select record_id, chars::int as chars from (select distinct record_id, length(text) as chars from records where text is not null) order by chars, record_id limit 1")
+def least_record(spark: SparkSession, d: str) -> DataFrame:
+    """No record lies in an empty band, so the least one is the sample."""
+    r = table(spark, d, "records").where("text is not null").select("record_id", F.length("text").alias("chars")).distinct()
+    return aggregates.median_or_least(r, "chars", 10**8, 10**8 + 1, ["record_id"])
+
+
+@query("select count(*) as passed from chunks where token_count <= 10000000")
+def guarded_chunks(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "chunks").where("token_count is not null")
+    return chunking.guard_length(c, F.col("token_count"), 10_000_000, "chunk_id").agg(F.count("*").alias("passed"))
 
 
 # ------------------------------------------------------------------------ windows
@@ -405,7 +484,24 @@ def html_sections(spark: SparkSession, d: str) -> DataFrame:
     return html.split_html(_filings(spark, d).where("n_items > 0"), ["accession"], "content").select("accession", "section_pos", "item_id")
 
 
-@query()
+_PART_ROWS = ", ".join(f"('{i}', '{p}')" for i, p in sections.ANNUAL_PARTS.items())
+
+
+@query(f"""
+    with r as (select distinct on (record_id) record_id, accession, form, text, coalesce(item_id like '%FRONT', false) as front, regexp_extract(item_id, '-([0-9]+[A-Z]?)$', 1) as raw from records where text is not null),
+    v as (select *, case when front then 'FRONT' else raw end as item from r where front or raw <> ''),
+    z as (select *, list_filter(string_split(text, chr(10)), lambda x: regexp_replace(x, {_STRIP}) <> '') as l from v),
+    g as (select *, not (len(l) >= 3 and len(list_filter(l, lambda x: regexp_matches(x, '\\t[^\\t\\n]*\\t[0-9]{{1,4}}(-[0-9]{{1,4}})?[{_WS}]*$'))) >= 0.5 * len(l)) as good from z),
+    k as (select * from g qualify count(*) over (partition by accession, form, item) = 1 or good or count(*) filter (good) over (partition by accession, form, item) = 0),
+    o as (select *, count(*) filter (item = '1') over (partition by accession, form order by not front, record_id rows unbounded preceding) as ones from k),
+    p as (select o.*, case when item = 'FRONT' or form not in ('10-K', '10-Q') then item when form = '10-K' then coalesce(m.part, '?') || '-' || item when ones >= 2 then 'II-' || item else 'I-' || item end as id
+        from o left join (values {_PART_ROWS}) m(i, part) on m.i = item),
+    ls as (select record_id, {_LINES.format("text")} from p),
+    st as (select record_id, no, line, regexp_replace(line, {_STRIP}) as s from ls),
+    c as (select *, count(*) over (partition by record_id, s) as n from st),
+    kept as (select * from c where s = '' or s in ('[TABLE]', '[/TABLE]') or not (regexp_matches(s, '^[0-9]{{1,4}}$') or lower(s) = 'table of contents' or (length(s) < 100 and n >= 2))),
+    j as (select record_id, regexp_replace(regexp_replace(string_agg(line, chr(10) order by no), '\\n{{3,}}', chr(10) || chr(10), 'g'), {_STRIP}) as t from kept group by record_id)
+    select accession, form || ':' || id as item_id, length(t)::int as char_count, sha256(t) as content_hash from p join j using (record_id) where length(t) >= 50""")
 def section_records(spark: SparkSession, d: str) -> DataFrame:
     f = _filings(spark, d)
     for c in ("ticker", "cik", "company", "filing_date", "report_date"):
@@ -414,6 +510,113 @@ def section_records(spark: SparkSession, d: str) -> DataFrame:
     return made.select("accession", "item_id", "char_count", "content_hash")
 
 
+#: Small filings and what comes of them.
+_PAGES = (
+    ("plain", "<style>a{}</style><p>One &amp; two</p><script>no()</script><p>three</p>"),
+    ("table", "<p>a</p><table><tr><td>Net <b>sales</b></td><td>5</td></tr><tr><td> </td><td></td></tr><tr><td>Costs</td><td>3</td></tr></table>"),
+    ("heads", '<p>cover</p><div><span style="font-weight:700">Item 1. Business</span></div><p>We act.</p><p>See <u>Item 2. Land</u> above</p><div><b>Item 1A: Risk</b></div><p>Some.</p>'),
+    ("contents", "<table><tr><td><b>Item 1. A</b></td></tr><tr><td><b>Item 2. B</b></td></tr></table><p>rest</p>"),
+)
+
+
+def _pages(spark: SparkSession) -> DataFrame:
+    return prepare(spark).createDataFrame(list(_PAGES), "name string, html string")
+
+
+@query(r"""
+    select * from (values ('plain', 'plain', 'One & two' || chr(10) || 'three'), ('plain', 'tables', 'One & two' || chr(10) || 'three'), ('plain', 'marked', 'One & two' || chr(10) || chr(10) || 'three'),
+        ('table', 'tables', 'a' || chr(10) || chr(10) || '[TABLE]' || chr(10) || 'Netsales' || chr(9) || '5' || chr(10) || 'Costs' || chr(9) || '3' || chr(10) || '[/TABLE]'),
+        ('table', 'plain', 'a' || chr(10) || 'Net ' || chr(10) || 'sales' || chr(10) || '5' || chr(10) || ' ' || chr(10) || 'Costs' || chr(10) || '3')) t(name, parser, text)""")
+def html_renderings(spark: SparkSession, d: str) -> DataFrame:
+    made = html.parse_html(_pages(spark), ["name"], "html")
+    return made.where("name = 'plain' or name = 'table' and parser <> 'marked'")
+
+
+@query(r"""
+    select * from (values ('heads', 0, 'FRONT', ''), ('heads', 1, '1', 'Business'), ('heads', 2, '1A', 'Risk'), ('contents', 0, 'FRONT', '')) t(name, section_pos, item_id, item_title)""")
+def html_headings(spark: SparkSession, d: str) -> DataFrame:
+    """A cross reference and the headings of a table of contents open no section."""
+    made = html.split_html(_pages(spark).where("name in ('heads', 'contents')"), ["name"], "html")
+    return made.select("name", "section_pos", "item_id", "item_title")
+
+
+@query(f"""
+    with r as (select distinct on (record_id) record_id, accession, text, regexp_extract(item_id, '-([0-9]+[A-Z]?)$', 1) as item_id from records where text is not null),
+    z as (select *, list_filter(string_split(text, chr(10)), lambda x: regexp_replace(x, {_STRIP}) <> '') as l from r),
+    g as (select *, not (len(l) >= 3 and len(list_filter(l, lambda x: regexp_matches(x, '\\t[^\\t\\n]*\\t[0-9]{{1,4}}(-[0-9]{{1,4}})?[{_WS}]*$'))) >= 0.5 * len(l)) as good from z)
+    select record_id, item_id from g qualify count(*) over (partition by accession, item_id) = 1 or good or count(*) filter (good) over (partition by accession, item_id) = 0""")
+def contents_dropped(spark: SparkSession, d: str) -> DataFrame:
+    r = _records(spark, d).where("text is not null").select("record_id", "accession", "text", F.regexp_extract("item_id", r"-([0-9]+[A-Z]?)$", 1).alias("item_id"))
+    return sections.drop_contents_duplicates(r, ["accession"]).select("record_id", "item_id")
+
+
+@query(f"""
+    with r as (select distinct on (record_id) record_id, accession, form, case when item_id like '%FRONT' then 'FRONT' else regexp_extract(item_id, '([0-9]+[A-Z]?)$', 1) end as item from records),
+    o as (select *, count(*) filter (item = '1') over (partition by accession order by record_id rows unbounded preceding) as ones from r)
+    select record_id, case when item = 'FRONT' then item when form = '10-K' then coalesce(m.part, '?') || '-' || item when form = '10-Q' then case when ones >= 2 then 'II-' else 'I-' end || item else item end as item_id
+    from o left join (values {_PART_ROWS}) m(i, part) on m.i = item""")
+def parts_assigned(spark: SparkSession, d: str) -> DataFrame:
+    item = F.when(F.col("item_id").like("%FRONT"), "FRONT").otherwise(F.regexp_extract("item_id", r"([0-9]+[A-Z]?)$", 1))
+    r = _records(spark, d).select("record_id", "accession", "form", F.col("record_id").alias("section_pos"), item.alias("item_id"))
+    return sections.assign_parts(r, ["accession"]).select("record_id", "item_id")
+
+
+# --------------------------------------------------------------- sources and sinks
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(prepare(spark))}/filingloom/{name}-{uuid.uuid4().hex}"
+
+
+@query("select coalesce(accession, '') as accession, coalesce(company, '') as company, coalesce(local_path, '') as local_path, size_bytes, epoch_us(downloaded_at) as downloaded_us from manifest")
+def manifest_csv(spark: SparkSession, d: str) -> DataFrame:
+    """The manifest written as CSV and read back under its schema."""
+    path = _folder(spark, "manifest")
+    files.write_csv(table(spark, d, "manifest").withColumn("downloaded_at", F.date_format("downloaded_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")), path)
+    back = files.read_manifest(spark, path)
+    return back.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("accession", "company", "local_path")], "size_bytes", F.unix_micros("downloaded_at").alias("downloaded_us"))
+
+
+@query("select record_id, item_title, sha256(text) as text_hash, char_count from (select distinct on (record_id) * from records)")
+def records_jsonl(spark: SparkSession, d: str) -> DataFrame:
+    """The records written as JSON lines and read back."""
+    path = _folder(spark, "records")
+    r = _records(spark, d).select("record_id", "item_title", "text", "char_count")
+    files.write_jsonl(r, path)
+    return files.read_jsonl(spark, path, r.schema).select("record_id", "item_title", F.sha2("text", 256).alias("text_hash"), "char_count")
+
+
+@query("""
+    with f as (select distinct accession, company from manifest where accession is not null),
+    g as (select accession, string_agg(coalesce(company, '') , chr(10) order by coalesce(company, '')) as t from f group by accession)
+    select accession || '.htm' as name, octet_length(encode(t))::bigint as size, sha256(t) as sha256 from g""")
+def raw_documents(spark: SparkSession, d: str) -> DataFrame:
+    """One raw file per filing: written as bytes, listed, read and matched by name."""
+    path = _folder(spark, "raw").removeprefix("file://")
+    m = table(spark, d, "manifest").where("accession is not null").select("accession", F.coalesce("company", F.lit("")).alias("company")).distinct()
+    content = m.groupBy("accession").agg(F.array_join(F.array_sort(F.collect_list("company")), "\n").alias("t"))  # the few names of a filing
+    rows = content.select(F.concat("accession", F.lit(".htm")).alias("local_path"), F.encode("t", "utf-8").alias("content"))
+    listed = materialize(files.write_files(rows, path, "local_path", "content"), "written")
+    found, _ = files.with_documents(listed.withColumnRenamed("name", "local_path"), files.read_documents(spark, path))
+    return files.decode_utf8(found, "content", "t").select(F.col("local_path").alias("name"), F.col("bytes").alias("size"), F.sha2("t", 256).alias("sha256"))
+
+
+@query("select distinct trim(question) as line from eval_items where trim(question) <> '' and not starts_with(trim(question), '#')")
+def question_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The questions as a file of lines with comments and blank lines between."""
+    path = _folder(spark, "questions")
+    q = table(spark, d, "eval_items").select(F.explode(F.array(F.col("question"), F.lit("# a comment"), F.lit("   "))).alias("value"))
+    q.write.text(path)
+    return files.read_lines(spark, path).distinct()
+
+
+@query("select 'tables' as parser, count(*) as texts from (select distinct record_id from records where text is not null) union all select 'plain', count(*) from (select distinct record_id from records where text is not null)")
+def texts_by_parser(spark: SparkSession, d: str) -> DataFrame:
+    """Renderings written one folder per parser; line ends are escaped, so a text is a line."""
+    path = _folder(spark, "texts")
+    made = html.parse_html(_records(spark, d).where("text is not null"), ["record_id"], "text", ["tables", "plain"])
+    files.write_texts(made.withColumn("text", F.concat(F.lit("|"), F.translate("text", "\n\r", "  "))), path, "parser", "text")
+    return spark.read.text(path).groupBy("parser").agg(F.count("*").alias("texts"))
+
+
 @query()
 def html_text(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "records").select("record_id", "text").distinct()
@@ -443,12 +646,7 @@ def citations_verified(spark: SparkSession, d: str) -> DataFrame:
 def run_metrics(spark: SparkSession, d: str) -> DataFrame:
     """One run has one group, so its medians come from counts, not from one sort."""
     run = table(spark, d, "run_20261012t174720z").select("run_row", "fabricated_citations", "retrieval_ms", "generation_ms", "input_tokens", "output_tokens").dropDuplicates(["run_row"])
-    first = run.agg(F.min("run_row").alias("_first"))
-    sums = run.agg(F.count("*").alias("questions"), F.count_if(F.size("fabricated_citations") > 0).alias("fabricated_answers"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
-    warm = aggregates.upper_median(run.join(F.broadcast(first), F.col("run_row") > F.col("_first")), [], "retrieval_ms")  # one row
-    made = aggregates.upper_median(run, [], "generation_ms")
-    one = sums.crossJoin(warm.select(F.col("upper_median").alias("retrieval_ms_warm"))).crossJoin(made.select(F.col("upper_median").alias("generation_ms")))  # one row each
-    return one.select(F.lit(1).alias("run"), "questions", "fabricated_answers", "input_tokens", "output_tokens", "retrieval_ms_warm", "generation_ms")
+    return answers.run_metrics(run.withColumn("run", F.lit(1)), "run", "run_row")
 
 
 @query(f"""
@@ -481,16 +679,27 @@ def question_words(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------------- streaming
 @query("""
     with r as (select *, row_number() over (partition by user_id order by ts desc, event_id) as rn from events)
-    select user_id, ts from r where rn = 1""")
+    select user_id, ts, event_id from r where rn = 1""")
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
-    """The events as a stream of files into a table of each user's latest event."""
-    import uuid
-
-    base = f"{shared_dir(prepare(spark))}/filingloom/ingest-{uuid.uuid4().hex}"
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    stream = landing_stream(spark, f"{d}/events*.parquet", schema)
-    ingest(stream, f"{base}/table", ["user_id"], "ts", f"{base}/checkpoint").awaitTermination()
-    return current(spark, f"{base}/table", ["user_id"], "ts").select("user_id", "ts")
+    """The events as a stream of files into a table of each user's latest event: two
+    files are two micro-batches, then one is delivered again to the restarted stream."""
+    base = _folder(spark, "ingest")
+    events = table(spark, d, "events")
+    half = F.pmod(F.xxhash64("event_id"), F.lit(2))
+
+    def deliver(n: int) -> None:
+        events.where(half == n).coalesce(1).write.mode("append").parquet(f"{base}/landing")
+
+    def run() -> None:
+        stream = landing_stream(spark, f"{base}/landing", events.schema, per_trigger=1)
+        ingest(stream, f"{base}/table", ["user_id"], "ts", f"{base}/checkpoint", ["event_id"]).awaitTermination()
+
+    deliver(0)
+    deliver(1)
+    run()
+    deliver(0)
+    run()
+    return current(spark, f"{base}/table", ["user_id"], "ts", ["event_id"]).select("user_id", "ts", "event_id")
 
 
 def queries() -> dict[str, Query]:
