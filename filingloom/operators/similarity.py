@@ -10,7 +10,7 @@ the work, never the result.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +21,9 @@ from pyspark.sql import types as T
 from filingloom.functions.hashing import mix, ngram_hashes, slices, word_hashes
 from filingloom.session import materialize
 
-#: The shingle counters: one for each BYTES_A_COUNTER of input, within these bounds.
-#: The table is broadcast, two bytes a counter, so 4 MB at most.
-BYTES_A_COUNTER, LEAST_BITS, MOST_BITS = 256, 16, 21
+#: The shingle counters: one for each BYTES_A_COUNTER of the planner's estimate of the
+#: input, within these bounds. The table is broadcast, two bytes a counter: 4 MB at most.
+BYTES_A_COUNTER, LEAST_BITS, MOST_BITS = 32, 18, 21
 #: Steps of the counters' logarithmic scale per doubling.
 STEPS = 6
 #: Shingles that a candidate pair shares among its rarest ones.
@@ -31,6 +31,8 @@ SHARED = 3
 #: Shingles with more holders than RUNS are joined by runs, and with more than SPLIT in
 #: pieces of about that many holders.
 RUNS, SPLIT = 64, 4096
+#: Groups of the vectors of group counts.
+GROUPS = 256
 
 
 def shingle_sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
@@ -182,8 +184,9 @@ def candidates(prefix: DataFrame, threshold: float) -> DataFrame:
     """(a, b), a < b: pairs sharing enough of their rarest shingles, sizes within reach.
 
     Holders are not capped. The texts of one template share long runs of shingles;
-    such a run is counted by its ends (place after the last less place of the first),
-    so a pair takes two rows a run through the aggregate, not one a shingle.
+    such a run is counted by its ends (places after the last less places of the first,
+    on both sides), so a pair takes two rows a run through the aggregate, not one a
+    shingle. Both sides use the same columns, so they read one and the same exchange.
     """
 
     def side(name: str) -> DataFrame:
@@ -193,25 +196,63 @@ def candidates(prefix: DataFrame, threshold: float) -> DataFrame:
         x, y = F.col(f"ra.{field}"), F.col(f"rb.{field}")
         return (x == 0) | (x != y)
 
-    # one test over both sides, so that both read one and the same exchange
     sides = F.coalesce("ra.side", F.lit(0)) + 3 * F.coalesce("rb.side", F.lit(0))
     both = side("a").join(side("b"), "g").where((F.col("a") < F.col("b")) & sides.isin(0, 7) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9))
     starts, ends = differ("prev"), differ("next")
-    part = F.when(F.col("ra").isNull(), 1).otherwise(F.when(ends, F.col("ra.pos") + 1).otherwise(0) - F.when(starts, F.col("ra.pos")).otherwise(0))
+    places = F.col("ra.pos") + F.col("rb.pos")
+    part = F.when(F.col("ra").isNull(), 2).otherwise(F.when(ends, places + 2).otherwise(0) - F.when(starts, places).otherwise(0))
     kept = both.where(F.col("ra").isNull() | starts | ends).select("a", "b", "na", "nb", part.alias("part"))
     need = F.least(F.lit(SHARED), F.ceil(F.min("na") * threshold - 1e-9), F.ceil(F.min("nb") * threshold - 1e-9))
-    return kept.groupBy("a", "b").agg(F.sum("part").alias("c"), need.alias("need")).where("c >= need").select("a", "b")
+    return kept.groupBy("a", "b").agg(F.sum("part").alias("c"), need.alias("need")).where("c >= 2 * need").select("a", "b")
 
 
-def verified(pairs: DataFrame, reps: DataFrame, n: int, threshold: float, bound: Callable[[np.ndarray, np.ndarray], int] | None = None) -> DataFrame:
+def group_counts(shingles: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    """How many of the shingles hash to each group."""
+    return np.bincount((shingles % np.uint64(groups)).astype(np.int64), minlength=groups)
+
+
+def overlap_bound(a: np.ndarray, b: np.ndarray) -> int:
+    """Summed minima of two vectors of group counts: no fewer than the common shingles."""
+    return int(np.minimum(a, b).sum())
+
+
+def within_bound(pairs: DataFrame, texts: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(a, b) of the pairs whose vectors of group counts leave the threshold in reach:
+    two short vectors a pair move, no text. A count over 65,535 counts as without bound."""
+    key = texts.schema["_k"].dataType.simpleString()
+
+    def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = sets_of(batch.column("_t"), n)
+            counts = [group_counts(x) for x in sets]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_k"), pa.array([len(x) for x in sets], pa.int32()), pa.array([None if c.max() > 65_535 else c.astype(np.uint16).tobytes() for c in counts], pa.binary())], names=["_k", "_size", "_v"]
+            )
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            va, vb = batch.column("va").to_pylist(), batch.column("vb").to_pylist()
+            reach = np.array([total[i] if x is None or y is None else overlap_bound(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16)) for i, (x, y) in enumerate(zip(va, vb))], np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array(reach >= threshold / (1 + threshold) * total - 1e-9))
+
+    vectors = materialize(texts.mapInArrow(points, f"_k {key}, _size int, _v binary"), "vectors")
+    left, right = vectors.toDF("a", "na", "va"), vectors.toDF("b", "nb", "vb")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "va", "vb").mapInArrow(keep, pairs.select("a", "b").schema)
+
+
+def verified(pairs: DataFrame, reps: DataFrame, n: int, threshold: float) -> DataFrame:
     """(a, b, similarity) of the candidate pairs that reach the threshold, exactly.
 
-    Only texts of candidates move. ``bound`` is an upper bound of the overlap of two
-    sets; pairs it rules out are not compared.
+    Pairs that the bound on the overlap rules out go first; only the texts of those
+    that are left move.
     """
     pairs = materialize(pairs, "pairs")
     used = materialize(pairs.select(F.explode(F.array("a", "b")).alias("_k")).distinct(), "used")
     texts = materialize(reps.join(used, "_k", "left_semi").select("_k", "_t"), "texts")
+    pairs = materialize(within_bound(pairs, texts, n, threshold), "pairs")
+    left = materialize(pairs.select(F.explode(F.array("a", "b")).alias("_k")).distinct(), "left")
+    texts = texts.join(left, "_k", "left_semi")
     both = pairs.join(texts.select(F.col("_k").alias("a"), F.col("_t").alias("ta")), "a").join(texts.select(F.col("_k").alias("b"), F.col("_t").alias("tb")), "b")
     schema = T.StructType([pairs.schema["a"], pairs.schema["b"], T.StructField("similarity", T.DoubleType())])
 
@@ -219,8 +260,6 @@ def verified(pairs: DataFrame, reps: DataFrame, n: int, threshold: float, bound:
         for batch in batches:
             keep, sims = [], []
             for i, (x, y) in enumerate(zip(sets_of(batch.column("ta"), n), sets_of(batch.column("tb"), n))):
-                if bound is not None and bound(x, y) < threshold / (1 + threshold) * (len(x) + len(y)) - 1e-9:
-                    continue
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 if common and common >= threshold * (len(x) + len(y) - common) - 1e-9:
                     keep.append(i)
@@ -231,9 +270,9 @@ def verified(pairs: DataFrame, reps: DataFrame, n: int, threshold: float, bound:
     return both.select("a", "b", "ta", "tb").mapInArrow(run, schema).where("a <> b").distinct()
 
 
-def similar_pairs(reps: DataFrame, n: int, threshold: float, bound: Callable[[np.ndarray, np.ndarray], int] | None = None) -> DataFrame:
+def similar_pairs(reps: DataFrame, n: int, threshold: float) -> DataFrame:
     """(a, b, similarity) of all pairs of ``reps`` (_k, _t) that reach the threshold."""
     if not 0.5 <= threshold <= 1:
         raise ValueError("threshold must be in [0.5, 1]")
     table = frequencies(reps, n)
-    return verified(candidates(prefixes(reps, n, threshold, table), threshold), reps, n, threshold, bound)
+    return verified(candidates(prefixes(reps, n, threshold, table), threshold), reps, n, threshold)
