@@ -3,39 +3,21 @@
 Method: count-vector bound with exact verification. The shingles of a text are
 hashed to groups, and the vector of group counts is its point; the overlap of two
 texts is at most the sum of the smaller counts, group by group, so pairs whose sum
-is too small are pruned before their texts are compared. An R-tree over the points
-cannot drive the join: see the README for the measured reasons. Candidates come from
-the exact prefix index of the core's similarity join instead.
+is too small are pruned before their texts move. An R-tree over the points cannot
+drive the join: see the README for the measured reasons (``tests/llm/rtree_figures.py``
+makes the figures). Candidates come from the exact prefix index of the core's
+similarity join instead, which also holds the bound.
 
 Exact copies are one class from the start, so a group of copies costs as one text.
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filingloom.operators.similarity import similar_pairs, text_classes
 
-#: Groups of the count vector.
-GROUPS = 64
-
-
-def count_vector(shingles: np.ndarray, groups: int = GROUPS) -> np.ndarray:
-    """How many of the shingles hash to each group: the text's point."""
-    return np.bincount((shingles % np.uint64(groups)).astype(np.int64), minlength=groups)
-
-
-def overlap_bound(a: np.ndarray, b: np.ndarray) -> int:
-    """Summed coordinate minima of two count vectors: no fewer than the common shingles."""
-    return int(np.minimum(a, b).sum())
-
-
-def _bound(x: np.ndarray, y: np.ndarray) -> int:
-    return overlap_bound(count_vector(x), count_vector(y))
-
-
 def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.7, shingle: int = 3, min_chars: int = 200) -> tuple[DataFrame, DataFrame]:
     """(pairs, members) of the texts whose shingle sets are similar.
 
@@ -48,7 +30,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.7,
     ignored; an empty table has no pairs.
     """
     reps, members = text_classes(df, key, text, min_chars)
-    return similar_pairs(reps, shingle, threshold, _bound), members
+    return similar_pairs(reps, shingle, threshold), members
 
 
 def linked_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from filingloom.llm.leakage import find_leaks, leaks, scores, spaced_leaks, surviving_seeds
-from filingloom.llm.near_dups import count_vector, link_counts, linked_pairs, near_duplicates, overlap_bound
-from filingloom.operators.similarity import sets_of
+from filingloom.llm.near_dups import link_counts, linked_pairs, near_duplicates
+from filingloom.operators.similarity import group_counts as count_vector
+from filingloom.operators.similarity import overlap_bound, sets_of
 
 
 def shingles(t, n=3):
