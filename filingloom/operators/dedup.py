@@ -68,19 +68,27 @@ def band_candidates(signed: DataFrame, bands: int, rows: int, split: int = 4096)
     """(a, b), a < b: texts that agree on all rows of a band. Only keys and hashes move.
 
     A pair that agrees on several bands in a row is made at the first of them. Buckets
-    with more than ``split`` texts are joined in pieces: each text has one piece on the
-    left and stands in all of them on the right, so no task joins a whole hot bucket.
+    with more than about ``split`` texts (seen in a sample of the texts; it decides on
+    the balance of the tasks, never on a pair) are joined in pieces: each text has one
+    piece on the left and stands in all of them on the right, so no task joins a whole
+    hot bucket.
     """
+    every = max(1, split // 64)
     hashes = F.array(*[F.xxhash64(F.lit(i), *[F.element_at("sig", i * rows + j + 1) for j in range(rows)]) for i in range(bands)])
     listed = signed.select("_k", hashes.alias("_all"))
     exploded = listed.select("_k", F.posexplode("_all").alias("_i", "_h"), "_all").select("_k", "_h", F.when(F.col("_i") > 0, F.get("_all", F.col("_i") - 1)).alias("_p"))
-    large = exploded.groupBy("_h").agg(F.count("*").alias("_n")).where(F.col("_n") > split).select("_h", F.ceil(F.col("_n") / split).cast("int").alias("_pieces"))
-    large = materialize(large, "large_buckets")
-    cut = exploded.join(large, "_h", "left").withColumn("_pieces", F.coalesce("_pieces", F.lit(1)))
-    left = cut.select(F.col("_k").alias("a"), "_h", F.col("_p").alias("_pa"), F.pmod(F.xxhash64("_k"), F.col("_pieces")).cast("int").alias("_piece"))
-    right = cut.select(F.col("_k").alias("b"), "_h", F.col("_p").alias("_pb"), F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1)).alias("_piece"))
+    seen = exploded.where(F.pmod(F.xxhash64(F.lit(5), "_k"), F.lit(every)) == 0).groupBy("_h").agg(F.count("*").alias("_n"))
+    large = materialize(seen.where(F.col("_n") * every > split).select("_h", F.ceil(F.col("_n") * every / split).cast("int").alias("_pieces")), "large_buckets")
+    on = ["_h"]
+    left = right = exploded
+    if not large.isEmpty():
+        cut = exploded.join(large, "_h", "left").withColumn("_pieces", F.coalesce("_pieces", F.lit(1)))
+        left = cut.withColumn("_piece", F.pmod(F.xxhash64("_k"), F.col("_pieces")).cast("int"))
+        right = cut.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1)))
+        on = ["_h", "_piece"]
+    left, right = left.select(F.col("_k").alias("a"), F.col("_p").alias("_pa"), *on), right.select(F.col("_k").alias("b"), F.col("_p").alias("_pb"), *on)
     first = F.col("_pa").isNull() | F.col("_pb").isNull() | (F.col("_pa") != F.col("_pb"))
-    return left.join(right, ["_h", "_piece"]).where((F.col("a") < F.col("b")) & first).select("a", "b").distinct()
+    return left.join(right, on).where((F.col("a") < F.col("b")) & first).select("a", "b").distinct()
 
 
 def near_duplicates_minhash(
