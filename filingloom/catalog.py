@@ -466,12 +466,14 @@ def contents_shape(spark: SparkSession, d: str) -> DataFrame:
 def _filings(spark: SparkSession, d: str) -> DataFrame:
     """Each filing's records as one HTML document: the front text as it is, then headings
     in bold, texts as paragraphs; ``n_items`` headings."""
-    r = _records(spark, d).where("text is not null")
+    r = table(spark, d, "records").where("text is not null")
     esc = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     front, raw = F.coalesce(F.col("item_id").like("%FRONT"), F.lit(False)), F.regexp_extract("item_id", r"-([0-9]+[A-Z]?)$", 1)
     heading = F.concat(F.lit('<div><span style="font-weight:700">Item '), raw, F.lit(". Section</span></div>\n"))
     part = F.concat(F.when(front, F.lit("")).otherwise(heading), F.lit("<p>"), esc, F.lit("</p>\n"))
-    listed = r.where(front | (raw != "")).groupBy("accession", "form").agg(F.array_sort(F.collect_list(F.struct((~front).alias("item"), "record_id", part.alias("html")))).alias("l"), F.count_if(~front).alias("n_items"))  # a filing's own sections
+    # a filing's own sections; rows delivered twice are equal, so a set holds them once
+    listed = r.where(front | (raw != "")).groupBy("accession", "form").agg(F.array_sort(F.collect_set(F.struct((~front).alias("item"), "record_id", part.alias("html")))).alias("l"))
+    listed = listed.withColumn("n_items", F.size(F.filter("l", lambda x: x["item"])))
     return listed.select("accession", "form", "n_items", F.encode(F.concat(F.lit("<html><body>"), F.array_join(F.transform("l", lambda x: x["html"]), ""), F.lit("</body></html>")), "utf-8").alias("content"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,29 +55,43 @@ def assign_parts(df: DataFrame, filing: Sequence[str], annual: str = "10-K", int
     return switched.withColumn("item_id", _prefixed(F.col("item_id"), part)).drop("_part")
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _section(s: Column, item: Column) -> Column:
+    return F.struct(s["section_pos"].alias("section_pos"), item.alias("item_id"), s["item_title"].alias("item_title"), s["text"].alias("text"))
+
+
 def kept_in_filing(sections: Column) -> Column:
-    """``drop_contents_duplicates`` within a filing's own array of sections: positions
-    and flags are compared, the texts stay where they are."""
-    flags = F.transform(sections, lambda s: F.struct(s["item_id"].alias("i"), (~looks_like_contents(s["text"])).alias("g")))
+    """``drop_contents_duplicates`` within a filing's own array of sections: ids and
+    flags are compared, the texts are looked at once."""
+    flagged = F.transform(sections, lambda s: F.struct(s.alias("s"), s["item_id"].alias("i"), (~looks_like_contents(s["text"])).alias("g")))
+
+    def kept(all_: Column) -> Column:
+        def stays(f: Column) -> Column:
+            same = F.filter(all_, lambda o: o["i"] == f["i"])
+            return f["g"] | (F.size(same) == 1) | ~F.exists(same, lambda o: o["g"])
 
-    def stays(s: Column, at: Column) -> Column:
-        same = F.filter(flags, lambda f: f["i"] == s["item_id"])
-        return (F.size(same) == 1) | F.get(flags, at)["g"] | ~F.exists(same, lambda f: f["g"])
+        return F.transform(F.filter(all_, stays), lambda f: f["s"])
 
-    return F.filter(sections, stays)
+    return _bound(flagged, kept)
 
 
 def parts_in_filing(sections: Column, form: Column, annual: str = "10-K", interim: str = "10-Q", parts: Mapping[str, str] = ANNUAL_PARTS) -> Column:
     """``assign_parts`` within a filing's own array of sections."""
-    ids = F.transform(sections, lambda s: s["item_id"])
 
-    def renamed(s: Column, at: Column) -> Column:
-        ones = F.size(F.filter(F.slice(ids, F.lit(1), at + 1), lambda i: i == "1"))
-        listed = F.coalesce(F.try_element_at(_part_table(parts), s["item_id"]), F.lit("?"))
-        part = F.when(form == annual, listed).when(form == interim, F.when(ones >= 2, "II").otherwise("I"))
-        return F.struct(s["section_pos"].alias("section_pos"), _prefixed(s["item_id"], part).alias("item_id"), s["item_title"].alias("item_title"), s["text"].alias("text"))
+    def renamed(all_: Column) -> Column:
+        def one(s: Column, at: Column) -> Column:
+            ones = F.size(F.filter(F.slice(all_, F.lit(1), at + 1), lambda o: o["item_id"] == "1"))
+            listed = F.coalesce(F.try_element_at(_part_table(parts), s["item_id"]), F.lit("?"))
+            part = F.when(form == annual, listed).when(form == interim, F.when(ones >= 2, "II").otherwise("I"))
+            return _section(s, _prefixed(s["item_id"], part))
+
+        return F.transform(all_, one)
 
-    return F.transform(sections, renamed)
+    return _bound(sections, renamed)
 
 
 def finish_records(df: DataFrame, min_chars: int = 50) -> DataFrame:
