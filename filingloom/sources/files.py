@@ -86,18 +86,33 @@ def read_lines(spark: SparkSession, path: str, comment: str = "#") -> DataFrame:
     return rows.where((F.col("line") != "") & ~F.col("line").startswith(comment))
 
 
+def _at(path: str) -> tuple:
+    """(Hadoop path, its file system) of the running session."""
+    spark = SparkSession.active()
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def read_sidecar(path: str) -> dict | None:
-    """A JSON sidecar, or None where there is none."""
-    try:
-        with open(path, encoding="utf-8") as f:
-            return json.load(f)
-    except FileNotFoundError:
+    """A JSON sidecar, or None where there is none. The driver reads it through the same
+    file system as the tables beside it."""
+    at, system = _at(path)
+    if not system.exists(at):
         return None
+    stream = system.open(at)
+    try:
+        return json.loads(bytes(stream.readAllBytes()).decode("utf-8"))
+    finally:
+        stream.close()
 
 
 def write_sidecar(path: str, values: Mapping[str, object]) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(values, f, indent=2, ensure_ascii=False, default=str)
+    at, system = _at(path)
+    stream = system.create(at, True)
+    try:
+        stream.write(bytearray(json.dumps(values, indent=2, ensure_ascii=False, default=str).encode("utf-8")))
+    finally:
+        stream.close()
 
 
 def write_texts(df: DataFrame, path: str, by: str, text: str, mode: str = "error") -> None:
