@@ -249,9 +249,10 @@ def near_duplicate_classes(spark: SparkSession, d: str) -> DataFrame:
     select least(x.key, y.key) as key_a, greatest(x.key, y.key) as key_b, similarity from t join d x on x.record_id = a join d y on y.record_id = b order by similarity desc, key_a, key_b limit 10""")
 def top_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     """The most similar pairs of different section texts, under the sections' unique keys."""
-    r = table(spark, d, "records").where("length(text) >= 200").select("record_id", "ticker", "report_date", "item_id", "text").distinct()
+    r = table(spark, d, "records")
+    ids = r.where("length(text) >= 200").select("record_id", "ticker", "report_date", "item_id").distinct()
     key = F.concat(F.coalesce("ticker", F.lit("")), F.lit("|"), F.coalesce("report_date", F.lit("")), F.lit("|"), F.coalesce("item_id", F.lit("")))
-    named = windows.suffix_duplicates(r.drop("text"), key, ["record_id"]).select("record_id", "key")
+    named = windows.suffix_duplicates(ids, key, ["record_id"]).select("record_id", "key")
     pairs = dedup.near_duplicates_exact(r, "record_id", "text", 0.7, 3)
     both = pairs.join(named.select(F.col("record_id").alias("a"), F.col("key").alias("x")), "a").join(named.select(F.col("record_id").alias("b"), F.col("key").alias("y")), "b")
     return both.select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b"), F.round("similarity", 6).alias("similarity")).orderBy(F.desc("similarity"), "key_a", "key_b").limit(10)
