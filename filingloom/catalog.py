@@ -616,7 +616,7 @@ def texts_by_parser(spark: SparkSession, d: str) -> DataFrame:
     """Renderings written one folder per parser; line ends are escaped, so a text is a line."""
     path = _folder(spark, "texts")
     made = html.parse_html(_records(spark, d).where("text is not null"), ["record_id"], "text", ["tables", "plain"])
-    files.write_texts(made.withColumn("text", F.concat(F.lit("|"), F.translate("text", "\n\r", "  "))), path, "parser", "text")
+    files.write_texts(made.withColumn("text", F.concat(F.lit("|"), F.translate("text", "\n\r", "  "))), path, "parser", "text", compression="gzip")
     return spark.read.text(path).groupBy("parser").agg(F.count("*").alias("texts"))
 
 

@@ -115,9 +115,9 @@ def write_sidecar(path: str, values: Mapping[str, object]) -> None:
         stream.close()
 
 
-def write_texts(df: DataFrame, path: str, by: str, text: str, mode: str = "error") -> None:
+def write_texts(df: DataFrame, path: str, by: str, text: str, mode: str = "error", compression: str = "none") -> None:
     """One folder per value of ``by``, texts as files of lines."""
-    df.select(by, F.col(text).alias("value")).write.mode(mode).partitionBy(by).text(path)
+    df.select(by, F.col(text).alias("value")).write.mode(mode).partitionBy(by).option("compression", compression).text(path)
 
 
 def write_files(df: DataFrame, folder: str, name: str, content: str) -> DataFrame:
