@@ -14,7 +14,7 @@ from filingloom.llm.markup import hinted, strip_markup
 from filingloom.llm.mojibake import repair_encoding
 from filingloom.llm.near_dups import link_counts, linked_pairs, near_duplicates
 from filingloom.llm.packing import bpe_sizer, pack
-from filingloom.llm.pairs_crf import Languages, broken_pairs, fit_languages
+from filingloom.llm.pairs_crf import TAGS, Languages, broken_pairs, fit_languages
 from filingloom.llm.site_lines import flagged_lines, remove_repeated_lines
 from filingloom.llm.splitting import split_oversized
 from filingloom.session import prepare
@@ -41,11 +41,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Defects against the run's own hints, which can mislead."""
+    """Each answer's defect and the shares of its prose under each tag, beside the run's own
+    hints, which can mislead."""
     run = _table(spark, sf_dir, "run_20261012t174720z")
     run = run.select("run_row", "question", "answer", "stop_reason", "citations_valid").dropDuplicates(["run_row"])
     judged = broken_pairs(run, ["run_row", "stop_reason", "citations_valid"], "question", "answer", languages=_languages(spark, sf_dir))
-    return judged.groupBy("stop_reason", "citations_valid", "defect").agg(F.count("*").alias("answers"))
+    return judged.select("run_row", "stop_reason", "citations_valid", "defect", *[F.round(t, 6).alias(t) for t in TAGS])
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,9 +153,10 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.groupBy("container").agg(F.count("*").alias("parts"), F.sum("n_tokens").alias("tokens"))
 
 
-def p7_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All parts and tokens of the containers, none lost and none twice."""
-    return p7_containers(spark, sf_dir).agg(F.sum("tokens").alias("tokens"), F.sum("parts").alias("parts"))
+def p7_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's parts and tokens as they were packed, none lost and none twice."""
+    packed = pack(_table(spark, sf_dir, "documents"), "doc_id", text="text")
+    return packed.groupBy("doc_id").agg(F.count("*").alias("parts"), F.sum("n_tokens").alias("tokens"))
 
 
 def p7_bpe(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
@@ -180,7 +182,7 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (p1_found, p1_shares, p2_found, p2_titles, p2_forms, p3_found, p3_clean, p4_found, p4_clean, p5_found, p5_pieces, p6_found, p6_classes, p6_links, p7_found, p7_containers, p7_totals, p8_found, p9_found, p9_restored)
+    own = (p1_found, p1_shares, p2_found, p2_titles, p2_forms, p3_found, p3_clean, p4_found, p4_clean, p5_found, p5_pieces, p6_found, p6_classes, p6_links, p7_found, p7_containers, p7_parts, p8_found, p9_found, p9_restored)
     if os.path.exists(f"{TOKENIZERS}/byte_bpe_50k.tiktoken"):
         own += (p7_bpe,)
     return {f.__name__: f for f in own}
@@ -214,9 +216,9 @@ ORACLE = {
         c as (select record_id, string_agg(raw, chr(10) order by line_no) filter (not gone) as clean, (count(*) filter (gone))::int as removed_lines from m group by record_id)
         select record_id, sha256(coalesce(clean, '')) as clean_hash, removed_lines from c
         union all select distinct record_id, null, 0 from records where text is null""",
-    "p7_totals": f"""
-        with d as (select len(regexp_extract_all(text, '{_TOKEN}')) as n from documents where text is not null)
-        select sum(n)::bigint as tokens, sum(ceil(n / 2048.0))::bigint as parts from d""",
+    "p7_parts": f"""
+        with d as (select doc_id, coalesce(len(regexp_extract_all(text, '{_TOKEN}')), 0) as n from documents)
+        select doc_id, greatest(ceil(n / 2048.0), 1)::bigint as parts, n::bigint as tokens from d""",
     "p3_found": rf"""
         with r as (select distinct record_id, coalesce(ticker, '') as ticker, text from records where record_id is not null and text is not null),
         l as (select record_id, ticker, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from r),
