@@ -88,7 +88,7 @@ def read_lines(spark: SparkSession, path: str, comment: str = "#") -> DataFrame:
 
 def _at(path: str) -> tuple:
     """(Hadoop path, its file system) of the running session."""
-    spark = SparkSession.active()
+    spark = SparkSession.builder.getOrCreate()
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
