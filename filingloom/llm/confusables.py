@@ -76,7 +76,7 @@ def public_skeletons() -> Table:
     """The public table: every character that has a prototype, with it. One call to the
     ICU library of the running session; its size is that of the public table."""
     ids = [chr(i) for i in range(0x21, 0x20000) if not 0xD800 <= i < 0xE000 and unicodedata.category(chr(i))[0] != "C"]
-    checker = SparkSession.active()._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    checker = SparkSession.builder.getOrCreate()._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
     made = checker.getSkeleton("\n".join(ids)).split("\n")
     return {c: p for c, p in zip(ids, made, strict=True) if p != unicodedata.normalize("NFD", c)}
 
