@@ -370,6 +370,10 @@ def sequences(n: int = SEQUENCES) -> list[tuple[str, list[tuple[str, str]]]]:
             cut = whole[: r.randint(8, max(9, len(whole) - 6))].rstrip(" .?!]")
             if r.random() < 0.25:
                 cut += r.choice([" [", " [AA", " [AA|1|10-"])
+            if len(made) > 1 and r.random() < 0.25:  # cut after words that the question has too
+                words = question.rstrip("?!. ").split()
+                at = r.randrange(max(1, len(words) - 3))
+                cut = " ".join(words[at : at + r.randint(1, 4)])
             made[-1] = (cut, "unfinished")
         if len(clauses("\n".join(c for c, _ in made))) == len(made):
             out.append((question, made))
@@ -401,7 +405,7 @@ class Field:
         return node, edge
 
     @classmethod
-    def train(cls, data: list[tuple[np.ndarray, np.ndarray]], rounds: int = 400, rate: float = 2.0, decay: float = 0.001) -> Field:
+    def train(cls, data: list[tuple[np.ndarray, np.ndarray]], rounds: int = 600, rate: float = 2.0, decay: float = 0.0003) -> Field:
         """Gradient ascent on the penalised log-likelihood; the same data give the same weights."""
         k = len(TAGS)
         by: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
