@@ -15,7 +15,7 @@ from filingloom.llm.mojibake import repair_encoding
 from filingloom.llm.near_dups import link_counts, linked_pairs, near_duplicates
 from filingloom.llm.packing import bpe_sizer, pack
 from filingloom.llm.pairs_crf import TAGS, Languages, broken_pairs, fit_languages
-from filingloom.llm.site_lines import flagged_lines, remove_repeated_lines
+from filingloom.llm.site_lines import flagged_lines, remove_repeated_lines, scored_lines
 from filingloom.llm.splitting import split_oversized
 from filingloom.session import prepare
 
@@ -80,12 +80,20 @@ def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rule of TESTDATA.md alone decides: what stands in other tickers plays no part."""
-    return flagged_lines(_table(spark, sf_dir, "records"), "record_id", "ticker", "text", false_discovery=None)
+    """Every line of the rule of TESTDATA.md; the method's verdict on each is in p3_lines and
+    drops none, as what stands in other tickers plays no part in the rule."""
+    return flagged_lines(_table(spark, sf_dir, "records"), "record_id", "ticker", "text", by_rule=True)
+
+
+def p3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of p3_found, each at its first place in its ticker, with the likelihood ratio
+    of its documents within and outside, and whether the false-discovery cut keeps it."""
+    lines = scored_lines(_table(spark, sf_dir, "records"), "record_id", "ticker", "text")
+    return lines.select(F.col("source").alias("ticker"), "record_id", "line_no", "docs", "docs_outside", F.round("ratio", 6).alias("ratio"), F.round("p", 12).alias("p"), "significant")
 
 
 def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = remove_repeated_lines(_table(spark, sf_dir, "records"), "record_id", "ticker", "text", false_discovery=None)
+    clean = remove_repeated_lines(_table(spark, sf_dir, "records"), "record_id", "ticker", "text", by_rule=True)
     return clean.select("record_id", F.sha2("clean_text", 256).alias("clean_hash"), "removed_lines")
 
 
@@ -182,7 +190,7 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (p1_found, p1_shares, p2_found, p2_titles, p2_forms, p3_found, p3_clean, p4_found, p4_clean, p5_found, p5_pieces, p6_found, p6_classes, p6_links, p7_found, p7_containers, p7_parts, p8_found, p9_found, p9_restored)
+    own = (p1_found, p1_shares, p2_found, p2_titles, p2_forms, p3_found, p3_lines, p3_clean, p4_found, p4_clean, p5_found, p5_pieces, p6_found, p6_classes, p6_links, p7_found, p7_containers, p7_parts, p8_found, p9_found, p9_restored)
     if os.path.exists(f"{TOKENIZERS}/byte_bpe_50k.tiktoken"):
         own += (p7_bpe,)
     return {f.__name__: f for f in own}
@@ -216,6 +224,20 @@ ORACLE = {
         c as (select record_id, string_agg(raw, chr(10) order by line_no) filter (not gone) as clean, (count(*) filter (gone))::int as removed_lines from m group by record_id)
         select record_id, sha256(coalesce(clean, '')) as clean_hash, removed_lines from c
         union all select distinct record_id, null, 0 from records where text is null""",
+    "p3_lines": f"""{_REPEATED},
+        g as (select ticker, norm, count(distinct record_id) as docs, min({{'k': record_id, 'i': line_no}}) as place from n where length(line) >= 25 group by all),
+        d as (select coalesce(ticker, '') as ticker, count(distinct record_id) as n1 from records where record_id is not null group by all),
+        w as (select ticker, place, docs, (sum(docs) over (partition by norm) - docs)::bigint as docs_outside, n1, ((select sum(n1) from d) - n1)::bigint as n2 from g join d using (ticker)),
+        v as (select *, docs::double as k1, n1::double as m1, (case when n2 > 0 then docs_outside else 0 end)::double as k2, (case when n2 > 0 then n2 else n1 end)::double as m2 from w where docs >= 8),
+        s as (select *, (k1 + k2) / (m1 + m2) as q from v),
+        x as (select *, case when k1 * m2 > k2 * m1 then greatest(2 * (
+            k1 * ln(k1 / (m1 * q)) + case when m1 > k1 then (m1 - k1) * ln((m1 - k1) / (m1 * (1 - q))) else 0 end
+            + case when k2 > 0 then k2 * ln(k2 / (m2 * q)) else 0 end + case when m2 > k2 then (m2 - k2) * ln((m2 - k2) / (m2 * (1 - q))) else 0 end), 0) else 0 end::double as ratio from s),
+        z as (select *, 1 / (1 + 0.3275911::double * sqrt(ratio / 2)) as u from x),
+        p as (select *, case when ratio > 0 then least(u * (0.254829592::double + u * (-0.284496736::double + u * (1.421413741::double + u * (-1.453152027::double + u * 1.061405429::double)))) * exp(-ratio / 2), 1) else 1 end::double as p from z),
+        b as (select *, count(*) over () * p <= 0.01::double * count(*) over (order by p range between unbounded preceding and current row) as kept from p),
+        c as (select max(p) filter (kept) as cut from b)
+        select ticker, place.k as record_id, place.i::bigint as line_no, docs, docs_outside, round(ratio, 6) as ratio, round(p, 12) as p, coalesce(p <= cut, false) as significant from b cross join c""",
     "p7_parts": f"""
         with d as (select doc_id, coalesce(len(regexp_extract_all(text, '{_TOKEN}')), 0) as n from documents)
         select doc_id, greatest(ceil(n / 2048.0), 1)::bigint as parts, n::bigint as tokens from d""",

@@ -5,7 +5,8 @@ frequency outside of it by the log-likelihood ratio; the excess is significant
 under false-discovery control (Benjamini-Hochberg over all tested lines). The
 significant lines are anti-joined away and the documents put together by position.
 Where a table has a rule of its own (so many documents of the source, whatever stands
-elsewhere), ``false_discovery=None`` lets that rule decide and the ratio is a score.
+elsewhere), ``by_rule`` takes every line of that rule; ratio and cut are made as ever and
+their verdict stands beside each line. ``false_discovery=None`` leaves the cut out.
 """
 
 from __future__ import annotations
@@ -62,26 +63,28 @@ def _counts(lines: DataFrame) -> DataFrame:
     return lines.select("_k", "_s", "_a", "_b").distinct().groupBy("_s", "_a", "_b").agg(F.count("*").alias("_in"))
 
 
-def repeated_lines(df: DataFrame, key: str, source: str, text: str, min_chars: int = 25, min_docs: int = 8, false_discovery: float | None = 0.01) -> DataFrame:
+def repeated_lines(df: DataFrame, key: str, source: str, text: str, min_chars: int = 25, min_docs: int = 8, false_discovery: float | None = 0.01, by_rule: bool = False) -> DataFrame:
     """``source``, ``line_a``, ``line_b`` (128-bit hash of the normal line), ``docs``
     (different keys with it in the source), ``docs_outside``, ``ratio``, ``p`` of
     the lines with a significant excess within their source and at least
-    ``min_docs`` documents there. With ``false_discovery=None`` all lines with
-    ``min_docs`` documents, the scores for information only.
+    ``min_docs`` documents there. With ``by_rule`` all lines with ``min_docs``
+    documents, ``significant`` saying which of them the cut keeps; with
+    ``false_discovery=None`` all of them without a cut.
 
     Every document counts; a null source counts as the source ''; rows with equal
     key are one document; null keys and null texts have no lines.
     """
-    return _tested(_lines(df, key, source, text, min_chars), df, key, source, min_docs, false_discovery)
+    return _tested(_lines(df, key, source, text, min_chars), df, key, source, min_docs, false_discovery, by_rule)
 
 
-def _tested(lines: DataFrame, df: DataFrame, key: str, source: str, min_docs: int, false_discovery: float | None) -> DataFrame:
+def _tested(lines: DataFrame, df: DataFrame, key: str, source: str, min_docs: int, false_discovery: float | None, by_rule: bool) -> DataFrame:
     by_source = df.select(F.col(f"`{key}`").alias("_k"), F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias("_s")).where("_k is not null").distinct().groupBy("_s").agg(F.count("*").alias("_n1"))
     total = by_source.agg(F.sum("_n1").alias("_n"))
-    # one shuffle by line: its sources side by side give the frequency everywhere
-    line = Window.partitionBy("_a", "_b")
-    counted = _counts(lines).withColumn("_all", F.sum("_in").over(line)).where(F.col("_in") >= min_docs)
-    tested = counted.join(by_source, "_s").crossJoin(F.broadcast(total))  # total is one row
+    # only the lines to be tested are counted everywhere, by counts that combine before they move
+    counted = materialize(_counts(lines).where(F.col("_in") >= min_docs), "counted")
+    held = lines.join(counted.select("_a", "_b"), ["_a", "_b"], "left_semi")
+    everywhere = _counts(held).groupBy("_a", "_b").agg(F.sum("_in").alias("_all"))
+    tested = counted.join(everywhere, ["_a", "_b"]).join(by_source, "_s").crossJoin(F.broadcast(total))  # total is one row
     k1, n1 = F.col("_in").cast("double"), F.col("_n1").cast("double")
     k2, n2 = (F.col("_all") - F.col("_in")).cast("double"), (F.col("_n") - F.col("_n1")).cast("double")
     # one source alone has no outside: its lines are held against an empty one
@@ -90,12 +93,21 @@ def _tested(lines: DataFrame, df: DataFrame, key: str, source: str, min_docs: in
     excess = F.when((n2 <= 0) | (k1 * n2 > k2 * n1), F.greatest(ratio, F.lit(0.0))).otherwise(0.0)
     tested = tested.select(F.col("_s").alias("source"), F.col("_a").alias("line_a"), F.col("_b").alias("line_b"), F.col("_in").alias("docs"), (F.col("_all") - F.col("_in")).alias("docs_outside"), excess.alias("ratio"))
     tested = tested.withColumn("p", F.when(F.col("ratio") > 0, F.least(_upper_tail(F.col("ratio")), F.lit(1.0))).otherwise(1.0))
-    return tested if false_discovery is None else _discoveries(tested, false_discovery)
+    if false_discovery is None:
+        return tested
+    # the cut reads the lines with ``min_docs`` documents several times
+    tested = materialize(tested, "tested")
+    return _judged(tested, false_discovery) if by_rule else _discoveries(tested, false_discovery)
 
 
 def _discoveries(tested: DataFrame, rate: float) -> DataFrame:
-    """Benjamini-Hochberg without a global sort: the lines up to the largest p with
-    m * p <= rate * (p values up to it).
+    """The significant lines alone."""
+    return _judged(tested, rate).where("significant").drop("significant")
+
+
+def _judged(tested: DataFrame, rate: float) -> DataFrame:
+    """``significant`` by Benjamini-Hochberg without a global sort: the lines up to the
+    largest p with m * p <= rate * (p values up to it).
 
     The p values are counted in a fixed number of log-spaced bins. A bin whose last
     value keeps the rule is in as a whole; only in the bins after it whose first value
@@ -114,34 +126,47 @@ def _discoveries(tested: DataFrame, rate: float) -> DataFrame:
     exact = inside.withColumn("_rank", rank).where(F.col("_m") * F.col("p") <= rate * F.col("_rank")).agg(F.max("p").alias("_cut"))
     sure = known.where(F.col("_bin") == F.col("_sure")).agg(F.max("_last").alias("_cut"))
     cut = exact.unionByName(sure).agg(F.max("_cut").alias("_cut"))
-    return tested.crossJoin(F.broadcast(cut)).where(F.col("p") <= F.col("_cut")).drop("_cut", "_bin")
+    return tested.crossJoin(F.broadcast(cut)).withColumn("significant", F.coalesce(F.col("p") <= F.col("_cut"), F.lit(False))).drop("_cut", "_bin")
 
 
-def _flagged(df: DataFrame, key: str, source: str, text: str, min_chars: int, min_docs: int, false_discovery: float | None) -> DataFrame:
+def _flagged(df: DataFrame, key: str, source: str, text: str, min_chars: int, min_docs: int, false_discovery: float | None, by_rule: bool) -> DataFrame:
     """(_k, _no, _a) of each flagged line.
 
-    The flagged lines of all sources are a table of hashes; the join with it is a plain
-    semi-join, so it is broadcast while its files are small, and else a line that fills
-    a source's documents is split by adaptive execution on the side of the documents.
+    The flagged lines of all sources are a table of hashes and scores; the join with it is
+    a plain semi-join, so it is broadcast while its files are small, and else a line that
+    fills a source's documents is split by adaptive execution on the side of the documents.
     """
     lines = _lines(df, key, source, text, min_chars)
     if false_discovery is None:  # no score decides, so none is taken
         found = _counts(lines).where(F.col("_in") >= min_docs).select("_s", "_a", "_b")
     else:
-        found = _tested(lines, df, key, source, min_docs, false_discovery)
-        found = found.select(F.col("source").alias("_s"), F.col("line_a").alias("_a"), F.col("line_b").alias("_b"))
+        found = _tested(lines, df, key, source, min_docs, false_discovery, by_rule)
+        found = found.withColumnsRenamed({"source": "_s", "line_a": "_a", "line_b": "_b"})
     return lines.join(materialize(found, "flagged"), ["_s", "_a", "_b"], "left_semi").select("_k", "_no", "_a")
 
 
-def flagged_lines(df: DataFrame, key: str, source: str, text: str, min_chars: int = 25, min_docs: int = 8, false_discovery: float | None = 0.01) -> DataFrame:
-    """(key, ``line_no``) of each significant line, or with ``false_discovery=None`` of
-    each line with ``min_docs`` documents in its source; line numbers count from 0.
+def flagged_lines(df: DataFrame, key: str, source: str, text: str, min_chars: int = 25, min_docs: int = 8, false_discovery: float | None = 0.01, by_rule: bool = False) -> DataFrame:
+    """(key, ``line_no``) of each significant line, or with ``by_rule`` or
+    ``false_discovery=None`` of each line with ``min_docs`` documents in its source;
+    line numbers count from 0.
     """
-    hit = _flagged(df, key, source, text, min_chars, min_docs, false_discovery).select("_k", "_no").distinct()
+    hit = _flagged(df, key, source, text, min_chars, min_docs, false_discovery, by_rule).select("_k", "_no").distinct()
     return hit.select(F.col("_k").alias(key), F.col("_no").cast("long").alias("line_no"))
 
 
-def remove_repeated_lines(df: DataFrame, key: str, source: str, text: str, min_chars: int = 25, min_docs: int = 8, false_discovery: float | None = 0.01) -> DataFrame:
+def scored_lines(df: DataFrame, key: str, source: str, text: str, min_chars: int = 25, min_docs: int = 8, false_discovery: float = 0.01) -> DataFrame:
+    """``source``, key and ``line_no`` of the first place, ``docs``, ``docs_outside``,
+    ``ratio``, ``p``, ``significant`` of each line ``flagged_lines`` takes with ``by_rule``.
+    """
+    lines = _lines(df, key, source, text, min_chars)
+    found = materialize(_tested(lines, df, key, source, min_docs, false_discovery, True), "flagged")
+    found = found.withColumnsRenamed({"source": "_s", "line_a": "_a", "line_b": "_b"})
+    first = lines.join(found.select("_s", "_a", "_b"), ["_s", "_a", "_b"], "left_semi").groupBy("_s", "_a", "_b").agg(F.min(F.struct("_k", "_no")).alias("_at"))
+    place = (F.col("_s").alias("source"), F.col("_at._k").alias(key), F.col("_at._no").cast("long").alias("line_no"))
+    return first.join(found, ["_s", "_a", "_b"]).select(*place, "docs", "docs_outside", "ratio", "p", "significant")
+
+
+def remove_repeated_lines(df: DataFrame, key: str, source: str, text: str, min_chars: int = 25, min_docs: int = 8, false_discovery: float | None = 0.01, by_rule: bool = False) -> DataFrame:
     """(key, ``clean_text``, ``removed_lines``): one row per key, the text without the
     flagged lines and otherwise unchanged.
 
@@ -150,7 +175,7 @@ def remove_repeated_lines(df: DataFrame, key: str, source: str, text: str, min_c
     Rows of one key are one document: the one with the least text stays. A null key
     comes back unchanged once per row; null text stays null.
     """
-    flagged = _flagged(df, key, source, text, min_chars, min_docs, false_discovery)
+    flagged = _flagged(df, key, source, text, min_chars, min_docs, false_discovery, by_rule)
     marks = flagged.groupBy("_k").agg(F.collect_set(F.struct("_no", "_a")).alias("_drop"))
     base = df.select(F.col(f"`{key}`").alias("_k"), F.col(f"`{text}`").alias("_t"))
     # the keys of several rows come from the key column alone; only their texts are merged
